@@ -12,6 +12,19 @@ from tilegrid.llm.decontam import contamination
 from tilegrid.llm.licenses import license_scan
 from tilegrid.llm.quality_rules import quality_rules
 from tilegrid.llm.shared import documents
+from tilegrid.llm.token_counts import token_counts
+from tilegrid.llm.token_files import token_files
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; it is the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +35,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "contaminated", F.size("items").alias("n_items"), F.get("items", F.lit(0)).alias("first_item"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once; smaller settings of the session stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name, "0") or 0)
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
 
