@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tilegrid.llm import oracles
 from tilegrid.llm.decontam import contamination
 from tilegrid.llm.licenses import license_scan
+from tilegrid.llm.quality_model import score_quality
 from tilegrid.llm.quality_rules import quality_rules
 from tilegrid.llm.shared import documents
 from tilegrid.llm.token_counts import token_counts
 from tilegrid.llm.token_files import token_files
+from tilegrid.llm.toxicity import severity, train
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +29,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, documents(spark, sf_dir, "labels"))
+    return severity(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -45,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
