@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilegrid.llm.shared import ascii_lower, let, small, words, written
+from tilegrid.llm.shared import ascii_lower, let, words, written
 
 REGION, NEED = 13, 11
 #: Offsets of the words that a mask reads.
@@ -23,7 +23,7 @@ MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 6, 7))
 SPAN = 8
 #: Document positions that are hashed: every second.
 STRIDE = 2
-#: Rows of benchmark seeds up to which they are broadcast (about 40 bytes each); beyond, the join shuffles.
+#: Rows of benchmark seeds up to which they are broadcast (about 60 bytes each, and their items' words once); beyond, the join shuffles.
 MOST_SEEDS = 1_000_000
 
 
@@ -38,34 +38,49 @@ def _seeds(hashes: Column, stride: int) -> Column:
     return F.flatten(F.transform(at, each))
 
 
-def seeds(df: DataFrame, text: Column, keys: list[Column], stride: int) -> DataFrame:
-    made = let(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: _seeds(h, stride))
-    return df.select(*keys, F.explode(made).alias("s")).select("*", "s.at", "s.seed").drop("s")
+def seeds(df: DataFrame, keys: list[Column], stride: int) -> DataFrame:
+    """``keys``, the text's words, and a row for each seed.
 
+    The words stay a column of the exploded rows: explode and a broadcast join run in one generated loop, so they are copied only where
+    a seed is known.
+    """
+    made = let(tokens(F.col("text")), lambda w: F.struct(w.alias("words"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _seeds(h, stride)).alias("seeds")))
+    rows = df.select(*keys, made.alias("m")).select("*", "m.words", "m.seeds").drop("m")
+    return rows.select("*", F.explode("seeds").alias("s")).select("*", "s.at", "s.seed").drop("s", "seeds")
 
-def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def _aligned(words: str) -> Column:
+    """The words of a document against the words of an item, at a shift."""
+    return F.slice(words, F.greatest(F.lit(0), F.col("shift")) + 1, F.col("length"))
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """(key, items): md5 of each contaminated text, and the sorted ids of the items in it."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id"), tokens(F.col("text")).alias("item_words"), F.col("text").alias("item_text")).where(F.size("item_words") >= REGION)
-    known = seeds(items, F.col("item_text"), [F.col("item_id"), F.md5("item_text").alias("item_key")], 1).withColumnRenamed("at", "item_at").distinct()
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    known = seeds(items, [F.col("item_id"), F.md5("text").alias("item_key")], 1).where(F.size("words") >= REGION).select("item_id", "item_key", F.col("at").alias("item_at"), "seed").distinct()
+    item_words = items.select("item_id", F.md5("text").alias("item_key"), tokens(F.col("text")).alias("item_words")).distinct()
     rows = docs.where(F.length("text") > 0).select("text")
-    found = seeds(rows, F.col("text"), [F.md5("text").alias("key")], STRIDE).join(small(known, MOST_SEEDS), "seed")
-    hits = found.groupBy("key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.lit(1).alias("_")).drop("_")
-    hits = written(hits, "decontam-hits")
-    texts = rows.withColumn("key", F.md5("text")).join(hits.select("key").distinct(), "key", "left_semi")
-    texts = texts.dropDuplicates(["key"]).select("key", tokens(F.col("text")).alias("doc_words"))
-    item_words = items.select("item_id", F.md5("item_text").alias("item_key"), "item_words").distinct()
-    pairs = hits.join(texts, "key").join(small(item_words, MOST_SEEDS), ["item_id", "item_key"])
-    start, shift = F.greatest(F.lit(0), -F.col("shift")), F.col("shift")
-    length = F.least(F.size("item_words"), F.size("doc_words") - shift) - start
-    same = F.zip_with(F.slice("item_words", start + 1, length), F.slice("doc_words", start + shift + 1, length), lambda a, b: (a == b).cast("int"))
+    shift = {"shift": F.col("at") - F.col("item_at")}
+    length = {"length": F.least(F.size("item_words"), F.size("words") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))}
+    if known.limit(most_seeds + 1).count() <= most_seeds:  # then there are fewer items still
+        found = seeds(rows, [F.md5("text").alias("key")], STRIDE).join(F.broadcast(known), "seed").withColumns(shift).join(F.broadcast(item_words), ["item_id", "item_key"]).withColumns(length)
+    else:  # seeds alone are shuffled; then the words come in for the texts that have hits
+        seen = seeds(rows, [F.md5("text").alias("key")], STRIDE).select("key", "at", "seed")
+        hits = written(seen.join(known, "seed").withColumns(shift).select("key", "item_id", "item_key", "shift").distinct(), "decontam-hits")
+        texts = rows.withColumn("key", F.md5("text")).join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        found = hits.join(item_words, ["item_id", "item_key"]).join(texts.select("key", tokens(F.col("text")).alias("words")), "key").withColumns(length)
+    item_part = F.slice("item_words", F.greatest(F.lit(0), -F.col("shift")) + 1, F.col("length"))
+    near = found.where(F.col("length") >= NEED).select("key", "item_id", "item_key", "shift", item_part.alias("item_part"), _aligned("words").alias("part"))
+    near = near.groupBy("key", "item_id", "item_key", "shift").agg(F.first("item_part").alias("item_part"), F.first("part").alias("part"))
+    same = F.zip_with("item_part", "part", lambda a, b: (a == b).cast("int"))
     region = lambda m: F.exists(F.sequence(F.lit(1), F.size(m)), lambda i: F.aggregate(F.slice(m, i, REGION), F.lit(0), lambda n, x: n + x) >= NEED)
     enough = lambda m: F.when(F.aggregate(m, F.lit(0), lambda n, x: n + x) >= NEED, region(m)).otherwise(False)
-    return pairs.where(length >= NEED).where(let(same, enough)).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return near.where(let(same, enough)).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """Every row of ``docs`` with ``items`` (benchmark ids found in its text, sorted) and ``contaminated``."""
-    found = written(contaminated_texts(docs, benchmark), "decontam").withColumnRenamed("key", "_key").withColumnRenamed("items", "_items")
+    found = written(contaminated_texts(docs, benchmark, most_seeds), "decontam").withColumnRenamed("key", "_key").withColumnRenamed("items", "_items")
     judged = docs.withColumn("_key", F.md5("text")).join(found, "_key", "left")
     ids = dict(found.dtypes)["_items"]
     return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("items", "contaminated")), F.coalesce("_items", F.array().cast(ids)).alias("items"), F.col("_items").isNotNull().alias("contaminated"))
