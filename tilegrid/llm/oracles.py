@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilegrid.llm import decontam, licenses, quality_rules
+from tilegrid.llm import decontam, licenses, neardup, quality_rules
 from tilegrid.llm.license_texts import KNOWN, SPELLINGS
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,3 +72,19 @@ same AS (SELECT r, item_id, toks.p - items.p AS shift, items.p AS p FROM toks JO
 seen AS (SELECT r, item_id, count(*) OVER (PARTITION BY r, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND {d.REGION - 1} FOLLOWING) AS n FROM same),
 hits AS (SELECT r, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM seen WHERE n >= {d.NEED} GROUP BY r)
 SELECT doc_id, hits.r IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS INTEGER) AS n_items, first_item FROM docs LEFT JOIN hits USING (r)"""
+
+
+def near_duplicates_sql() -> str:
+    low = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
+    k, percent = neardup.SHINGLE, neardup.PERCENT
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {words(low)} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM docs WHERE len(w) >= {k})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND {k - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT a AS d, a AS r FROM links UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(r) AS m FROM reach GROUP BY d) c USING (doc_id)"""
