@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tilegrid.llm import decontam, licenses, neardup, quality_rules
 from tilegrid.llm.license_texts import KNOWN, SPELLINGS
+from tilegrid.llm.mixing import LEVELS, Mix
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,3 +89,34 @@ links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y
 reach AS (SELECT a AS d, a AS r FROM links UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
 FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(r) AS m FROM reach GROUP BY d) c USING (doc_id)"""
+
+
+def mixing_sql(mix: Mix | None = None) -> str:
+    mix = mix or Mix()
+
+    def weight(level: str) -> str:
+        own = getattr(mix, level)
+        return "CASE " + " ".join(f"WHEN {level} = {_quoted(k)} THEN {v}" for k, v in own.items()) + f" ELSE {mix.other} END" if own else str(mix.other)
+
+    def level(depth: int) -> str:
+        keys, parent, name = ", ".join(LEVELS[:depth]), ", ".join(LEVELS[: depth - 1]), LEVELS[depth - 1]
+        part = f"PARTITION BY {parent} " if parent else ""
+        source = f"(SELECT {keys}, sum(cap) AS cap FROM leaves GROUP BY ALL)"
+        given = f"(SELECT CAST(sum(tokens) AS HUGEINT) * {mix.percent} // 100 FROM leaves) AS given FROM {source}" if depth == 1 else f"b.budget AS given FROM {source} JOIN (SELECT {parent}, budget FROM b{depth - 1}) b USING ({parent})"
+        return f"""
+w{depth} AS (SELECT {keys}, cap, CAST({weight(name)} AS HUGEINT) AS w, {given}),
+o{depth} AS (SELECT *, coalesce(sum(cap) OVER ({part}ORDER BY cap::DOUBLE / w::DOUBLE, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb, sum(w) OVER ({part}ORDER BY cap::DOUBLE / w::DOUBLE, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wa FROM w{depth}),
+f{depth} AS (SELECT *, cap * wa <= (given - cb) * w AS filled FROM o{depth}),
+l{depth} AS (SELECT *, given - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({part}) AS rest, sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}) AS wo, sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}ORDER BY cap::DOUBLE / w::DOUBLE, {name} ROWS UNBOUNDED PRECEDING) AS wu FROM f{depth}),
+b{depth} AS (SELECT {keys}, CASE WHEN filled THEN cap ELSE rest * wu // wo - rest * (wu - w) // wo END AS budget FROM l{depth})"""
+
+    return f"""
+WITH docs AS (SELECT doc_id, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len({words("coalesce(text, '')")}) AS HUGEINT) AS n FROM documents),
+named AS (SELECT *, CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4) END AS domain FROM docs WHERE n > 0),
+leaves AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * {mix.epochs} AS cap FROM named GROUP BY ALL),
+{level(1)}, {level(2)}, {level(3)},
+placed AS (SELECT named.*, budget // tokens AS whole, budget % tokens AS rest FROM named JOIN leaves USING (domain, lang, source) JOIN b3 USING (domain, lang, source)),
+ordered AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('-', '{mix.seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed),
+turns AS (SELECT *, unnest(range(0, CAST(whole AS BIGINT) + 1)) AS epoch FROM ordered),
+taken AS (SELECT *, CASE WHEN epoch < whole THEN n ELSE least(n, greatest(0, rest - start)) END AS take FROM turns)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(take AS BIGINT) AS take_tokens FROM taken WHERE take > 0"""

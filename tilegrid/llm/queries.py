@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilegrid.llm import oracles
 from tilegrid.llm.decontam import contamination
 from tilegrid.llm.licenses import license_scan
+from tilegrid.llm.mixing import mixed
 from tilegrid.llm.neardup import near_duplicates
 from tilegrid.llm.quality_model import score_quality
 from tilegrid.llm.quality_rules import quality_rules
@@ -34,6 +35,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixed(documents(spark, sf_dir))
+    return taken.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "epoch", "n_tokens", "take_tokens")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -62,8 +68,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": oracles.near_duplicates_sql(), "op7_quality_rules": oracles.quality_rules_sql(), "op8_license_scan": oracles.license_scan_sql(), "op10_decontamination": oracles.contamination_sql()}
+    return {"op3_mixing": oracles.mixing_sql(), "op5_near_duplicates": oracles.near_duplicates_sql(), "op7_quality_rules": oracles.quality_rules_sql(), "op8_license_scan": oracles.license_scan_sql(), "op10_decontamination": oracles.contamination_sql()}
