@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from tilegrid.llm.shared import bound_batches
 
 #: Labelled documents to fit on, the hinge loss's weight, passes of the descent, and every how many-th row is kept for the curve.
 SAMPLE, COST, PASSES, CURVE = 12_000, 1.0, 12, 5
-#: Added to the counts of both classes.
-SMOOTHING = 1.0
+#: Added to the counts of both classes; and in how many texts of the sample a feature must occur.
+SMOOTHING, LEAST = 1.0, 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,7 +42,7 @@ def ratios(grams: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     seen = np.full((2, SIZE), SMOOTHING)
     for ids, y in zip(grams, label, strict=True):
         seen[y, ids] += 1
-    used = (seen.sum(0) > 2 * SMOOTHING)[None]
+    used = (seen.sum(0) >= 2 * SMOOTHING + LEAST)[None]
     total = (seen * used).sum(1, keepdims=True)
     return (np.log(seen[1] / total[1]) - np.log(seen[0] / total[0])) * used[0]
 
@@ -89,27 +90,52 @@ def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit(grams: list[np.ndarray], label: np.ndarray) -> dict[int, tuple[float, float]]:
-    """The model as rows: feature id to (ratio, weight); -1 to (bias, 0), -2 to (slope, offset)."""
+@dataclass
+class Model:
+    """Ratio and weight by feature id, the margin's bias, and the curve from margins to scores."""
+
+    ids: np.ndarray
+    ratio: np.ndarray
+    weight: np.ndarray
+    bias: float = 0.0
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def packed(self) -> list[bytes]:
+        parts = (self.ids.astype("<i4"), self.ratio.astype("<f4"), self.weight.astype("<f4"), np.array([self.bias, self.slope, self.offset], "<f8"))
+        return [x.tobytes() for x in parts]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Model:
+        ids, ratio, weight, rest = (np.frombuffer(x, t) for x, t in zip(parts, ("<i4", "<f4", "<f4", "<f8"), strict=True))
+        return cls(ids, ratio, weight, *map(float, rest))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        r, w = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+        r[self.ids], w[self.ids] = self.ratio, self.weight
+        return r, w
+
+    def score(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
+
+
+def fit(grams: list[np.ndarray], label: np.ndarray) -> Model:
     if len(set(label.tolist())) < 2:
         share = float(np.clip(label.mean() if len(label) else 0.5, 1e-6, 1 - 1e-6))
-        return {-1: (0.0, 0.0), -2: (1.0, float(np.log(share / (1 - share))))}
+        return Model(np.zeros(0), np.zeros(0), np.zeros(0), offset=float(np.log(share / (1 - share))))
     late = np.arange(len(label)) % CURVE == 0
-    if min(np.bincount(label[late], minlength=2).min(), np.bincount(label[~late], minlength=2).min()) < 1:
-        late = np.ones(len(label), bool)
-        early = late
-    else:
-        early = ~late
+    early = ~late
+    if min(np.bincount(label[late], minlength=2).min(), np.bincount(label[early], minlength=2).min()) < 1:
+        late = early = np.ones(len(label), bool)
     own = [g for g, k in zip(grams, early, strict=True) if k]
     r = ratios(own, label[early])
     w, bias = descend(own, label[early], r)
-    slope, offset = curve(margins([g for g, k in zip(grams, late, strict=True) if k], r, w, bias), label[late])
     ids = np.flatnonzero(r)
-    return {int(i): (float(r[i]), float(w[i])) for i in ids} | {-1: (bias, 0.0), -2: (slope, offset)}
+    return Model(ids, r[ids], w[ids], bias, *curve(margins([g for g, k in zip(grams, late, strict=True) if k], r, w, bias), label[late]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
-    """Fit on a sample; the model (at most 2**20 features) comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """Fit on a sample; the model (of at most 2**20 features) comes to the driver as one row."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,28 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
         for batch in batches:
             grams += gram_features(batch.column("text"))
             label += batch.column("label").to_pylist()
-        model = fit(grams, np.minimum(np.array(label, np.int64), 1))
-        pairs = np.array([*model.values()])
-        yield pa.RecordBatch.from_arrays([pa.array([*model], pa.int32()), pa.array(pairs[:, 0].astype(np.float32)), pa.array(pairs[:, 1].astype(np.float32))], ["id", "ratio", "weight"])
+        parts = fit(grams, np.minimum(np.array(label, np.int64), 1)).packed()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["ids", "ratio", "weight", "rest"])
 
-    rows = labelled_sample(docs, labels, "quality", most, ~held_out(F.col("doc_id"))).mapInArrow(run, "id int, ratio float, weight float").toPandas()
-    return {c: rows[c].to_numpy() for c in rows.columns} if len(rows) else {"id": np.array([-1, -2], np.int32), "ratio": np.array([0, 1], np.float32), "weight": np.zeros(2, np.float32)}
+    rows = labelled_sample(docs, labels, "quality", most, ~held_out(F.col("doc_id")))
+    row = rows.mapInArrow(run, "ids binary, ratio binary, weight binary, rest binary").first()
+    return Model.unpacked([bytes(x) for x in row]) if row else fit([], np.zeros(0, np.int64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5) of every row."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, most))
+    parts = spark.sparkContext.broadcast(train(docs, labels, most).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        ids, ratio, weight = (fitted[c] for c in ("id", "ratio", "weight"))
-        (bias, _), (slope, offset) = ((float(ratio[ids == k][0]), float(weight[ids == k][0])) for k in (-1, -2))
-        r, w = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-        r[ids[ids >= 0]], w[ids[ids >= 0]] = ratio[ids >= 0], weight[ids >= 0]
+        fitted = Model.unpacked(parts.value)
+        r, w = fitted.tables()
         for batch in batches:
-            margin = margins(gram_features(batch.column("text")), r, w, bias)
-            score = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -500, 500)))
+            score = fitted.score(margins(gram_features(batch.column("text")), r, w, fitted.bias))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tilegrid
+
 #: Text bytes and rows that one Arrow batch hands to a Python worker at most; one longer text makes a batch of its own.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 
@@ -21,12 +26,31 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once; smaller settings of the session stay."""
+    """Prepare Python workers: bound what one holds at once (smaller settings of the session stay), and give it this package."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Once a Spark application: send the package to the executors, which need not have it on their path."""
+    context, root = spark.sparkContext, Path(tilegrid.__file__).parent
+    if getattr(context, "_tilegrid_sent", False) or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, f"tilegrid/{file.relative_to(root)}")
+    name = f"{shared_folder(spark)}/tilegrid-{uuid.uuid4().hex}.zip"
+    path, fs = _path(spark, name)
+    out = fs.create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(name)
+    context._tilegrid_sent = True
 
 
 def shared_folder(spark: SparkSession) -> str:
