@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilegrid.llm import oracles
 from tilegrid.llm.decontam import contamination
 from tilegrid.llm.licenses import license_scan
+from tilegrid.llm.linededup import line_counts
 from tilegrid.llm.mixing import mixed
 from tilegrid.llm.neardup import near_duplicates
 from tilegrid.llm.quality_model import score_quality
@@ -40,6 +41,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "epoch", "n_tokens", "take_tokens")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(documents(spark, sf_dir))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -68,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_line_dedup, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
