@@ -15,11 +15,16 @@ they occur; an empty table gives files without documents; further columns are ig
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +35,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilegrid.llm.kernels import Words, lower, texts_of
 from tilegrid.llm.shared import bound_batches, shared_folder, written
 
 # Of the zstandard seekable format, and a magic number of the range that readers skip.
 SEEK_MAGIC, SKIP_TABLE, SKIP_IDS, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50, 0x80
-#: Chunks remembered at most, and the longest chunk remembered.
-REMEMBERED, LONGEST = 200_000, 48
+#: Words remembered by a worker, about (30 bytes each).
+REMEMBERED = 2_000_000
+#: Documents of a file, about, and files at most.
+DOCS_A_FILE, MOST_FILES = 8192, 20_000
+
+
+#: Lines as (word of Latin letters, mark after it, "") or ("", "", line). No normalizer composes such letters anew, and every Unicode version lower-cases them alike.
+_PARTS = re.compile("^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)$|([^\n]*)$)", re.M).findall
+#: Words that tell whether the short way below gives a tokenizer's own ids.
+_PROBES = ["a", "word", "Word", "WORDS", "z\u00e9ro", "\u00dcber", "stra\u00dfe", "\u00c9t\u00e9", "se\u00f1or", "xqzjv", "internationalisation", "\u00f0\u00fe\u00e6\u00f8"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet for UTF-8 bytes of letters: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    printable = {10, *range(33, 127), *range(161, 173), *range(174, 256)}  # the line end stays, to split at
+    rest = (chr(256 + n) for n in range(256))
+    skipped = [b for b in range(256) if b not in printable or b == 10]
+    stands = dict(zip(skipped, rest, strict=False))
+    return {b: chr(b) if b in printable else stands[b] for b in range(256)}
 
 
 class Encoder:
     """Token ids of texts as bytes.
 
-    The tokenizer never joins characters across a space or line end, so a text is encoded chunk by chunk; ids of short chunks
-    are remembered in a table of bounded size.
+    Probes tell whether the tokenizer lower-cases, splits at white space and splits marks from letters. If so, the words of a batch are
+    hashed at once, each different word is looked up in a sorted table (64-bit hashes, bounded in size), only new words are
+    encoded - those of Latin letters by the tokenizer's model directly - and the ids are gathered from one array. Otherwise, and
+    for texts that spell a special token, the tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -50,43 +75,103 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            kept = {c: x for c, x in fresh.items() if len(c) <= LONGEST}
-            if len(kept) + len(known) <= REMEMBERED:
-                known.update(kept)
-            return b"".join([known[c] if c in known else fresh[c] if c in fresh else self._encode([c])[0] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.special = [t["content"].lower().encode() for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        self.letters = _byte_letters()
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        marked = [w + m for w in _PROBES for m in ("", ".", ",")]
+        whole, self.plain = self._whole(marked), True
+        self.marks = dict(zip(".,", self._whole([".", ","]), strict=True)) | {"": b""}
+        self.plain = self._short(marked) == whole and b"".join(whole) == self._whole([" \t\r\n\v\f ".join(marked)])[0]
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _short(self, chunks: list[str]) -> list[bytes]:
+        """Words of Latin letters by the model alone, the others whole. No chunk holds a line end."""
+        if not self.plain:
+            return self._whole(chunks)
+        parts = _PARTS("\n".join(chunks))
+        words = "\n".join([word for word, _, _ in parts if word]).lower()
+        if not words.isascii():
+            words = words.encode().decode("latin-1").translate(self.letters)
+        short = iter([_packed(e.ids) for e in self.model.encode_batch_fast(words.split("\n"), add_special_tokens=False)] if words else [])
+        long = iter(self._whole([rest for word, _, rest in parts if not word]))
+        marks = self.marks
+        return [next(long) if not word else next(short) + marks[mark] if mark else next(short) for word, mark, _ in parts]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new words are in the store, and how many."""
+        made = self._short(words)
+        size = np.array([len(x) // 4 for x in made], np.int32)
+        ids = np.frombuffer(b"".join(made), np.uint32)
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros(len(self.store), np.uint32)))
+        self.store[self.used : self.used + len(ids)] = ids
+        return self.used + np.cumsum(size) - size, size
+
+    def ids(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column; of null, none."""
+        data, bounds = texts_of(column)
+        low = lower(data)
+        raw = low.tobytes()
+        if not self.plain or any(s in raw for s in self.special):
+            return self._whole([x or "" for x in column.to_pylist()])
+        words = Words(low, bounds)
+        own, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, own)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == own[known]
+        at, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int32)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        if not known.all():
+            new = ~known
+            a, b = words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
+            at[new], size[new] = self._words([raw[x:y].decode() for x, y in zip(a, b, strict=True)])
+            if len(self.hashes) < REMEMBERED:
+                self.used += int(size[new].sum())
+                where = place[new]
+                self.hashes, self.at, self.size = (np.insert(old, where, x[new]) for old, x in ((self.hashes, own), (self.at, at), (self.size, size)))
+        sizes = size[which].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.store[np.repeat(at[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4", copy=False)
+        cuts = np.concatenate((np.zeros(1, np.int64), ends))[words.first].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
+def check_of(ids: bytes) -> int:
+    return xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF
 
 
 class Writer:
-    """Writes one file, document by document."""
+    """Writes one file from frames that are ready, document by document."""
 
     def __init__(self, out):
         self.out, self.table, self.doc_ids = out, [], []
-        self.packer = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        frame = self.packer.compress(ids)
+    def add(self, doc_id: int | None, frame: bytes, size: int, check: int) -> None:
         self.out.write(frame)
-        self.table.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
+        self.table.append((len(frame), size, check))
         self.doc_ids.append(struct.pack("<Bq", doc_id is not None, doc_id or 0))
 
     def close(self) -> None:
         ids = b"".join(self.doc_ids)
         self.out.write(struct.pack("<II", SKIP_IDS, len(ids)) + ids)
-        self.table.append((len(ids) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
+        self.table.append((len(ids) + 8, 0, check_of(b"")))
         body = b"".join(struct.pack("<III", *row) for row in self.table) + struct.pack("<IBI", len(self.table), HAS_CHECKSUMS, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SKIP_TABLE, len(body)) + body)
         self.out.close()
@@ -117,7 +202,7 @@ class Reader:
         packed, size, check = (int(x) for x in self.table[position])
         self.file.seek(int(self.at[position]))
         ids = self.unpacker.decompress(self.file.read(packed), max_output_size=size) if size else b""
-        if len(ids) != size or xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF != check:
+        if len(ids) != size or check_of(ids) != check:
             raise ValueError(f"frame {position} is damaged")
         return ids
 
@@ -126,28 +211,51 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> DataFrame:
-    """Encode and write all texts; returns (part, path, n_docs, n_tokens), a row for each file. Runs at once."""
+def _bounds(docs: DataFrame, docs_a_file: int) -> np.ndarray:
+    """Ids that divide the documents into files of about ``docs_a_file``; at most ``MOST_FILES``."""
+    n = docs.select("doc_id").where("doc_id IS NOT NULL").count()
+    files = min(MOST_FILES, -(-n // docs_a_file))
+    if files < 2:
+        return np.zeros(0, np.int64)
+    at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files).alias("at")).first()["at"]
+    return np.unique(np.array(at, np.int64))
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
+    """Encode and write all texts; returns (part, path, n_docs, n_tokens), a row for each file. Runs at once.
+
+    Texts are encoded and packed where they are read; only packed frames are shuffled.
+    """
     bound_batches(docs.sparkSession)
+    bounds = _bounds(docs, docs_a_file)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer).ids, struct.pack("<I", end_id)
+        packer = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
+        for batch in batches:
+            ids = [x + end for x in encode(batch.column("text"))]
+            doc_id = batch.column("doc_id")
+            part = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+            columns = [pa.array(part), doc_id, pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([check_of(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "frame", "size", "checksum"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, root = _opened(folder)
         store.create_dir(root, recursive=True)
         name, draft = f"{root}/part-{part:06d}.ids", f"{root}/.draft-{part:06d}-{uuid.uuid4().hex}"
-        encoder, end, n_ids = Encoder(tokenizer), struct.pack("<I", end_id), 0
-        writer = Writer(store.open_output_stream(draft))
+        writer, n_bytes = Writer(store.open_output_stream(draft)), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.ids(text or "") + end
-                writer.add(doc_id, ids)
-                n_ids += len(ids) // 4
+            for doc_id, frame, size, check in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "frame", "size", "checksum")), strict=True):
+                writer.add(doc_id, frame, size, check)
+                n_bytes += size
         writer.close()
         store.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([n_ids])], ["part", "path", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([n_bytes // 4])], ["part", "path", "n_docs", "n_tokens"])
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "token-files")
+    frames = docs.select("doc_id", "text").mapInArrow(pack, "part int, doc_id long, frame binary, size long, checksum long")
+    placed = frames.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "checksum", "frame").drop("part")
+    return written(placed.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
