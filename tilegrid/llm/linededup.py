@@ -34,6 +34,8 @@ from tilegrid.llm.shared import SPACE, bound_batches, small, written
 EDITS, SHORTEST = 2, 32
 #: Lines of a block; lines that a task remembers having told; and linked candidates up to which a broadcast is allowed (16 bytes each).
 BLOCK, REMEMBERED, MOST_BROADCAST = 1024, 200_000, 2_000_000
+#: Lines of a small group, and pairs that wait to be compared at once.
+FEW, WAITING = 8, 2048
 _GAPS = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
@@ -124,35 +126,64 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
     return distance <= edits
 
 
-def _links(nodes: list[int], indexed: np.ndarray, side: np.ndarray, lines: list[str], edits: int) -> list[tuple[int, int]]:
-    """A forest of the links between lines that share a key: of one block, or across two (``side`` 0 and 1)."""
-    codes = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
-    size = np.array([len(x) for x in codes])
-    bins = np.stack([np.bincount(x & 63, minlength=64) for x in codes]).astype(np.int32)
-    up = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    ids, found = np.array(nodes), []
-    two = bool(side.any() and not side.all())
-    for x in np.flatnonzero(indexed).tolist():
-        fits = (np.abs(size - size[x]) <= edits) & (ids != ids[x])
-        if two:
-            fits &= side != side[x]
-        others = np.flatnonzero(fits)
-        others = others[np.abs(bins[others] - bins[x]).sum(1) <= 2 * edits]
-        root = find(x)
-        others = [y for y in others.tolist() if find(y) != root]
-        if others:
-            for y in np.array(others)[within([codes[x]] * len(others), [codes[y] for y in others], edits)].tolist():
-                if find(y) != find(x):
-                    up[find(y)] = find(x)
-                    found.append((int(ids[x]), int(ids[y])))
-    return found
+class _Links:
+    """Collects the links between lines that share a key. Pairs of small groups wait until there are many to compare at once."""
+
+    def __init__(self, edits: int):
+        self.edits, self.waiting, self.seen, self.found = edits, [], set(), []
+
+    def group(self, nodes: list[int], indexed: list[int], side: list[int], lines: list[str]) -> None:
+        """One block of lines, or two (``side`` 0 and 1), between which alone links are sought."""
+        codes = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
+        bins = [np.bincount(x & 63, minlength=64).astype(np.int32) for x in codes]
+        (self._few if len(nodes) <= FEW else self._many)(nodes, indexed, side, codes, bins)
+
+    def _few(self, nodes, indexed, side, codes, bins) -> None:
+        """All pairs wait to be compared."""
+        two = len(set(side)) == 2
+        for i in range(len(nodes)):
+            for j in range(i):
+                fits = (indexed[i] or indexed[j]) and (not two or side[i] != side[j]) and abs(len(codes[i]) - len(codes[j])) <= self.edits and nodes[i] != nodes[j]
+                pair = (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+                if fits and pair not in self.seen and np.abs(bins[i] - bins[j]).sum() <= 2 * self.edits:
+                    if len(self.seen) < REMEMBERED:
+                        self.seen.add(pair)
+                    self.waiting.append((pair, codes[i], codes[j]))
+        if len(self.waiting) >= WAITING:
+            self.flush()
+
+    def flush(self) -> None:
+        self.waiting.sort(key=lambda w: len(w[1]))
+        for a in range(0, len(self.waiting), 256):
+            part = self.waiting[a : a + 256]
+            self.found += [w[0] for w, ok in zip(part, within([w[1] for w in part], [w[2] for w in part], self.edits), strict=True) if ok]
+        self.waiting.clear()
+
+    def _many(self, nodes, indexed, side, codes, bins) -> None:
+        """A forest of the links: what is connected already isn't compared."""
+        size, ids, sides, counts = np.array([len(x) for x in codes]), np.array(nodes), np.array(side), np.stack(bins)
+        two, up = bool(sides.any() and not sides.all()), list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x in np.flatnonzero(np.array(indexed)).tolist():
+            fits = (np.abs(size - size[x]) <= self.edits) & (ids != ids[x])
+            if two:
+                fits &= sides != sides[x]
+            others = np.flatnonzero(fits)
+            others = others[np.abs(counts[others] - counts[x]).sum(1) <= 2 * self.edits]
+            root = find(x)
+            others = [y for y in others.tolist() if find(y) != root]
+            for a in range(0, len(others), 256):
+                part = others[a : a + 256]
+                for y in np.array(part)[within([codes[x]] * len(part), [codes[y] for y in part], self.edits)].tolist():
+                    if find(y) != find(x):
+                        up[find(y)] = find(x)
+                        self.found.append((int(ids[x]), int(ids[y])))
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
@@ -192,17 +223,16 @@ def confirmed_edges(docs: DataFrame, keys: DataFrame, edits: int = EDITS) -> Dat
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held, edges = None, [], []
+        open_key, held, links = None, [], _Links(edits)
 
         def close() -> None:
             if len(held) > 1:
-                node, indexed, side, line = zip(*held, strict=True)
-                edges.extend(_links(list(node), np.array(indexed), np.array(side), list(line), edits))
+                links.group(*(list(z) for z in zip(*held, strict=True)))
             held.clear()
 
         def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
-            edges.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([e[i] for e in links.found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            links.found.clear()
             return out
 
         for batch in batches:
@@ -213,6 +243,7 @@ def confirmed_edges(docs: DataFrame, keys: DataFrame, edits: int = EDITS) -> Dat
                 held.append((node, indexed, side, line))
             yield told()
         close()
+        links.flush()
         yield told()
 
     return dealt.mapInArrow(run, "a long, b long")
