@@ -100,7 +100,7 @@ def compact(value: Column) -> Column:
     """Thousands as ``1.2 K`` or ``12 K``, smaller numbers with grouping and at most three digits."""
     thousands = value / 1000
     digits = F.when(F.abs(thousands) >= 10, 0).otherwise(1)
-    return F.when(F.abs(value) >= 1000, F.concat(fixed(thousands, digits), F.lit(" K"))).otherwise(F.format_number(value, "#,##0.###"))
+    return F.when(F.abs(value) >= 1000, F.concat(fixed(thousands, digits), F.lit(" K"))).otherwise(F.call_function("format_number", value, F.lit("#,##0.###")))
 
 
 def milliseconds(value: Column) -> Column:
@@ -109,7 +109,7 @@ def milliseconds(value: Column) -> Column:
 
 def trace_line(summary: Column, requested: Column) -> Column:
     """The one-line account of an attempt's timing; ``summary`` as ``traces.summary`` makes it."""
-    ms = lambda name: milliseconds(summary[name].cast("double"))
+    ms = lambda name: milliseconds(summary[name])
     count = lambda name: F.coalesce(summary[name], F.lit(0)).cast("string")
     parts = [
         F.concat(F.lit("requested "), F.coalesce(F.concat(F.nullif(requested, F.lit("")), F.lit(" reasoning")), F.lit("reasoning"))),

@@ -26,7 +26,7 @@ def put(grid: Column, row: Column, col: Column, letter: Column) -> Column:
 def grid_of(board: Column) -> Column:
     """The grid of an array of cells; of several cells on a square the last counts."""
     mark = lambda cell: F.when(F.coalesce(cell.is_blank, F.lit(False)), F.lower(cell.letter)).otherwise(F.upper(cell.letter))
-    return F.aggregate(F.coalesce(board, F.array().cast("array<struct<row:int,col:int,letter:string,is_blank:boolean>>")), F.lit(EMPTY), lambda grid, cell: put(grid, cell.row, cell.col, mark(cell)))
+    return F.coalesce(F.aggregate(board, F.lit(EMPTY), lambda grid, cell: put(grid, cell.row, cell.col, mark(cell))), F.lit(EMPTY))
 
 
 def line_of(grid: Column, across: Column, number: Column) -> Column:

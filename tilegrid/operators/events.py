@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilegrid.functions.payload import text_of
 from tilegrid.functions.texts import shortened
+from tilegrid.operators.board import let
 
 # Kinds of items that hold an answer, and that hold reasoning.
 ANSWERS, THOUGHTS = ("agent_message", "assistant_message", "message"), ("reasoning", "thought", "thinking")
@@ -50,7 +51,10 @@ def _crumb(event: Column, has_item: Column, v: Column) -> Column:
 
 def agent_event(line: Column) -> Column:
     """(text, channel, event_type) of an agent's line; lines that aren't JSON are content."""
-    v = F.try_parse_json(line)
+    return let(F.try_parse_json(line), lambda v: _agent_event(line, v))
+
+
+def _agent_event(line: Column, v: Column) -> Column:
     shape = F.schema_of_variant(v)
     event, kind = _scalar(v, "$.type"), _scalar(v, "$.item.type")
     has_item = F.startswith(F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.item", "variant")), F.lit("")), F.lit("OBJECT"))
