@@ -8,6 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What an error text contains, and the hint that goes with it; the first that fits counts.
 HINTS = (
@@ -85,7 +86,7 @@ def iso_time(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A number with so many digits after the point, rounding the exact binary value half up, which no built-in format does."""
     for numbers, digits in values:

@@ -52,7 +52,7 @@ def normalized(raw: Column, grid: Column) -> Column:
 
 def supplied(fresh: Column, rack: Column) -> Column:
     """(error, rest, placements): each new tile takes its letter from the rack, or else a blank, in reading order."""
-    places = F.filter(F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1)), lambda i: F.substr(fresh, i + 1, F.lit(1)) != ".")
+    places = F.transform(F.filter(F.transform(F.split(fresh, ""), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (p.x != ".") & (p.x != "")), lambda p: p.i)
     none = F.array().cast("array<struct<row:int,col:int,letter:string,is_blank:boolean>>")
     start = F.struct(F.lit(None).cast("string").alias("error"), F.upper(F.coalesce(rack, F.lit(""))).alias("rest"), none.alias("placements"))
 
@@ -98,27 +98,38 @@ def _word(grid: Column, fresh: Column, row: Column, col: Column, across: Column,
 def _formed(grid: Column, fresh: Column, tiles: Column, empty: Column) -> Column:
     """(error, words): the words that a move forms, main word first, or the first error of its shape."""
     rows, cols = F.transform(tiles, lambda t: t.row), F.transform(tiles, lambda t: t.col)
-    one, row, col = F.size(tiles) == 1, F.get(tiles, F.lit(0)).row, F.get(tiles, F.lit(0)).col
+    row, col = F.get(tiles, F.lit(0)).row, F.get(tiles, F.lit(0)).col
+    opening = F.exists(tiles, lambda t: (t.row == CENTER) & (t.col == CENTER))
+    made = lambda error, words: F.struct(F.lit(error).cast("string").alias("error"), words.alias("words"))
+    none = F.lit(None).cast("array<struct<kind:string,text:string,points:int,touches:boolean>>")
+
+    def one() -> Column:
+        both = F.array(_word(grid, fresh, row, col, F.lit(True), "word"), _word(grid, fresh, row, col, F.lit(False), "word"))
+
+        def chosen(pair: Column) -> Column:
+            long = F.filter(pair, lambda w: F.length(w.text) > 1)
+            # A first move of one tile forms its letter once, though it is a word of both lines.
+            return let(long, lambda x: F.when(F.size(x) > 0, made(None, F.when(empty, pair).otherwise(x))).when(empty, made(None, F.slice(pair, 1, 1))).otherwise(made("Single-tile move does not connect to any word.", none)))
+
+        return let(both, chosen)
+
+    def several(across: Column) -> Column:
+        line = line_of(grid, across, F.when(across, row).otherwise(col))
+        low, high = F.when(across, F.array_min(cols)).otherwise(F.array_min(rows)), F.when(across, F.array_max(cols)).otherwise(F.array_max(rows))
+        gap = F.instr(F.substr(line, low + 1, high - low + 1), F.lit(".")) > 0
+        main = F.array(_word(grid, fresh, row, col, across, "main"))
+        # On an empty board no tile has a neighbour across the line.
+        cross = F.filter(F.transform(tiles, lambda t: _word(grid, fresh, t.row, t.col, ~across, "cross")), lambda w: F.length(w.text) > 1)
+        return F.when(gap, made("Move has a gap in its main word.", none)).otherwise(made(None, F.when(empty, main).otherwise(F.concat(main, cross))))
+
     across = F.size(F.array_distinct(rows)) == 1
     straight = across | (F.size(F.array_distinct(cols)) == 1)
-    opening = F.exists(tiles, lambda t: (t.row == CENTER) & (t.col == CENTER))
-    line = line_of(grid, across, F.when(across, row).otherwise(col))
-    low, high = F.when(across, F.array_min(cols)).otherwise(F.array_min(rows)), F.when(across, F.array_max(cols)).otherwise(F.array_max(rows))
-    gap = F.instr(F.substr(line, low + 1, high - low + 1), F.lit(".")) > 0
-    main = _word(grid, fresh, row, col, across, "main")
-    cross = F.filter(F.transform(tiles, lambda t: _word(grid, fresh, t.row, t.col, ~across, "cross")), lambda w: F.length(w.text) > 1)
-    both = F.array(_word(grid, fresh, row, col, F.lit(True), "word"), _word(grid, fresh, row, col, F.lit(False), "word"))
-    long = F.filter(both, lambda w: F.length(w.text) > 1)
-    # A first move of one tile forms its letter once, though it is a word of both lines.
-    single = F.when(empty, F.when(F.size(long) > 0, both).otherwise(F.slice(both, 1, 1))).otherwise(long)
-    error = (
-        F.when(~one & ~straight, "Placements must all be on the same row or column.")
-        .when(empty & ~opening, "The opening move must cover the center square.")
-        .when(~one & gap, "Move has a gap in its main word.")
-        .when(one & ~empty & (F.size(long) == 0), "Single-tile move does not connect to any word.")
+    return (
+        F.when((F.size(tiles) > 1) & ~straight, made("Placements must all be on the same row or column.", none))
+        .when(empty & ~opening, made("The opening move must cover the center square.", none))
+        .when(F.size(tiles) == 1, one())
+        .otherwise(let(across, several))
     )
-    words = F.when(error.isNull(), F.when(one, single).otherwise(F.concat(F.array(main), cross)))
-    return F.struct(error.alias("error"), words.alias("words"))
 
 
 def judged(raw: Column, board: Column, rack: Column) -> Column:
@@ -134,17 +145,21 @@ def judged(raw: Column, board: Column, rack: Column) -> Column:
 
 
 def score_moves(moves: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """move_id, placements, score, words, error of each move. ``moves``: move_id, rack, board, raw; ``lexicon``: word."""
-    shaped = moves.select("move_id", judged(F.col("raw"), F.col("board"), F.col("rack")).alias("j")).select("move_id", "j.*")
+    """move_id, placements, score, words, error of each move. ``moves``: move_id (unique), rack, board, raw; ``lexicon``: word.
+
+    A move is judged once: its outcome goes along with its words to the lexicon and comes back in one grouping.
+    """
+    shaped = moves.select("move_id", judged(F.col("raw"), F.col("board"), F.col("rack")).alias("j"))
     known = lexicon.select(F.col("word").alias("text"), F.lit(True).alias("known")).distinct()
     if known.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
         known = F.broadcast(known)
-    looked = shaped.select("move_id", F.posexplode("words").alias("n", "w")).select("move_id", "n", "w.kind", "w.text").join(known, "text", "left")
-    wrong = looked.where(F.col("known").isNull()).groupBy("move_id").agg(F.min_by(F.struct("kind", "text"), "n").alias("bad"))
+    looked = shaped.select("move_id", "j", F.posexplode_outer("j.words").alias("n", "w")).select("move_id", "j", "n", "w.kind", "w.text").join(known, "text", "left")
+    wrong = F.col("known").isNull() & F.col("text").isNotNull()
+    rows = looked.groupBy("move_id").agg(F.first("j").alias("j"), F.min_by(F.struct("kind", "text"), F.when(wrong, F.col("n"))).alias("bad")).select("move_id", "j.*", "bad")
     told = F.when(F.col("bad.kind") == "main", "Main word is invalid: ").when(F.col("bad.kind") == "cross", "Cross word is invalid: ").when(F.col("bad").isNotNull(), "Word is invalid: ")
     loose = ~F.col("empty") & ~F.exists("words", lambda w: w.touches)
     error = F.coalesce("error", F.concat(told, F.col("bad.text")), F.when(loose, "Move does not connect to the existing board."))
     score = F.aggregate("words", F.lit(0), lambda n, w: n + w.points) + F.when(F.size("placements") == RACK, BONUS).otherwise(0)
-    rows = shaped.join(wrong, "move_id", "left").withColumn("error", error)
+    rows = rows.withColumn("error", error)
     right = F.col("error").isNull()
     return rows.select("move_id", F.when(right, F.col("placements")).alias("placements"), F.when(right, score).alias("score"), F.when(right, F.array_sort(F.array_distinct(F.transform("words", lambda w: w.text)))).alias("words"), "error")
