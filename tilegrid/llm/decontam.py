@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilegrid.llm.shared import ascii_lower, let, words, written
+from tilegrid.llm.shared import ascii_lower, let, packed, unpacked, words, written
 
 REGION, NEED = 13, 11
 #: Offsets of the words that a mask reads.
@@ -80,12 +80,13 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, most_seeds: int =
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """Every row of ``docs`` with ``items`` (benchmark ids found in its text, sorted) and ``contaminated``."""
-    found = written(contaminated_texts(docs, benchmark, most_seeds), "decontam").withColumnRenamed("key", "_key").withColumnRenamed("items", "_items")
-    judged = docs.withColumn("_key", F.md5("text")).join(found, "_key", "left")
-    ids = dict(found.dtypes)["_items"]
-    return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("items", "contaminated")), F.coalesce("_items", F.array().cast(ids)).alias("items"), F.col("_items").isNotNull().alias("contaminated"))
+    found = written(contaminated_texts(docs, benchmark, most_seeds), "decontam").withColumnRenamed("items", "found")
+    judged = packed(docs, key=F.md5("text")).join(found, "key", "left")
+    none = F.array().cast(dict(found.dtypes)["found"])
+    return judged.select(*unpacked(docs, ("items", "contaminated")), F.coalesce("found", none).alias("items"), F.col("found").isNotNull().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with their columns."""
-    return contamination(docs, benchmark).where(~F.col("contaminated")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = written(contaminated_texts(docs, benchmark), "decontam")
+    return packed(docs, key=F.md5("text")).join(found, "key", "left_anti").select(*unpacked(docs))

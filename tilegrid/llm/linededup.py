@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import components
 from tilegrid.llm.kernels import U64, _powers, mix
-from tilegrid.llm.shared import SPACE, bound_batches, small, written
+from tilegrid.llm.shared import SPACE, bound_batches, packed, small, written
 
 #: Edits allowed, and the characters that a line needs for links by edits.
 EDITS, SHORTEST = 2, 32
@@ -253,28 +253,36 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def first_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(row, place): the lines that stay, a row for each class. ``row`` is the hash of doc_id and text."""
+def classified_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """row, doc_id, place, class, check of every line with a word. ``row`` is the hash of doc_id and text; ``class`` the smallest hash of a line
+    of its class, with ``check``, another hash, where the line is linked with no other."""
     keys = written(shared_keys(docs, edits), "line-keys")
     classes = components(confirmed_edges(docs, keys, edits), "line-links")
     rows = _lines(docs, _row().alias("row"), F.col("doc_id")).select("row", "doc_id", "place", "node", F.hash("line").alias("check"))
     rows = rows.join(classes, "node", "left")
-    own = rows.withColumns({"class": F.coalesce("component", "node"), "check": F.when(F.col("component").isNull(), F.col("check"))})
-    return own.groupBy("class", "check").agg(F.min(F.struct("doc_id", "place", "row")).alias("first")).select("first.row", "first.place")
+    own = rows.select("row", "doc_id", "place", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
+    return written(own, "line-classes")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(row, place): the lines that stay, one of each class."""
+    return lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "place", "row")).alias("first")).select("first.row", "first.place")
 
 
 def line_counts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """doc_id, n_lines (with a word), n_kept, n_removed of every row."""
-    kept = first_lines(docs, edits).groupBy("row").agg(F.count("*").alias("n_kept"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    rows = docs.select("doc_id", _row().alias("row"), F.size(lines).cast("long").alias("n_lines")).join(kept, "row", "left")
-    return rows.select("doc_id", "n_lines", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.col("n_lines") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+    """doc_id, n_lines (with a word), n_kept, n_removed, line_classes (the class of each of these lines, in order) of every row."""
+    lines = classified_lines(docs, edits)
+    kept = first_lines(lines).groupBy("row").agg(F.count("*").alias("n_kept"))
+    own = lines.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "class"))).alias("c"))
+    rows = docs.select("doc_id", _row().alias("row")).join(own, "row", "left").join(kept, "row", "left")
+    n, k = F.when(F.col("c").isNull(), 0).otherwise(F.size("c")).cast("long"), F.coalesce("n_kept", F.lit(0))
+    return rows.select("doc_id", n.alias("n_lines"), k.alias("n_kept"), (n - k).alias("n_removed"), F.coalesce(F.transform("c", lambda x: x["class"]), F.array().cast("array<long>")).alias("line_classes"))
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with the lines that don't stay cut from ``text``; other columns stay as they are."""
-    kept = first_lines(docs, edits).groupBy("row").agg(F.collect_list("place").alias("_kept")).withColumnRenamed("row", "_row")
-    rows = docs.withColumn("_row", _row()).join(kept, "_row", "left")
-    stays = lambda x, i: ~x.rlike(f"[^{SPACE}]") | F.coalesce(F.array_contains("_kept", i), F.lit(False))
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    kept = first_lines(classified_lines(docs, edits)).groupBy("row").agg(F.collect_list("place").alias("kept"))
+    rows = packed(docs, row=_row()).join(kept, "row", "left")
+    stays = lambda x, i: ~x.rlike(f"[^{SPACE}]") | F.coalesce(F.array_contains("kept", i), F.lit(False))
+    text = F.when(F.col("doc.text").isNotNull(), F.array_join(F.filter(F.split("doc.text", "\n"), stays), "\n"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

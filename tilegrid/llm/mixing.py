@@ -20,11 +20,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilegrid.llm.shared import words, written
+from tilegrid.llm.shared import packed, unpacked, words, written
 
 #: Hex digits of the hash that number a bucket.
 DIGITS = 3
 LEVELS = ("domain", "lang", "source")
+ADDED = ("domain", "epoch", "n_tokens", "take_tokens")
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,9 @@ def domain_of(source: Column) -> Column:
 
 
 def with_leaf(docs: DataFrame) -> DataFrame:
-    """``docs`` with its leaf's names under ``_domain``, ``_lang``, ``_source``, and ``_n``, the tokens (words) of the text."""
+    """The rows of ``docs`` as ``doc``, with doc_id, the leaf's ``domain``, ``lang`` and ``source``, ``n`` (the tokens, that is words, of the text) and ``t``, a hash of the text."""
     source = F.coalesce("source", F.lit(""))
-    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce("lang", F.lit("")), "_source": source, "_n": F.size(words(F.col("text"))).cast("long")})
+    return packed(docs, doc_id=F.col("doc_id"), domain=domain_of(source), lang=F.coalesce("lang", F.lit("")), source=source, n=F.size(words(F.col("text"))).cast("long"), t=F.xxhash64("text"))
 
 
 def _divided(children: DataFrame, parent: list[str], name: str, mix: Mix) -> DataFrame:
@@ -94,41 +95,37 @@ def _hash(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows taken: the columns of ``docs`` with domain, epoch (from 0), n_tokens and take_tokens (the leading tokens taken)."""
-    mix = mix or Mix()
-    rows = with_leaf(docs).where("_n > 0")
-    small = written(rows.select("_domain", "_lang", "_source", "doc_id", F.xxhash64("text").alias("_t"), "_n"), "mix-rows")
-    leaves = small.groupBy(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source")).agg(F.sum("_n").alias("tokens"))
-    leaf = budgets(written(leaves, "mix-leaves"), mix)
-    leaf = leaf.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.expr("cast(budget div tokens as int)").alias("_whole"), F.expr("budget % tokens").alias("_rest"))
-    leaf = written(leaf, "mix-budgets")
-    keys = [f"_{c}" for c in LEVELS]
+    mix, keys = mix or Mix(), [*LEVELS]
+    rows = with_leaf(docs).where("n > 0")
+    small = written(rows.drop("doc"), "mix-rows")
+    leaf = budgets(written(small.groupBy(*keys).agg(F.sum("n").alias("tokens")), "mix-leaves"), mix)
+    leaf = written(leaf.select(*keys, F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-budgets")
 
     def hashed(df: DataFrame) -> DataFrame:
-        return df.join(leaf, keys).withColumn("_h", _hash(F.col("_whole"), F.col("doc_id"), mix.seed)).withColumn("_bucket", F.substring("_h", 1, DIGITS))
+        return df.join(leaf, keys).withColumn("h", _hash(F.col("whole"), F.col("doc_id"), mix.seed)).withColumn("bucket", F.substring("h", 1, DIGITS))
 
+    # The bucket in which each leaf's budget ends, and the tokens before it.
     told = hashed(small)
-    counts = told.groupBy(*keys, "_rest", "_bucket").agg(F.sum("_n").alias("_in"))
-    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = counts.withColumn("_ahead", F.coalesce(F.sum("_in").over(running), F.lit(0))).where((F.col("_ahead") < F.col("_rest")) & (F.col("_ahead") + F.col("_in") >= F.col("_rest")))
-    edge = written(edge.select(*keys, F.col("_bucket").alias("_edge"), "_ahead"), "mix-edges")
-    order = Window.partitionBy(*keys).orderBy("_h", "doc_id", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    last = told.join(edge, keys).where(F.col("_bucket") == F.col("_edge")).withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    last = last.withColumn("_take", F.least(F.col("_n"), F.greatest(F.lit(0), F.col("_rest") - F.col("_start"))))
-    last = last.groupBy(*keys, "_h", "_t").agg(F.sort_array(F.collect_list("_take"), asc=False).alias("_takes"))  # more than one only for equal rows
-    last = written(last, "mix-last")
-    wide = hashed(rows.withColumn("_t", F.xxhash64("text"))).join(edge.select(*keys, "_edge"), keys, "left").join(last, [*keys, "_h", "_t"], "left")
-    equal = F.row_number().over(Window.partitionBy(*keys, "_h", "_t").orderBy("_h"))
-    several = last.where(F.size("_takes") > 1).limit(1).count() > 0
-    nth = equal if several else F.lit(1)
-    part = F.when(F.col("_bucket") < F.col("_edge"), F.col("_n")).when(F.col("_bucket") == F.col("_edge"), F.get("_takes", nth - 1)).otherwise(0)
-    wide = wide.withColumn("_part", part)
-    turns = F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda e: F.struct(e.alias("epoch"), F.when(e < F.col("_whole"), F.col("_n")).otherwise(F.coalesce("_part", F.lit(0))).cast("long").alias("take_tokens")))
-    added = ("domain", "epoch", "n_tokens", "take_tokens")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    out = wide.select(*own, F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.explode(turns).alias("_turn"))
-    return out.select(*own, "domain", "n_tokens", "_turn.epoch", "_turn.take_tokens").where("take_tokens > 0")
+    counts = told.groupBy(*keys, "rest", "bucket").agg(F.sum("n").alias("inside"))
+    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = counts.withColumn("ahead", F.coalesce(F.sum("inside").over(running), F.lit(0))).where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("inside") >= F.col("rest")))
+    edge = written(edge.select(*keys, F.col("bucket").alias("edge"), "ahead"), "mix-edges")
+    # Within it, documents in their order; equal rows share an entry.
+    order = Window.partitionBy(*keys).orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    last = told.join(edge, keys).where(F.col("bucket") == F.col("edge")).withColumn("start", F.col("ahead") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    last = last.withColumn("take", F.least(F.col("n"), F.greatest(F.lit(0), F.col("rest") - F.col("start"))))
+    last = written(last.groupBy(*keys, "h", "t").agg(F.sort_array(F.collect_list("take"), asc=False).alias("takes")), "mix-last")
+    several = last.where(F.size("takes") > 1).limit(1).count() > 0
+    nth = F.row_number().over(Window.partitionBy(*keys, "h", "t").orderBy("h")) if several else F.lit(1)
+    wide = hashed(rows).join(edge.select(*keys, "edge"), keys, "left").join(last, [*keys, "h", "t"], "left")
+    part = F.when(F.col("bucket") < F.col("edge"), F.col("n")).when(F.col("bucket") == F.col("edge"), F.get("takes", nth - 1)).otherwise(0)
+    wide = wide.withColumn("part", part)
+    turns = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda e: F.struct(e.alias("epoch"), F.when(e < F.col("whole"), F.col("n")).otherwise(F.coalesce("part", F.lit(0))).cast("long").alias("take_tokens")))
+    out = wide.select("doc", F.col("domain").alias("of"), "n", F.explode(turns).alias("turn")).where("turn.take_tokens > 0")
+    return out.select(*unpacked(docs, ADDED), F.col("of").alias("domain"), "turn.epoch", F.col("n").alias("n_tokens"), "turn.take_tokens")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole and in each epoch that takes them, with their columns."""
-    return mixed(docs, mix).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), "doc_id", "text", "lang", "source")
+    return mixed(own, mix).select(*(F.col(f"kept.`{c}`") for c in docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import components
 from tilegrid.llm.kernels import U64, Words, distinct, lower, mix, shingles, texts_of
-from tilegrid.llm.shared import bound_batches, written
+from tilegrid.llm.shared import bound_batches, packed, unpacked, written
 
 #: Words of a shingle; links need PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 5, 85
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component the rows of its smallest doc_id, once each."""
-    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    return left.dropDuplicates(["doc_id", "_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay, with their columns: of each component the rows of its smallest doc_id, of equal ids and texts one."""
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "neardup-gone")
+    left = packed(docs, doc_id=F.col("doc_id"), row=F.xxhash64("doc_id", "text")).join(gone, "doc_id", "left_anti")
+    return left.dropDuplicates(["doc_id", "row"]).select(*unpacked(docs))

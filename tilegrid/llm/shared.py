@@ -107,3 +107,14 @@ def let(value: Column, body) -> Column:
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if a count proves that it has at most ``most_rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``doc``, so that none of their names can clash, and ``more``."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return docs.select(whole, *(made.alias(name) for name, made in more.items()))
+
+
+def unpacked(docs: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` out of ``doc``."""
+    return [F.col(f"doc.`{c}`") for c in docs.columns if c not in without]
