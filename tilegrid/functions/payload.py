@@ -58,3 +58,15 @@ def placements_text(text: Column) -> Column:
     one = lambda p: F.concat(F.lit("("), p.row, F.lit(","), p.col, F.lit(")="), F.upper(p.letter))
     listed = F.array_join(F.transform(F.filter(call.placements, lambda p: p.isNotNull()), one), ", ")
     return F.when(call.error.isNotNull() | call.placements.isNull(), "(could not parse placements from previous response)").when(F.size(call.placements) == 0, "(none)").otherwise(listed)
+
+
+def details_text(value: Column) -> Column:
+    """The summaries of a list of reasoning details, a line each; a summary is a string or a list of texts."""
+
+    def one(v: Column) -> Column:
+        summary = F.try_variant_get(v, "$.summary", "variant")
+        kind = F.coalesce(F.schema_of_variant(summary), F.lit(""))
+        parts = F.filter(F.transform(F.try_variant_get(summary, "$", "array<variant>"), text_of), lambda x: x != "")
+        return F.when(kind == "STRING", F.array(F.try_variant_get(summary, "$", "string"))).when(F.startswith(kind, F.lit("ARRAY")), parts).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(F.array_join(F.filter(F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), one)), lambda x: x != ""), "\n"), F.lit(""))

@@ -76,3 +76,9 @@ def overlay_view(positions: DataFrame, marks: DataFrame) -> DataFrame:
     tiles = cell_rows(positions).select("id", "row", "col", F.col("letter").alias("tile"))
     shown = every.join(squares, ["row", "col"], "left").join(tiles, ["id", "row", "col"], "left").join(marks.select("id", "row", "col", F.col("letter").alias("mark")), ["id", "row", "col"], "left")
     return shown.select("id", "row", "col", F.coalesce("mark", "tile", "label", F.lit("")).alias("text"))
+
+
+def position_key(board: Column, rack: Column) -> Column:
+    """Text that is equal for positions of the same tiles and rack, in whatever order the cells are listed."""
+    cells = F.array_sort(F.transform(board, lambda c: F.struct(c.row.alias("row"), c.col.alias("col"), c.letter.alias("letter"), F.coalesce(c.is_blank, F.lit(False)).alias("is_blank"))))
+    return F.to_json(F.struct(cells.alias("cells"), rack.alias("rack")))

@@ -81,3 +81,10 @@ def slug_parts(slug: Column) -> Column:
     """(kind, agent, model) of ``kind/agent/model``; the model may hold slashes."""
     parts = F.split(F.trim(slug), "/", 3)
     return F.struct(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("agent"), F.nullif(F.trim(F.get(parts, F.lit(2))), F.lit("")).alias("model"))
+
+
+def agent_metadata(agents: DataFrame) -> DataFrame:
+    """model_id, model_name, company_slug, supports_reasoning, reasoning_effort of agents (id, name, model, effort) as models."""
+    model, effort = F.nullif(F.trim("model"), F.lit("")), F.nullif(F.lower(F.trim("effort")), F.lit(""))
+    name = F.concat("name", F.lit(" ("), F.coalesce(model, F.lit("default")), F.lit(")"), F.coalesce(F.concat(F.lit(" ["), effort, F.lit("]")), F.lit("")))
+    return agents.select(F.concat_ws("/", F.lit("cli"), "id", model).alias("model_id"), name.alias("model_name"), F.lit("cli").alias("company_slug"), effort.isNotNull().alias("supports_reasoning"), F.coalesce(effort, F.lit("cli")).alias("reasoning_effort"))

@@ -123,3 +123,20 @@ def synthetic_events(content: Column, reasoning: Column, latency: Column) -> Col
     none = F.lit(None).cast("int")
     told = F.array(event("request_sent", F.lit(0), none), event("non_stream_response", latency, none), F.when(F.length(reasoning) > 0, event("reasoning_delta", latency, F.length(reasoning))), F.when(F.length(content) > 0, event("content_delta", latency, F.length(content))))
     return F.filter(told, lambda e: e.isNotNull())
+
+
+def output_text(lines: DataFrame) -> DataFrame:
+    """key, text of an agent's whole output: its text parts together, else the last other text, else the output itself. ``lines``: key, seq, line."""
+    v = F.try_parse_json("line")
+    part = F.when(_scalar(v, "$.type") == "text", _string(v, "$.part.text"))
+    other = F.coalesce(*(F.nullif(F.trim(_string(v, path)), F.lit("")) for path in ("$.message.content", "$.content", "$.text")))
+    rows = lines.select("key", "seq", "line", part.alias("part"), other.alias("other"))
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c]), by)
+    out = rows.groupBy("key").agg(F.nullif(F.trim(joined("part", "")), F.lit("")).alias("parts"), F.max_by("other", F.when(F.col("other").isNotNull(), F.col("seq"))).alias("other"), F.trim(joined("line", "\n")).alias("all"))
+    return out.select("key", F.coalesce("parts", "other", "all").alias("text"))
+
+
+def status_text(status: Column, detail: Column) -> Column:
+    """A status as a line of the reasoning channel."""
+    told = F.when(F.coalesce(detail, F.lit("")) == "", status).otherwise(F.concat(status, F.lit(": "), shortened(detail, 240)))
+    return F.when(F.endswith(told, F.lit("\n")), told).otherwise(F.concat(told, F.lit("\n")))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("runs", "words", "logs")
+PARTS = ("runs", "words", "logs", "evaluate")
 
 
 def _all() -> dict[Callable, str | None]:
