@@ -25,7 +25,7 @@ SKETCH_K = 1024
 #: How many spreads above the upper quartile a measure may lie.
 REACH = 3.0
 #: Measure: its least spread, so that a group of equal values doesn't reject all others.
-MEASURES = {"symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.02, "mean_word": 1.0}
+MEASURES = {"symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.05, "mean_word": 1.0}
 
 
 def _repeated(hashes: Column) -> Column:
