@@ -14,6 +14,8 @@ from tilegrid.llm.shared import documents, written
 from tilegrid.llm.token_files import token_files
 from tilegrid.llm.toxicity import reject_toxic
 
+#: Percent of five-word shingles that near copies share.
+SIMILARITY = 80
 #: The mix of the corpus: as the operator's own, but no document twice.
 MIX = Mix(epochs=1)
 
@@ -25,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies: that with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

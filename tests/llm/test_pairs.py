@@ -51,8 +51,8 @@ def _copies(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "percent"), [(512, 85), (6, 85), (512, 80)])
+def test_near_duplicates(spark, monkeypatch, block, percent):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
     rng = random.Random(block)
     bases = [[f"v{rng.randrange(900)}" for _ in range(size)] for size in (3, 6, 40, 80, 150)]
@@ -63,14 +63,14 @@ def test_near_duplicates(spark, monkeypatch, block):
     for t in texts:
         w = WORD.findall((t or "").lower())
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     want = classes(len(texts), linked)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in near_duplicates(docs).collect()}
+    got = {r.doc_id: r for r in near_duplicates(docs, percent).collect()}
     assert [got[i].component_id for i in range(len(texts))] == want
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert all(got[i].kept == (want[i] == i) for i in got)
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted(set(want))
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs, percent).collect()) == sorted(set(want))
 
 
 def test_equal_symbols_as_often_as_sets_overlap():

@@ -5,7 +5,7 @@ group of exact copies costs one document from there on. A class has a signature
 Signatures are cut into chunks; within each chunk one wrong symbol is enumerated, that is, each symbol is left out in turn and the
 others are the key. Signatures that differ in at most ``2 * CHUNKS - 1`` symbols have a chunk with at most one difference
 (pigeonhole), so they share a key: no such pair is missed. Beyond that distance a pair is found if any chunk differs in at most one
-symbol; at the similarity threshold itself 3 in a million are not.
+symbol; of pairs at a similarity of 0.8, 3 in a million are not, and of those at 0.85, 4 in a thousand million.
 
 Classes that share a key are candidates. They are joined to groups by edges to the key's least class, never by all pairs of a
 key. Within a group, signatures within ``FAR`` symbols that aren't connected yet are compared on their full shingle sets, in blocks
@@ -32,10 +32,10 @@ from tilegrid.llm.shared import bound_batches, packed, unpacked, written
 #: Words of a shingle; links need PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 5, 85
 #: Chunks of a signature and symbols of a chunk.
-CHUNKS, WIDTH = 12, 8
+CHUNKS, WIDTH = 18, 8
 SYMBOLS = CHUNKS * WIDTH
-#: Signatures that differ in more symbols aren't compared: at the threshold, 14.4 are expected, and 36 lie six deviations above.
-FAR = 36
+#: Signatures that differ in more symbols aren't compared: at a similarity of 0.8, 28.8 are expected, and 58 lie six deviations above.
+FAR = 58
 #: Documents and shingles of a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * U64(2) + U64(1)
