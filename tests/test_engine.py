@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -261,6 +262,7 @@ def test_streams(spark, tmp_path):
     folder.mkdir()
     for n, part in enumerate((log[:5], log[5:], log[7:8])):  # the last file replays a result
         (folder / f"{n}.jsonl").write_text("\n".join([*map(json.dumps, part), *(["{broken"] if n == 1 else [])]))
+        os.utime(folder / f"{n}.jsonl", (1_700_000_000 + n, 1_700_000_000 + n))  # a file source goes by time
 
     def run(df, mode, name):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c-{name}").start()
