@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: The C library's way to give freed memory back, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,10 +34,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(2)
+#: Powers that are kept; longer texts compute their own.
+_KEPT = 1 << 20
+_kept_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    return tuple(np.concatenate((np.ones(1, U64), np.cumprod(np.full(n, b, U64)))) for b in (_BASE, pow(_BASE, -1, 2**64)))
+    """Powers of the base and of its inverse modulo 2**64, ``n`` and one at least."""
+    made = lambda k: tuple(np.concatenate((np.ones(1, U64), np.cumprod(np.full(k, b, U64)))) for b in (_BASE, pow(_BASE, -1, 2**64)))
+    if n > _KEPT:
+        return made(n)
+    if not _kept_powers or len(_kept_powers[0][0]) <= n:
+        _kept_powers[:] = [made(min(_KEPT, max(1 << 16, 2 * n)))]
+    return _kept_powers[0]
+
+
+def tidied(batches: Iterator) -> Iterator:
+    """``batches``, and at their end the memory that the worker has freed goes back to the system: workers live on between tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +87,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
         #: The first word of each text, and one entry more.
         self.first = np.searchsorted(self.starts, bounds)
-        size = 1 << max(16, int(n).bit_length())
-        self._power, self._inverse = _powers(size)
+        self._power, self._inverse = _powers(n)
         self._sums = np.zeros(n + 1, U64)
         np.cumsum(_CODES[data] * self._power[:n], out=self._sums[1:])
 

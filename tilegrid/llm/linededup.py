@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import components
-from tilegrid.llm.kernels import U64, _powers, mix
+from tilegrid.llm.kernels import U64, _powers, mix, tidied
 from tilegrid.llm.shared import SPACE, bound_batches, packed, small, written
 
 #: Edits allowed, and the characters that a line needs for links by edits.
@@ -75,7 +75,7 @@ def line_keys(column: pa.Array, edits: int, told: set[int]) -> tuple[np.ndarray,
                 told.add(h)
             nodes[i] = h - (1 << 64) if h >> 63 else h
     begin, size, nodes = begin[keep], size[keep], nodes[keep]
-    power, inverse = _powers(1 << max(16, len(chars).bit_length()))
+    power, inverse = _powers(len(chars))
     sums = np.zeros(len(chars) + 1, U64)
     np.cumsum(mix(chars.astype(np.uint64) + U64(0x9E3779B97F4A7C15)) * power[: len(chars)], out=sums[1:])
     keys, owners = [], []
@@ -203,7 +203,7 @@ def shared_keys(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             key, node = line_keys(batch.column("text"), edits, told)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, node long")
+    rows = docs.select("text").mapInArrow(lambda batches: tidied(run(batches)), "key long, node long")
     own, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("node")
     line = F.shiftrightunsigned("node", 1)
     rows = rows.withColumns({"low": F.min(line).over(own), "high": F.max(line).over(own), "any": F.max(F.col("node").bitwiseAND(1)).over(own), "last": F.lag("node").over(order)})
@@ -246,7 +246,7 @@ def confirmed_edges(docs: DataFrame, keys: DataFrame, edits: int = EDITS) -> Dat
         links.flush()
         yield told()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: tidied(run(batches)), "a long, b long")
 
 
 def _row() -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import components
-from tilegrid.llm.kernels import U64, Words, distinct, lower, mix, shingles, texts_of
+from tilegrid.llm.kernels import U64, Words, distinct, lower, mix, shingles, texts_of, tidied
 from tilegrid.llm.shared import bound_batches, packed, unpacked, written
 
 #: Words of a shingle; links need PERCENT * union <= 100 * intersection.
@@ -79,7 +79,7 @@ def signed(docs: DataFrame) -> DataFrame:
             longs = signatures(sets).view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(CHUNKS))], ["doc_id", "n_shingles", "set_key", *chunks])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{c} long" for c in chunks))
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{c} long" for c in chunks))
 
 
 def _keys() -> Column:
@@ -167,7 +167,7 @@ def confirmed_edges(docs: DataFrame, grouped: DataFrame, percent: int = PERCENT)
         close()
         yield told()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: tidied(run(batches)), "a long, b long")
 
 
 def placed_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilegrid.llm.features import SIZE, gram_features
+from tilegrid.llm.kernels import tidied
 from tilegrid.llm.labelled import labelled_sample
 from tilegrid.llm.shared import bound_batches
 
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["ids", "ratio", "weight", "rest"])
 
     rows = labelled_sample(docs, labels, "quality", most, ~held_out(F.col("doc_id")))
-    row = rows.mapInArrow(run, "ids binary, ratio binary, weight binary, rest binary").first()
+    row = rows.mapInArrow(lambda batches: tidied(run(batches)), "ids binary, ratio binary, weight binary, rest binary").first()
     return Model.unpacked([bytes(x) for x in row]) if row else fit([], np.zeros(0, np.int64))
 
 
@@ -163,5 +164,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
             score = fitted.score(margins(gram_features(batch.column("text")), r, w, fitted.bias))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import tilegrid
 
 #: Text bytes and rows that one Arrow batch hands to a Python worker at most; one longer text makes a batch of its own.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
 
 #: The characters that separate words: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilegrid.llm.kernels import Words, lower, texts_of
+from tilegrid.llm.kernels import Words, lower, texts_of, tidied
 from tilegrid.llm.shared import bound_batches, shared_folder, written
 
 # Of the zstandard seekable format, and a magic number of the range that readers skip.
 SEEK_MAGIC, SKIP_TABLE, SKIP_IDS, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50, 0x80
 #: Words remembered by a worker, about (30 bytes each).
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Documents of a file, about, and files at most.
 DOCS_A_FILE, MOST_FILES = 8192, 20_000
 
@@ -253,9 +253,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([n_bytes // 4])], ["part", "path", "n_docs", "n_tokens"])
 
-    frames = docs.select("doc_id", "text").mapInArrow(pack, "part int, doc_id long, frame binary, size long, checksum long")
+    frames = docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(pack(batches)), "part int, doc_id long, frame binary, size long, checksum long")
     placed = frames.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "checksum", "frame").drop("part")
-    return written(placed.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"), "token-files")
+    return written(placed.mapInArrow(lambda batches: tidied(write(batches)), "part int, path string, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -278,7 +278,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[a : own.stop], pa.int64()), pa.array(starts[:-1]), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = based.repartition(max(1, files.count()), "part")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tilegrid.llm.features import SIZE, word_features
+from tilegrid.llm.kernels import tidied
 from tilegrid.llm.labelled import labelled_sample
 from tilegrid.llm.shared import bound_batches
 
@@ -107,13 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Severity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
         for batch in batches:
-            texts += _counted(*word_features(batch.column("text")))
+            texts += ((ids, np.minimum(n, 0xFFFF).astype(np.uint16)) for ids, n in _counted(*word_features(batch.column("text"))))
             toxic += batch.column("label").to_pylist()
         model = fit(texts, np.minimum(np.array(toxic, np.int64), 1))
         ids = np.concatenate((model.ids, [-1, -2]))
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.concatenate((model.weights, model.thresholds)))], ["id", "weight"])
 
-    rows = labelled_sample(docs, labels, "toxic", most).mapInArrow(run, "id long, weight double").toPandas()  # at most KEPT + 2 rows
+    rows = labelled_sample(docs, labels, "toxic", most).mapInArrow(lambda batches: tidied(run(batches)), "id long, weight double").toPandas()  # at most KEPT + 2 rows
     found = dict(zip(rows["id"], rows["weight"], strict=True))
     thresholds = np.array([found.pop(-1, np.inf), found.pop(-2, np.inf)])
     return Severity(np.array([*found], np.int64), np.array([*found.values()]), thresholds)
@@ -140,7 +141,7 @@ def severity(docs: DataFrame, model: Severity) -> DataFrame:
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = StructType([*rows.schema, StructField("severity", DoubleType()), StructField("p_toxic", DoubleType()), StructField("toxic", BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: tidied(run(batches)), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
