@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from tilegrid.functions.tiles import LABELS, LETTER_DIGITS, POINTS, TILES, WORD_
 from tilegrid.operators import attempts, board, catalog, events, lexicon, results, selfplay, traces
 from tilegrid.operators.movegen import canonical_moves, generate_moves
 from tilegrid.operators.score import score_moves
-from tilegrid.plans import catalogue
+from tilegrid.plans import analogs, catalogue
+from tilegrid.plans.words import FIXTURE_WORDS
 from tilegrid.sources import files
 from tilegrid.streaming import live
 
@@ -155,6 +157,13 @@ def test_random_moves_and_generation(spark):
         assert best[name].score == top and tuple((p.row, p.col, p.letter) for p in best[name].placements) == min(ties, key=lambda k: (len(k), k))
 
 
+def test_generated_moves_use_the_whole_lexicon(spark):
+    lex = {w for (w,) in database(SMALL).execute(f"WITH {analogs.WORDS} SELECT word FROM words").fetchall()} | set(FIXTURE_WORDS)
+    spelled = {w for w in lex if 2 <= len(w) <= 7 and (Counter(w) - Counter("ATTRES")).total() <= 1}  # the rack has a blank too
+    got = {r.words for r in catalogue.queries()["generate_moves"](spark, SMALL).where("id = 'none'").collect()}
+    assert got == spelled
+
+
 def test_self_play_repeats(spark):
     lex = words(spark, *{"".join(p) for p in itertools.product("AEIOR", "NSTLR")}, *{"".join(p) for p in itertools.product("AEIOR", "NSTLR", "AE")}).cache()
     one, two = (selfplay.play(spark, lex, games=n, plies=2, snapshots=(1, 2)) for n in (1, 2))

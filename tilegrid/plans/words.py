@@ -182,8 +182,8 @@ REMAINING = f"WITH {a.WORDS} SELECT word, array_to_string(list_sort(string_split
 
 
 def generate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All legal moves of the fixture positions with the truncated lexicon of the documents and the fixture's words."""
-    words = a.words(spark, sf_dir, full=False).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct()
+    """All legal moves of the fixture positions with the whole lexicon of the documents and the fixture's words."""
+    words = a.words(spark, sf_dir).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct()
     moves = movegen.ranked(movegen.generate_moves(_positions(spark), words))
     text = F.array_join(F.transform("placements", lambda p: F.concat_ws(",", p.row.cast("string"), p.col.cast("string"), F.when(p.is_blank, F.lower(p.letter)).otherwise(p.letter))), ";")
     return moves.select("id", text.alias("tiles"), "score", F.array_join("words", ",").alias("words"), "place", "top")
