@@ -171,6 +171,12 @@ def test_self_play_repeats(spark):
     assert all(own[r.id] == (r.rack, r.bag_count, r.optimal_score) for r in one.collect()) and all(len(v[0]) == 7 for v in own.values())
 
 
+def test_self_play_query_plays_whole_games(spark):
+    rows = catalogue.queries()["self_play"](spark, SMALL).collect()
+    assert {(r.id, r.band_ply) for r in rows} == {(f"pos-{g}-{p}", p) for g in (1, 2) for p in (6, 10, 14)}
+    assert all(r.bag_count + r.tiles_on_board + 14 == 100 and len(r.rack) == 7 and r.optimal_score > 0 for r in rows)
+
+
 def test_lexicon(spark, tmp_path):
     (tmp_path / "ENABLE.txt").write_text("\n".join([f"AA{i:05d}" for i in range(50)] + [" jows ", "JOWS", "straße", "x" * 16, "A"]))
     (tmp_path / "words.txt").write_text("a\nat\nhat\nabcdefghi\n")

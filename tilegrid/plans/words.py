@@ -190,9 +190,9 @@ def generate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def self_play(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two games of two plies with the truncated lexicon of the documents."""
+    """Two whole games with the whole lexicon of the documents."""
     ensure_folder(spark)
-    shots = selfplay.play(spark, a.words(spark, sf_dir, full=False), games=2, plies=2, snapshots=(2,))
+    shots = selfplay.play(spark, a.words(spark, sf_dir), games=2)
     return shots.select("id", "band_ply", "rack", "player_to_move", "bag_count", F.size("board").alias("tiles_on_board"), "optimal_score", "tied_moves")
 
 
