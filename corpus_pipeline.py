@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output),
 ]
 
-#: No SQL fits a model or encodes tokens; the tests compare each stage with a brute-force version.
+#: No SQL fits a model or encodes tokens; tests/llm/test_pipeline_stages.py compares each stage and the token rows with what a small fixture should give.
 ORACLE_SQL: str | None = None
 
 
