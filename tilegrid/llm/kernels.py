@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The C library's way to give freed memory back, where there is one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -22,6 +23,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a text that are worked on at once; longer texts go through in pieces, cut between words.
+PIECE = 1 << 20
+#: The longest span, in bytes, whose hash is a polynomial modulo 2**64. Longer ones are hashed each by itself: two long words can differ by a multiple of 2**64.
+SHORT = 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,6 +78,23 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def pieces(data: np.ndarray, letters_only: bool = False) -> Iterator[np.ndarray]:
+    """``data``, the bytes of one text, in pieces of about ``PIECE`` bytes that cut no word. A longer word is a piece of its own."""
+    table, at, n = _NO_LETTER if letters_only else _SPACE, 0, len(data)
+    while n - at > PIECE:
+        gaps = np.flatnonzero(table[data[at + 1 : at + PIECE]])
+        stop = at + 1 + int(gaps[-1]) if len(gaps) else n
+        for a in range(at + PIECE, n if stop == n else 0, PIECE):  # a word goes on: up to its end
+            ends = np.flatnonzero(table[data[a : a + PIECE]])
+            if len(ends):
+                stop = a + int(ends[0])
+                break
+        yield data[at:stop]
+        at = stop
+    if at < n or not n:
+        yield data[at:]
+
+
 class Words:
     """The words of a batch of texts: where they start and end, which are whose, and hashes of any spans."""
 
@@ -84,23 +106,58 @@ class Words:
         before[bounds[:-1][bounds[:-1] < n]] = True
         last = bounds[1:] - 1
         after[last[last >= 0]] = True
+        self.data = data
         self.starts, self.ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
         #: The first word of each text, and one entry more.
         self.first = np.searchsorted(self.starts, bounds)
-        self._power, self._inverse = _powers(n)
-        self._sums = np.zeros(n + 1, U64)
-        np.cumsum(_CODES[data] * self._power[:n], out=self._sums[1:])
+        self._sums = None
 
     def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """64 bits for each span: a polynomial of its bytes if it is short, else XXH3."""
         starts, ends = (self.starts, self.ends) if starts is None else (starts, ends)
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+        long = np.flatnonzero(ends - starts > SHORT)
+        if len(long) == len(starts):
+            out = np.empty(len(starts), U64)
+        elif len(self.data) > 4 * PIECE and len(starts) < 64:  # a few short spans of a very long word need no sums of all bytes
+            power = _powers(SHORT)[0]
+            out = mix(np.array([(_CODES[self.data[a : min(b, a + SHORT)]] * power[: min(b - a, SHORT)]).sum(dtype=U64) for a, b in zip(starts, ends, strict=True)], U64))
+        else:
+            if self._sums is None:
+                self._power, self._inverse = _powers(len(self.data))
+                self._sums = np.zeros(len(self.data) + 1, U64)
+                np.cumsum(_CODES[self.data] * self._power[: len(self.data)], out=self._sums[1:])
+            out = mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+        for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[a:b], 42)
+        return out
 
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def equal_spans(x: np.ndarray, xs: np.ndarray, xe: np.ndarray, y: np.ndarray, ys: np.ndarray, ye: np.ndarray) -> bool:
+    """Whether all spans of bytes ``x`` equal those of ``y``, one by one."""
+    size = xe - xs
+    if (size != ye - ys).any():
+        return False
+    step = np.arange(size.sum(), dtype=np.int64)
+    step -= np.repeat(np.cumsum(size) - size, size)
+    return bool((x[np.repeat(xs, size) + step] == y[np.repeat(ys, size) + step]).all())
+
+
+def word_hashes(data: np.ndarray, letters_only: bool = False) -> np.ndarray:
+    """Hashes of the words of one text of any length, in order."""
+    return np.concatenate([Words(p, np.array([0, len(p)]), letters_only).hashes() for p in pieces(data, letters_only)])
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words of each text (of the whole sequence where it is shorter), and where each text's begin."""
+    if len(first) == 2 and len(hashes) >= k:  # one text, of any length: no owners
+        runs = np.zeros(len(hashes) - k + 1, U64)
+        for j in range(k):
+            runs *= U64(0xD6E8FEB86659FD93)
+            runs += hashes[j : len(runs) + j]
+        return mix(runs), np.array([0, len(runs)])
     n = np.diff(first)
     counts = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     at = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))

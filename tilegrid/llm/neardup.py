@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import components
-from tilegrid.llm.kernels import U64, Words, distinct, lower, mix, shingles, texts_of, tidied
+from tilegrid.llm.kernels import PIECE, U64, Words, distinct, lower, mix, pieces, shingles, texts_of, tidied
 from tilegrid.llm.shared import bound_batches, packed, unpacked, written
 
 #: Words of a shingle; links need PERCENT * union <= 100 * intersection.
@@ -44,20 +44,32 @@ _FACTORS = np.random.default_rng(11).integers(1, 2**63, SYMBOLS, dtype=np.uint64
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, bounds = texts_of(column)
-    words = Words(lower(data), bounds)
-    return distinct(*shingles(words.hashes(), words.first, k))
+    if len(data) <= 2 * PIECE:
+        words = Words(lower(data), bounds)
+        return distinct(*shingles(words.hashes(), words.first, k))
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # among them a very long text
+        hashes = np.concatenate([Words(lower(p), np.array([0, len(p)])).hashes() for p in pieces(data[a:b])])
+        out += distinct(*shingles(hashes, np.array([0, len(hashes)]), k))
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of 8-bit MinHash symbols for each set; of empty sets, zeros."""
     out = np.zeros((len(sets), SYMBOLS), np.uint8)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    if full:
-        values = np.concatenate([sets[i] for i in full])
-        at = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(sets[i]) for i in full])))[:-1]
+    least = np.zeros((len(sets), SYMBOLS), np.uint32)
+    short = [i for i, s in enumerate(sets) if 0 < len(s) <= PIECE]
+    if short:
+        values = np.concatenate([sets[i] for i in short])
+        at = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(sets[i]) for i in short])))[:-1]
         for j, factor in enumerate(_FACTORS):
-            least = np.minimum.reduceat(((values * factor) >> U64(32)).astype(np.uint32), at)
-            out[full, j] = (mix(least.astype(np.uint64)) & U64(255)).astype(np.uint8)
+            least[short, j] = np.minimum.reduceat(((values * factor) >> U64(32)).astype(np.uint32), at)
+    for i in (i for i, s in enumerate(sets) if len(s) > PIECE):
+        parts = [sets[i][a : a + PIECE] for a in range(0, len(sets[i]), PIECE)]
+        for j, factor in enumerate(_FACTORS):
+            least[i, j] = min(int(((p * factor) >> U64(32)).min()) for p in parts)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    out[full] = (mix(least[full].astype(np.uint64).ravel()) & U64(255)).astype(np.uint8).reshape(-1, SYMBOLS)
     return out
 
 

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tilegrid.llm.kernels import pieces
 from tilegrid.llm.shared import bound_batches
 
 #: Words remembered at most, and the longest word remembered.
@@ -98,18 +100,25 @@ class _Counts(dict):
         return n
 
 
+@lru_cache(2)
+def counter(vocabulary: str) -> _Counts:
+    """One for each worker process, so that the trie serves all its tasks."""
+    return _Counts(Automaton(read_vocabulary(vocabulary)))
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens (long) of every row. ``vocabulary``: path of a tiktoken file, which executors have too."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
         for batch in batches:
-            counts = counts or _Counts(Automaton(read_vocabulary(vocabulary)))
-            look, rows = counts.__getitem__, []
+            look, rows = counter(vocabulary).__getitem__, []
             for text in batch.column("text").cast(pa.binary() if pa.types.is_string(batch.schema.field("text").type) else pa.large_binary()).to_pylist():
-                split = (text or b"").split()
-                rows.append((len(text or b""), len(split), sum(map(look, split))))
+                n_words = n_tokens = 0
+                for piece in pieces(np.frombuffer(text or b"", np.uint8)):
+                    split = piece.tobytes().split()
+                    n_words, n_tokens = n_words + len(split), n_tokens + sum(map(look, split))
+                rows.append((len(text or b""), n_words, n_tokens))
             made = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, i]) for i in range(3))], ["doc_id", "n_bytes", "n_words", "n_tokens"])
 

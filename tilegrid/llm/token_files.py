@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilegrid.llm.kernels import Words, lower, texts_of, tidied
+from tilegrid.llm.kernels import PIECE, Words, equal_spans, lower, pieces, texts_of, tidied
 from tilegrid.llm.shared import bound_batches, shared_folder, written
 
 # Of the zstandard seekable format, and a magic number of the range that readers skip.
 SEEK_MAGIC, SKIP_TABLE, SKIP_IDS, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50, 0x80
-#: Words remembered by a worker, about (30 bytes each).
-REMEMBERED = 500_000
+#: Words remembered by a worker, about (50 bytes each), and the longest of them.
+REMEMBERED, LONGEST = 500_000, 256
 #: Documents of a file, about, and files at most.
 DOCS_A_FILE, MOST_FILES = 8192, 20_000
 
@@ -65,9 +65,10 @@ class Encoder:
     """Token ids of texts as bytes.
 
     Probes tell whether the tokenizer lower-cases, splits at white space and splits marks from letters. If so, the words of a batch are
-    hashed at once, each different word is looked up in a sorted table (64-bit hashes, bounded in size), only new words are
-    encoded - those of Latin letters by the tokenizer's model directly - and the ids are gathered from one array. Otherwise, and
-    for texts that spell a special token, the tokenizer gets whole texts.
+    hashed at once, each different word is looked up in a sorted table (bounded in size), only new words are
+    encoded - those of Latin letters by the tokenizer's model directly - and the ids are gathered from one array. Words of one hash are
+    compared byte by byte, so a hash never decides. Very long texts go through in pieces, cut between words. Otherwise, and for
+    texts that spell a special token or where two words share a hash, the tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -80,6 +81,8 @@ class Encoder:
         self.letters = _byte_letters()
         self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        #: The bytes of the words in the table: where each begins and ends in ``spelt``.
+        self.spelt, self.from_, self.upto = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         marked = [w + m for w in _PROBES for m in ("", ".", ",")]
         whole, self.plain = self._whole(marked), True
         self.marks = dict(zip(".,", self._whole([".", ","]), strict=True)) | {"": b""}
@@ -114,25 +117,39 @@ class Encoder:
     def ids(self, column: pa.Array) -> list[bytes]:
         """The ids of each text of a string column; of null, none."""
         data, bounds = texts_of(column)
+        if not self.plain or len(data) <= 2 * PIECE:
+            return self._ids(data, bounds)
+        return [b"".join(self._ids(p, np.array([0, len(p)]))[0] for p in pieces(data[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         low = lower(data)
         raw = low.tobytes()
+        whole = lambda: self._whole([data[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
         if not self.plain or any(s in raw for s in self.special):
-            return self._whole([x or "" for x in column.to_pylist()])
+            return whole()
         words = Words(low, bounds)
         own, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        a, b = words.starts[first], words.ends[first]
+        if not equal_spans(low, words.starts, words.ends, low, a[which], b[which]):
+            return whole()
         place = np.searchsorted(self.hashes, own)
         known = place < len(self.hashes)
         known[known] = self.hashes[place[known]] == own[known]
+        if not equal_spans(low, a[known], b[known], self.spelt, self.from_[place[known]], self.upto[place[known]]):
+            return whole()
         at, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int32)
         at[known], size[known] = self.at[place[known]], self.size[place[known]]
         if not known.all():
-            new = ~known
-            a, b = words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            at[new], size[new] = self._words([raw[x:y].decode() for x, y in zip(a, b, strict=True)])
+            short = ~known & (b - a <= LONGEST)
+            new = np.concatenate((np.flatnonzero(short), np.flatnonzero(~known & ~short)))
+            at[new], size[new] = self._words([raw[x:y].decode() for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
             if len(self.hashes) < REMEMBERED:
-                self.used += int(size[new].sum())
-                where = place[new]
-                self.hashes, self.at, self.size = (np.insert(old, where, x[new]) for old, x in ((self.hashes, own), (self.at, at), (self.size, size)))
+                self.used += int(size[short].sum())
+                where, length = place[short], (b - a)[short]
+                upto = len(self.spelt) + np.cumsum(length)
+                self.spelt = np.concatenate([self.spelt, *(low[x:y] for x, y in zip(a[short].tolist(), b[short].tolist(), strict=True))])
+                columns = ((self.hashes, own[short]), (self.at, at[short]), (self.size, size[short]), (self.from_, upto - length), (self.upto, upto))
+                self.hashes, self.at, self.size, self.from_, self.upto = (np.insert(old, where, x) for old, x in columns)
         sizes = size[which].astype(np.int64)
         ends = np.cumsum(sizes)
         ids = self.store[np.repeat(at[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4", copy=False)

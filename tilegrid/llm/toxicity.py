@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tilegrid.llm.features import SIZE, word_features
+from tilegrid.llm.features import SIZE, word_counts
 from tilegrid.llm.kernels import tidied
 from tilegrid.llm.labelled import labelled_sample
 from tilegrid.llm.shared import bound_batches
@@ -51,11 +51,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _counted(ids: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield np.unique(ids[a:b], return_counts=True)
-
-
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Severity:
     """``texts``: distinct feature ids and counts of each text; ``toxic``: 0 or 1."""
     n1 = int(toxic.sum())
@@ -108,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Severity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
         for batch in batches:
-            texts += ((ids, np.minimum(n, 0xFFFF).astype(np.uint16)) for ids, n in _counted(*word_features(batch.column("text"))))
+            texts += ((ids, n.astype(np.int32)) for ids, n in word_counts(batch.column("text")))
             toxic += batch.column("label").to_pylist()
         model = fit(texts, np.minimum(np.array(toxic, np.int64), 1))
         ids = np.concatenate((model.ids, [-1, -2]))
@@ -129,13 +124,11 @@ def severity(docs: DataFrame, model: Severity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SIZE)
         table[ids] = weights
+        wanted = table != 0
         own = Severity(ids, weights, thresholds)
         for batch in batches:
-            found, at = word_features(batch.column(batch.schema.get_field_index("text")))
-            used = table[found] != 0
-            at = np.concatenate((np.zeros(1, np.int64), np.cumsum(used)))[at]
-            found = found[used]
-            score = np.array([table[i] @ np.log2(1.0 + n) if len(i) else 0.0 for i, n in _counted(found, at)], float)
+            found = word_counts(batch.column(batch.schema.get_field_index("text")), wanted)
+            score = np.array([table[i] @ np.log2(1.0 + n) if len(i) else 0.0 for i, n in found], float)
             chance = own.exceed(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance.sum(1)), pa.array(chance[:, 0]), pa.array(chance[:, 0] >= 0.5)], [*batch.schema.names, "severity", "p_toxic", "toxic"])
 
