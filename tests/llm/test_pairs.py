@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilegrid.llm import linededup, neardup
+from tilegrid.llm import graph, linededup, neardup
 from tilegrid.llm.decontam import MASKS, NEED, REGION, STRIDE, contamination
 from tilegrid.llm.graph import components
 from tilegrid.llm.linededup import EDITS, SHORTEST, drop_repeated_lines, line_counts, line_keys, within
@@ -33,7 +33,10 @@ def classes(n, linked):
     return [find(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("one_task", "broadcast"), [(10**6, 10**6), (0, 10**6), (0, 0)])
+def test_components(spark, monkeypatch, one_task, broadcast):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    monkeypatch.setattr(graph, "MOST_BROADCAST", broadcast)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 50)]
     want = classes(6000, [e for e in edges if e[0] != e[1]])
@@ -51,9 +54,11 @@ def _copies(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize(("block", "percent"), [(512, 85), (6, 85), (512, 80)])
-def test_near_duplicates(spark, monkeypatch, block, percent):
-    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
+@pytest.mark.parametrize(("block", "percent", "most", "rounds"), [(512, 85, 10**6, 2), (6, 85, 0, 1), (512, 80, 10**6, 1)])
+def test_near_duplicates(spark, monkeypatch, block, percent, most, rounds):
+    for name, value in (("BLOCK_DOCS", block), ("MOST_BROADCAST", most), ("ROUNDS", rounds)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(graph, "ONE_TASK", most)
     rng = random.Random(block)
     bases = [[f"v{rng.randrange(900)}" for _ in range(size)] for size in (3, 6, 40, 80, 150)]
     texts = [t for b in bases for t in _copies(rng, b, 24, max(1, len(b) // 25))] + [" ".join(f"u{rng.randrange(5000)}" for _ in range(60)) for _ in range(20)]
