@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Word lists in the order in which they are looked for.
+CANDIDATES = ("data/lexicon/NWL23.txt", "data/lexicon/ENABLE.txt", "/usr/share/dict/american-english", "/usr/share/dict/words")
 #: Lists that are taken whole; of others the first ``TRUNCATED`` words of 2 to 8 letters.
 FULL_LISTS, TRUNCATED = ("NWL23.txt", "ENABLE.txt"), 12_000
 
@@ -26,7 +28,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return words
 
 
-def first_existing(candidates: list[str]) -> str:
+def first_existing(candidates: list[str] | tuple[str, ...] = CANDIDATES) -> str:
     """The first path that exists."""
     for path in candidates:
         if Path(path).exists():
@@ -60,23 +62,34 @@ def blanks_needed(word: Column, rack: Column) -> Column:
     return F.aggregate(F.array_distinct(F.split(word, "")), F.lit(0), lambda n, x: n + F.greatest(F.lit(0), count(word, x) - count(rack, x)))
 
 
+def _subsets(text: Column) -> Column:
+    """All sub-multisets of a sorted text, as sorted texts."""
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    return F.aggregate(letters, F.array(F.lit("")), lambda sets, x: F.array_distinct(F.concat(sets, F.transform(sets, lambda s: F.concat(s, x)))))
+
+
+def _without(text: Column, n: Column) -> Column:
+    """What ``text`` can become by leaving out ``n`` of its letters."""
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.overlay(s, F.lit(""), i, F.lit(1)))
+    shorter = F.aggregate(F.sequence(F.lit(1), n), F.array(text), lambda sets, _: F.array_distinct(F.flatten(F.transform(sets, cut))))
+    return F.when(n == 0, F.array(text)).otherwise(shorter)
+
+
 def feasible(racks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """rack_id, word of the words that each rack can spell, blanks standing for any letter.
 
-    Racks are joined with words by sorted subsets of their tiles, so no rack meets a word that it can't spell; each blank is left
-    out of the subset, and the words it may complete are found by leaving out as many letters.
+    Racks, of any size and with any number of blanks, are joined with words by sorted subsets of their tiles, so no rack meets a word that it
+    can't spell: a word is looked up with as many letters left out as blanks could stand for. The longest rack and the most blanks, one row,
+    bound the words and what is left out.
     """
-    def subsets(text: Column, least: Column) -> Column:
-        # All subsets as sorted texts, by adding letter after letter; at most 2**7 of a rack, and of words as short.
-        grown = F.aggregate(F.filter(F.split(text, ""), lambda x: x != ""), F.array(F.lit("")), lambda sets, x: F.array_distinct(F.concat(sets, F.transform(sets, lambda s: F.concat(s, x)))))
-        return F.filter(grown, lambda s: F.length(s) >= least)
-
     real = F.replace(sorted_rack(F.upper("rack")), F.lit("?"), F.lit(""))
     blanks = F.length("rack") - F.length(F.replace("rack", F.lit("?"), F.lit("")))
-    own = racks.select("rack_id", blanks.alias("blanks"), F.explode(subsets(real, F.lit(0))).alias("part"))
-    words = lexicon.where(F.length("word").between(1, 7)).select("word", sorted_rack(F.col("word")).alias("letters"))
-    lacking = words.select("word", F.length("letters").alias("n"), F.explode(subsets(F.col("letters"), F.length("letters") - 2)).alias("part"))
-    return own.join(lacking, "part").where(F.col("n") - F.length("part") <= F.col("blanks")).select("rack_id", "word").distinct()
+    own = racks.select("rack_id", blanks.alias("blanks"), F.explode(_subsets(real)).alias("part"))
+    limits = racks.agg(F.max(F.length("rack")).alias("longest"), F.max(blanks).alias("most"))
+    words = lexicon.where("word <> ''").select("word", sorted_rack(F.col("word")).alias("letters")).join(F.broadcast(limits), F.length("word") <= F.col("longest"))  # one row
+    lacking = words.select("word", "letters", F.explode(F.sequence(F.lit(0), F.least("most", F.length("letters")))).alias("lacking"))
+    lacking = lacking.select("word", "lacking", F.explode(_without(F.col("letters"), F.col("lacking"))).alias("part"))
+    return own.join(lacking, "part").where(F.col("lacking") <= F.col("blanks")).select("rack_id", "word").distinct()
 
 
 def cross_checks(gaps: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -22,9 +22,13 @@ def slots(positions: DataFrame) -> DataFrame:
     marks = anchors(positions).groupBy("id").agg(F.collect_list(F.col("row") * SIZE + F.col("col")).alias("marks"))
     marked = F.aggregate("marks", F.lit(EMPTY), lambda g, m: F.overlay(g, F.lit("#"), m + 1, F.lit(1)))
     lines = positions.join(marks, "id").select("id", "rack", F.upper(grid_of(F.col("board"))).alias("grid"), marked.alias("marked"))
-    lines = lines.select("id", "rack", "grid", "marked", F.explode(F.array(F.lit(True), F.lit(False))).alias("across")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("line"))
-    lines = lines.select("id", "rack", "across", "line", line_of(F.col("grid"), F.col("across"), F.col("line")).alias("tiles"), line_of(F.col("marked"), F.col("across"), F.col("line")).alias("marks")).where(F.contains("marks", F.lit("#")))
-    spans = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 2))).alias("start")).select("*", F.explode(F.sequence(F.lit(2), F.lit(SIZE) - F.col("start"))).alias("size"))
+    lines = lines.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("across")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("line"))
+    along = lambda c: line_of(F.col(c), F.col("across"), F.col("line"))
+    lines = lines.select("id", "rack", "across", "line", (F.col("grid") == EMPTY).alias("first"), along("grid").alias("tiles"), along("marked").alias("marks")).where(F.contains("marks", F.lit("#")))
+    # A span of one square forms no word along its line but on an empty board, where a single letter may be the first word.
+    spans = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("start"))
+    least = F.when(F.col("first"), 1).otherwise(2)
+    spans = spans.where(F.col("start") + least <= SIZE).select("*", F.explode(F.sequence(least, F.lit(SIZE) - F.col("start"))).alias("size"))
     cut = lambda c: F.substr(c, F.col("start") + 1, F.col("size"))
     spans = spans.withColumns({"pattern": cut(F.col("tiles")), "anchored": F.contains(cut(F.col("marks")), F.lit("#"))})
     free = lambda place: F.coalesce(F.nullif(F.substr("tiles", place, F.lit(1)), F.lit("")), F.lit(".")) == "."
@@ -43,8 +47,15 @@ def _fits(word: Column, pattern: Column) -> Column:
 
 
 def _spare(needed: Column, rack: Column) -> Column:
-    """The rack after taking the letters it has; too few blanks left means that the word can't be laid."""
-    return F.aggregate(F.filter(F.split(needed, ""), lambda x: x != ""), F.struct(rack.alias("rest"), F.lit(0).alias("lacking")), lambda s, x: F.when(F.instr(s.rest, x) > 0, F.struct(F.overlay(s.rest, F.lit("#"), F.instr(s.rest, x), F.lit(1)).alias("rest"), s.lacking.alias("lacking"))).otherwise(F.struct(s.rest.alias("rest"), (s.lacking + 1).alias("lacking"))))
+    """The rack after taking the letters it has, and how many letters it lacks; too few blanks left means that the word can't be laid."""
+    start = F.struct(rack.alias("rest"), F.lit(0).alias("lacking"))
+
+    def take(state: Column, letter: Column) -> Column:
+        place = F.instr(state.rest, letter)
+        left = F.struct(F.overlay(state.rest, F.lit("#"), place, F.lit(1)).alias("rest"), state.lacking.alias("lacking"))
+        return F.when(place > 0, left).otherwise(F.struct(state.rest.alias("rest"), (state.lacking + 1).alias("lacking")))
+
+    return F.aggregate(F.filter(F.split(needed, ""), lambda x: x != ""), start, take)
 
 
 def candidates(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -59,7 +70,9 @@ def candidates(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     laid = by_tile.union(by_rack).withColumn("s", _spare(_needed(F.col("word"), F.col("pattern")), F.upper("rack")))
     laid = laid.where(F.col("s.lacking") <= F.length("s.rest") - F.length(F.replace("s.rest", F.lit("?"), F.lit(""))))
     place = lambda i: F.col("start") + i - 1
-    tile = lambda i: F.struct(F.when(F.col("across"), F.col("line")).otherwise(place(i)).cast("string").alias("row"), F.when(F.col("across"), place(i)).otherwise(F.col("line")).cast("string").alias("col"), F.substr("word", i, F.lit(1)).alias("letter"))
+    row = lambda i: F.when(F.col("across"), F.col("line")).otherwise(place(i)).cast("string")
+    col = lambda i: F.when(F.col("across"), place(i)).otherwise(F.col("line")).cast("string")
+    tile = lambda i: F.struct(row(i).alias("row"), col(i).alias("col"), F.substr("word", i, F.lit(1)).alias("letter"))
     raw = F.transform(F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("pattern", i, F.lit(1)) == "."), tile)
     return laid.select("id", raw.alias("raw")).distinct()
 

@@ -1,20 +1,30 @@
 """Validating and scoring moves.
 
-Everything but the word list is a function of the move's own row, so it is computed in place, without a shuffle: the board is a text
-of 225 characters, placements are folded into it, and words are read off its lines. Only then do the words of all moves meet
-the lexicon, in one join. The first error in the order of the checks is reported.
+Everything but the word list is a function of the move's own row, so it is computed in place, without a shuffle: casts and the board's text
+of 225 characters by Spark's own expressions, the rules, which walk from square to square, by one Arrow kernel a batch. Only then do the
+words of all moves meet the lexicon, in one join. The first error in the order of the checks is reported.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tilegrid.functions.tiles import BONUS, CENTER, LETTER_DIGITS, RACK, SIZE, WORD_DIGITS, points
-from tilegrid.operators.board import EMPTY, at, grid_of, let, line_of, put, run_at
+from tilegrid.functions.tiles import BONUS, CENTER, LETTER_DIGITS, POINTS, RACK, SIZE, WORD_DIGITS
+from tilegrid.operators.board import EMPTY, grid_of
+from tilegrid.sources.package import ship
 
 #: A word list of at most so many rows is broadcast; beyond, the join shuffles.
 MOST_WORDS = 1_000_000
+_LETTER, _WORD = [int(x) for x in LETTER_DIGITS], [int(x) for x in WORD_DIGITS]
+_PLACED = pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("letter", pa.string()), ("is_blank", pa.bool_())]))
+_FORMED = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("points", pa.int32()), ("touches", pa.bool_())]))
+_JUDGED = "error string, placements array<struct<row:int,col:int,letter:string,is_blank:boolean>>, words array<struct<kind:string,text:string,points:int,touches:boolean>>, empty boolean"
 
 
 def whole(text: Column) -> Column:
@@ -22,126 +32,129 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), text.try_cast("double").try_cast("int"))
 
 
-def normalized(raw: Column, grid: Column) -> Column:
-    """(error, fresh): raw placements folded onto an empty grid, up to the first error."""
-    start = F.struct(F.lit(None).cast("string").alias("error"), F.lit(EMPTY).alias("fresh"))
-
-    def step(state: Column, p: Column) -> Column:
-        row, col, letter = whole(p.row), whole(p.col), F.upper(F.trim(p.letter))
-        here = F.upper(at(grid, row, col))
-        error = (
-            F.when(state.error.isNotNull(), state.error)
-            .when(row.isNull() | col.isNull() | p.letter.isNull(), "Placement lacks a whole row, a column or a letter.")
-            .when(~row.between(0, SIZE - 1) | ~col.between(0, SIZE - 1), F.format_string("Placement out of bounds: (%d, %d)", row, col))
-            .when(~letter.rlike("^[A-Z]$"), F.concat(F.lit("Invalid placement letter: '"), letter, F.lit("'")))
-            .when((here != ".") & (here != letter), F.format_string("Placement collides with existing tile at (%d, %d)", row, col))
-        )
-        fresh = F.when(error.isNull() & (here == "."), put(state.fresh, row, col, letter)).otherwise(state.fresh)
-        return F.struct(error.alias("error"), fresh.alias("fresh"))
-
-    folded = F.aggregate(F.coalesce(raw, F.array().cast("array<struct<row:string,col:string,letter:string>>")), start, step)
-
-    def counted(state: Column) -> Column:
-        n = F.length(F.replace(state.fresh, F.lit("."), F.lit("")))
-        error = state.error
-        error = F.when(error.isNotNull(), error).when(n == 0, "No new tiles were provided.").when(n > RACK, "A Scrabble move may not place more than 7 tiles.")
-        return F.struct(error.alias("error"), state.fresh.alias("fresh"))
-
-    return let(folded, counted)
-
-
-def supplied(fresh: Column, rack: Column) -> Column:
-    """(error, rest, placements): each new tile takes its letter from the rack, or else a blank, in reading order."""
-    places = F.transform(F.filter(F.transform(F.split(fresh, ""), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: (p.x != ".") & (p.x != "")), lambda p: p.i)
-    none = F.array().cast("array<struct<row:int,col:int,letter:string,is_blank:boolean>>")
-    start = F.struct(F.lit(None).cast("string").alias("error"), F.upper(F.coalesce(rack, F.lit(""))).alias("rest"), none.alias("placements"))
-
-    def step(state: Column, i: Column) -> Column:
-        letter = F.substr(fresh, i + 1, F.lit(1))
-        own, blank = F.instr(state.rest, letter), F.instr(state.rest, F.lit("?"))
-        used = F.when(own > 0, own).otherwise(blank)
-        error = F.coalesce(state.error, F.when(used == 0, F.concat(F.lit("Rack cannot supply letter '"), letter, F.lit("'."))))
-        rest = F.when(used > 0, F.concat(F.substr(state.rest, F.lit(1), used - 1), F.substr(state.rest, used + 1))).otherwise(state.rest)
-        tile = F.struct(F.floor(i / SIZE).cast("int").alias("row"), (i % SIZE).cast("int").alias("col"), letter.alias("letter"), (own == 0).alias("is_blank"))
-        return F.struct(error.alias("error"), rest.alias("rest"), F.concat(state.placements, F.array(tile)).alias("placements"))
-
-    return F.aggregate(places, start, step)
-
-
-def _score(word: Column, row: Column, col: Column, across: Column, fresh: Column) -> Column:
-    """Points of a word that starts at a square; premiums count under new tiles only."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(1).alias("times"))
-
-    def step(state: Column, i: Column) -> Column:
-        place = (row + F.when(across, 0).otherwise(i)) * SIZE + col + F.when(across, i).otherwise(0) + 1
-        new = F.substr(fresh, place, F.lit(1)) != "."
-        value = points(F.substr(word, i + 1, F.lit(1)))
-        digit = lambda digits: F.when(new, F.substr(F.lit(digits), place, F.lit(1)).cast("int")).otherwise(1)
-        return F.struct((state.sum + value * digit(LETTER_DIGITS)).alias("sum"), (state.times * digit(WORD_DIGITS)).alias("times"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step, lambda s: s.sum * s.times)
-
-
-def _word(grid: Column, fresh: Column, row: Column, col: Column, across: Column, kind: str) -> Column:
-    """(kind, text, start, points, touches): the word along a line through a square."""
-    line = line_of(grid, across, F.when(across, row).otherwise(col))
-
-    def made(run: Column) -> Column:
-        r, c = F.when(across, row).otherwise(run.start), F.when(across, run.start).otherwise(col)
-        new = F.substr(line_of(fresh, across, F.when(across, row).otherwise(col)), run.start + 1, F.length(run.word))
-        touches = F.instr(new, F.lit(".")) > 0
-        return F.struct(F.lit(kind).alias("kind"), F.upper(run.word).alias("text"), _score(run.word, r, c, across, fresh).alias("points"), touches.alias("touches"))
-
-    return let(run_at(line, F.when(across, col).otherwise(row)), made)
-
-
-def _formed(grid: Column, fresh: Column, tiles: Column, empty: Column) -> Column:
-    """(error, words): the words that a move forms, main word first, or the first error of its shape."""
-    rows, cols = F.transform(tiles, lambda t: t.row), F.transform(tiles, lambda t: t.col)
-    row, col = F.get(tiles, F.lit(0)).row, F.get(tiles, F.lit(0)).col
-    opening = F.exists(tiles, lambda t: (t.row == CENTER) & (t.col == CENTER))
-    made = lambda error, words: F.struct(F.lit(error).cast("string").alias("error"), words.alias("words"))
-    none = F.lit(None).cast("array<struct<kind:string,text:string,points:int,touches:boolean>>")
-
-    def one() -> Column:
-        both = F.array(_word(grid, fresh, row, col, F.lit(True), "word"), _word(grid, fresh, row, col, F.lit(False), "word"))
-
-        def chosen(pair: Column) -> Column:
-            long = F.filter(pair, lambda w: F.length(w.text) > 1)
-            # A first move of one tile forms its letter once, though it is a word of both lines.
-            return let(long, lambda x: F.when(F.size(x) > 0, made(None, F.when(empty, pair).otherwise(x))).when(empty, made(None, F.slice(pair, 1, 1))).otherwise(made("Single-tile move does not connect to any word.", none)))
-
-        return let(both, chosen)
-
-    def several(across: Column) -> Column:
-        line = line_of(grid, across, F.when(across, row).otherwise(col))
-        low, high = F.when(across, F.array_min(cols)).otherwise(F.array_min(rows)), F.when(across, F.array_max(cols)).otherwise(F.array_max(rows))
-        gap = F.instr(F.substr(line, low + 1, high - low + 1), F.lit(".")) > 0
-        main = F.array(_word(grid, fresh, row, col, across, "main"))
-        # On an empty board no tile has a neighbour across the line.
-        cross = F.filter(F.transform(tiles, lambda t: _word(grid, fresh, t.row, t.col, ~across, "cross")), lambda w: F.length(w.text) > 1)
-        return F.when(gap, made("Move has a gap in its main word.", none)).otherwise(made(None, F.when(empty, main).otherwise(F.concat(main, cross))))
-
-    across = F.size(F.array_distinct(rows)) == 1
-    straight = across | (F.size(F.array_distinct(cols)) == 1)
-    return (
-        F.when((F.size(tiles) > 1) & ~straight, made("Placements must all be on the same row or column.", none))
-        .when(empty & ~opening, made("The opening move must cover the center square.", none))
-        .when(F.size(tiles) == 1, one())
-        .otherwise(let(across, several))
-    )
-
-
-def judged(raw: Column, board: Column, rack: Column) -> Column:
-    """(error, placements, words, empty) of a move, before its words are looked up."""
-
-    def formed(grid: Column, n: Column, s: Column) -> Column:
-        placed = F.aggregate(s.placements, grid, lambda g, t: put(g, t.row, t.col, F.when(t.is_blank, F.lower(t.letter)).otherwise(t.letter)))
-        early = F.coalesce(n.error, s.error)
-        shape = F.when(early.isNull(), let(placed, lambda g: _formed(g, n.fresh, s.placements, grid == EMPTY)))
-        return let(shape, lambda w: F.struct(F.coalesce(early, w.error).alias("error"), s.placements.alias("placements"), w.words.alias("words"), (grid == EMPTY).alias("empty")))
-
-    return let(grid_of(board), lambda grid: let(normalized(raw, grid), lambda n: let(supplied(n.fresh, rack), lambda s: formed(grid, n, s))))
+class Refused(Exception):
+    """A move breaks a rule; the text says which."""
+
+
+class Word(NamedTuple):
+    kind: str
+    text: str
+    points: int
+    touches: bool
+
+
+def fresh_tiles(raw: list[dict], grid: str) -> dict[int, str]:
+    """Square and letter of the tiles that a move adds; a placement that repeats the board's own letter adds none."""
+    fresh = {}
+    for p in raw:
+        row, col, letter = p["row"], p["col"], p["letter"]
+        if row is None or col is None or letter is None:
+            raise Refused("Placement lacks a whole row, a column or a letter.")
+        if not (0 <= row < SIZE and 0 <= col < SIZE):
+            raise Refused(f"Placement out of bounds: ({row}, {col})")
+        if len(letter) != 1 or not "A" <= letter <= "Z":
+            raise Refused(f"Invalid placement letter: '{letter}'")
+        here = grid[row * SIZE + col].upper()
+        if here == ".":
+            fresh[row * SIZE + col] = letter
+        elif here != letter:
+            raise Refused(f"Placement collides with existing tile at ({row}, {col})")
+    if not fresh:
+        raise Refused("No new tiles were provided.")
+    if len(fresh) > RACK:
+        raise Refused("A Scrabble move may not place more than 7 tiles.")
+    return dict(sorted(fresh.items()))
+
+
+def supplied(fresh: dict[int, str], rack: str) -> dict[int, str]:
+    """Each new tile takes its letter from the rack, or else a blank (then it is in lower case), in reading order."""
+    rest, out = list(rack), {}
+    for square, letter in fresh.items():
+        token = letter if letter in rest else "?"
+        if token not in rest:
+            raise Refused(f"Rack cannot supply letter '{letter}'.")
+        rest.remove(token)
+        out[square] = letter.lower() if token == "?" else letter
+    return out
+
+
+def word_at(grid: list[str], fresh: dict[int, str], square: int, step: int, kind: str) -> Word:
+    """The word through a square along a line (``step`` 1 or SIZE); premiums count under new tiles only."""
+    place = square % SIZE if step == 1 else square // SIZE
+    first, last = square, square
+    for _ in range(place):
+        if grid[first - step] == ".":
+            break
+        first -= step
+    for _ in range(SIZE - 1 - place):
+        if grid[last + step] == ".":
+            break
+        last += step
+    total, times, touches, text = 0, 1, False, []
+    for s in range(first, last + 1, step):
+        letter = grid[s]
+        text.append(letter)
+        value = POINTS.get(letter, 0)
+        if s in fresh:
+            total, times = total + value * _LETTER[s], times * _WORD[s]
+        else:
+            total, touches = total + value, True
+    return Word(kind, "".join(text).upper(), total * times, touches)
+
+
+def formed(grid: str, fresh: dict[int, str]) -> list[Word]:
+    """The words that a move forms, main word first."""
+    empty, squares = grid == EMPTY, [*fresh]
+    rows, cols = {s // SIZE for s in squares}, {s % SIZE for s in squares}
+    if len(rows) > 1 and len(cols) > 1:
+        raise Refused("Placements must all be on the same row or column.")
+    if empty and CENTER * SIZE + CENTER not in fresh:
+        raise Refused("The opening move must cover the center square.")
+    after = list(grid)
+    for s, letter in fresh.items():
+        after[s] = letter
+    if len(squares) == 1:
+        both = [word_at(after, fresh, squares[0], step, "word") for step in (1, SIZE)]
+        long = [w for w in both if len(w.text) > 1]
+        if not long and not empty:
+            raise Refused("Single-tile move does not connect to any word.")
+        return long or both[:1]  # a first move of one tile forms its letter once, though it is a word of both lines
+    step, across = (1, SIZE) if len(rows) == 1 else (SIZE, 1)
+    if any(after[s] == "." for s in range(squares[0], squares[-1] + 1, step)):
+        raise Refused("Move has a gap in its main word.")
+    crossing = [word_at(after, fresh, s, across, "cross") for s in squares]
+    return [word_at(after, fresh, squares[0], step, "main"), *(w for w in crossing if len(w.text) > 1)]
+
+
+def judge(raw: list[dict] | None, grid: str, rack: str) -> tuple[str | None, list[tuple], list[Word]]:
+    """Error, placements and words of a move, before its words are looked up. ``raw``: row, col and letter (upper case) of each placement."""
+    try:
+        fresh = supplied(fresh_tiles(raw or [], grid), rack)
+    except Refused as e:
+        return str(e), [], []
+    placements = [{"row": s // SIZE, "col": s % SIZE, "letter": x.upper(), "is_blank": x.islower()} for s, x in fresh.items()]
+    try:
+        return None, placements, formed(grid, fresh)
+    except Refused as e:
+        return str(e), placements, []
+
+
+def judged(moves: DataFrame) -> DataFrame:
+    """move_id, error, placements, words, empty of each move. ``moves``: move_id, rack, board, raw."""
+    ship(moves.sparkSession)
+    cell = lambda p: F.struct(whole(p.row).alias("row"), whole(p.col).alias("col"), F.upper(F.trim(p.letter)).alias("letter"))
+    rows = moves.select("move_id", F.transform("raw", cell).alias("raw"), grid_of(F.col("board")).alias("grid"), F.upper(F.coalesce("rack", F.lit(""))).alias("rack"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, grid, rack = (batch.column(c).to_pylist() for c in ("raw", "grid", "rack"))
+            told = [judge(*move) for move in zip(raw, grid, rack, strict=True)]
+            error, placed = pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], _PLACED)
+            words = pa.array([[w._asdict() for w in t[2]] for t in told], _FORMED)
+            yield pa.RecordBatch.from_arrays([batch.column("move_id"), error, placed, words, pa.array([g == EMPTY for g in grid])], ["move_id", "error", "placements", "words", "empty"])
+
+    schema = StructType([StructField("move_id", rows.schema["move_id"].dataType), *StructType.fromDDL(_JUDGED)])
+    return rows.mapInArrow(run, schema)
 
 
 def score_moves(moves: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -149,7 +162,7 @@ def score_moves(moves: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     A move is judged once: its outcome goes along with its words to the lexicon and comes back in one grouping.
     """
-    shaped = moves.select("move_id", judged(F.col("raw"), F.col("board"), F.col("rack")).alias("j"))
+    shaped = judged(moves).select("move_id", F.struct("error", "placements", "words", "empty").alias("j"))
     known = lexicon.select(F.col("word").alias("text"), F.lit(True).alias("known")).distinct()
     if known.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
         known = F.broadcast(known)
