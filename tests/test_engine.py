@@ -128,7 +128,7 @@ def slow_score(lex, cells, rack, raw):
 
 def test_random_moves_and_generation(spark):
     rng = random.Random(4)
-    lex = {"".join(p) for n in (2, 3) for p in itertools.product("ABE", repeat=n) if rng.random() < 0.5} | {"ABEB", "EBBA"}
+    lex = {"".join(p) for n in (2, 3) for p in itertools.product("ABE", repeat=n) if rng.random() < 0.5} | {"ABEB", "EBBA", "A"}
     positions = {"empty": ([], "AB?"), "row": (word("BAE", 7, 6, True), "BE"), "cross": (word("BAE", 7, 6, True) + [(8, 7, "b")], "AE?")}
     rows, want = [], {}
     for name, (cells, rack) in positions.items():
@@ -157,9 +157,24 @@ def test_random_moves_and_generation(spark):
         assert best[name].score == top and tuple((p.row, p.col, p.letter) for p in best[name].placements) == min(ties, key=lambda k: (len(k), k))
 
 
+def test_opening_of_one_tile(spark):
+    boards = spark.createDataFrame([("one", "A", []), ("blank", "?", []), ("none", "B", [])], f"id string, rack string, board {BOARD}")
+    got = {(r.id, tuple((p.row, p.col, p.letter, p.is_blank) for p in r.placements)): r.score for r in generate_moves(boards, words(spark, "A", "AT")).collect()}
+    assert got == {("one", ((7, 7, "A", False),)): 2, ("blank", ((7, 7, "A", True),)): 0}
+
+
+def test_feasible_words_of_any_rack(spark):
+    rng = random.Random(6)
+    lex = {"".join(rng.choice("ABCD") for _ in range(rng.randint(1, 10))) for _ in range(400)}
+    racks = ["ABCDABCD", "AB???", "?", "????????", "AABBCCDDAB", "ABC", "B", ""]
+    got = {(r.rack_id, r.word) for r in lexicon.feasible(spark.createDataFrame([*enumerate(racks)], "rack_id int, rack string"), words(spark, *lex)).collect()}
+    want = {(i, w) for i, rack in enumerate(racks) for w in lex if (Counter(w) - Counter(rack.replace("?", ""))).total() <= rack.count("?")}
+    assert got == want and len(want) > 200
+
+
 def test_generated_moves_use_the_whole_lexicon(spark):
     lex = {w for (w,) in database(SMALL).execute(f"WITH {analogs.WORDS} SELECT word FROM words").fetchall()} | set(FIXTURE_WORDS)
-    spelled = {w for w in lex if 2 <= len(w) <= 7 and (Counter(w) - Counter("ATTRES")).total() <= 1}  # the rack has a blank too
+    spelled = {w for w in lex if len(w) <= 7 and (Counter(w) - Counter("ATTRES")).total() <= 1}  # the rack has a blank too
     got = {r.words for r in catalogue.queries()["generate_moves"](spark, SMALL).where("id = 'none'").collect()}
     assert got == spelled
 
@@ -254,7 +269,7 @@ def test_files(spark, tmp_path):
     assert [r.id for r in files.select_positions(positions, "custom", 2).collect()] == ["pos-10", "pos-9"]
     assert board.cell_rows(positions).where("letter = 'A'").count() == 3
     files.write_positions(positions, f"{tmp_path}/out")
-    assert files.read_positions(spark, f"{tmp_path}/out").count() >= 1
+    assert [r.id for r in files.select_positions(files.read_positions(spark, f"{tmp_path}/out"), "full").collect()] == ["pos-10", "pos-9", "pos-1"]
     lines = spark.createDataFrame([(1, "A=1"), (2, "# x"), (3, ""), (4, "A=2"), (5, "B = x=y"), (6, "none")], "seq int, value string")
     assert {r.key: r.value for r in files.settings(lines).collect()} == {"A": "1", "B": "x=y"}
     files.export_csv(spark.createDataFrame([("a,b", None, 1.5), ('q"', "", 2.0)], "x string, y string, z double"), f"{tmp_path}/csv")
@@ -292,3 +307,51 @@ def test_streams(spark, tmp_path):
     assert (states[-1].status, states[-1].attempt_index, states[-1].move_score, states[-1].content) == ("done", 2, 7, "hello")
     batch = spark.createDataFrame([(i, e["run_id"], e.get("position_id"), e["type"], float(e.get("move_score", 0))) for i, e in enumerate(log)], "seq int, run_id string, position_id string, type string, points double")
     assert [tuple(r) for r in live.progress(batch).collect()] == [("r", 1, 1, 0, 7.0)]
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    """A dataset is generated, a run prepared, played over recorded replies, shown, exported and another cancelled."""
+    from tilegrid import __main__ as cli
+
+    store = f"file://{tmp_path}/store"
+    (tmp_path / "words.txt").write_text("\n".join("".join(p) for p in itertools.product("AEIORT", "NSTLRDGE", "AEIO")))
+    run = lambda *args: cli.shown(spark, cli.parser().parse_args(["--store", store, *args]))
+    monkeypatch.setattr(selfplay, "QUOTAS", {1: 2, 2: 1})
+    monkeypatch.setattr(selfplay, "PLIES", 2)
+    monkeypatch.setattr(selfplay.dataset, "__defaults__", (None, 2, 20260412, 2))
+    asked = ("--mode", "custom", "--lexicon", f"{tmp_path}/words.txt")
+    positions = run("dataset", *asked).collect()
+    assert [r.band_ply for r in positions] == [1, 1, 2] and len({r.id for r in positions}) == 3
+    spark.createDataFrame([("a/m", "M", "a", "2024")], cli.MODEL).write.parquet(f"{store}/models")
+    spark.createDataFrame([("codex", "Codex", True)], cli.AGENT).write.parquet(f"{store}/agents")
+    run_id = run("prepare-run", *asked, "--model", "a/m", "--effort", "low").first().id
+    with pytest.raises(RuntimeError, match="already active"):
+        run("prepare-run", *asked, "--model", "a/m")
+    assert [r.status for r in run("runs").collect()] == ["queued"] == [run("active-run").first().status]
+    (tmp_path / "replies.json").write_text(json.dumps({"position_id": positions[0].id, "attempt_index": 1, "reply": "none", "total_tokens": 5, "latency_ms": 7}))
+    row = run("play", *asked, "--model", "a/m", "--run-id", run_id, "--replies", str(tmp_path / "replies.json")).first()
+    assert (row.run_id, row.status, row.model_name, row.company_slug, row.reasoning_effort, row.raw_points, row.avg_total_tokens) == (run_id, "completed", "M", "a", "low", 0, 5.0)
+    assert run("active-run").collect() == [] and run("leaderboard").count() == 1
+    (result,) = run("run", run_id).collect()
+    assert (result.position_id, result.raw_response, result.validation_error, result.parsed_move, result.attempt_trace) == (positions[0].id, "none", "Response did not contain JSON.", None, [])
+    run("export", "--kind", "run", "--run-id", run_id, "--out", f"{store}/one")
+    assert spark.read.option("header", True).csv(f"{store}/one").first().position_id == positions[0].id
+    for command in (("run", "nobody"), ("cancel-run", "nobody"), ("export", "--kind", "run", "--run-id", "nobody")):
+        with pytest.raises(RuntimeError, match="Unknown run id"):
+            run(*command)
+    other = run("prepare-run", *asked, "--model", "x").first().id
+    assert run("cancel-run", other).first().ok and {r.id: r.status for r in run("runs").collect()} == {run_id: "completed", other: "cancelled"}
+    assert [r.source for r in run("search-models", "codex").collect()] == ["cli"] and [r.slug for r in run("search-models", "M").collect()] == ["a/m"]
+    assert run("cli-agents").first().id == "codex"
+
+
+def test_follow_looks_again(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "1.jsonl").write_text('{"type":"run_started","run_id":"r"}\n')
+    seen = []
+    query = live.follow(live.events(live.tail(spark, str(tmp_path / "log"))), lambda rows, n: seen.extend(r.type for r in rows.collect()), f"{tmp_path}/state")
+    query.processAllAvailable()
+    (tmp_path / "log" / "2.jsonl").write_text('{"type":"run_completed","run_id":"r"}\n')
+    query.processAllAvailable()
+    query.stop()
+    assert seen == ["run_started", "run_completed"]

@@ -28,6 +28,14 @@ PHASES = (
     ("running ", None), ("POST ", "contacting API"), ("stream opened", "stream opened"), ("first stream bytes", "waiting for model output"),
     ("retrying without streaming", "waiting for model output"),
 )
+# Label, background and text colour of companies with a theme of their own, and of all others, whose label is the start of their name.
+THEMES = {
+    "openai": ("OA", "#17324d", "#edf6ff"), "anthropic": ("AN", "#25405d", "#edf6ff"), "google": ("GO", "#284c73", "#edf6ff"), "meta": ("ME", "#355b87", "#edf6ff"), "qwen": ("QW", "#1f3f69", "#edf6ff"),
+    "mistralai": ("MI", "#274868", "#edf6ff"), "microsoft": ("MS", "#1b3654", "#edf6ff"), "deepseek": ("DS", "#0f2b46", "#edf6ff"), "xai": ("xAI", "#1f2937", "#f8fbff"), "z-ai": ("ZA", "#213b58", "#edf6ff"),
+    "googlefree": ("GO", "#284c73", "#edf6ff"), "minimax": ("MM", "#24476a", "#edf6ff"), "moonshotai": ("KM", "#24476a", "#edf6ff"), "nvidia": ("NV", "#24476a", "#edf6ff"), "xiaomi": ("XM", "#24476a", "#edf6ff"),
+    "unknown": ("??", "#334155", "#f8fbff"),
+}
+OTHER_THEME = ("#274868", "#edf6ff")
 EFFORTS = ("none", "minimal", "low", "medium", "high", "xhigh")
 
 
@@ -59,6 +67,32 @@ def badge(company: Column) -> Column:
     return F.coalesce(F.nullif(F.upper(F.left(company, F.lit(2))), F.lit("")), F.lit("??"))
 
 
+def theme(company: Column) -> Column:
+    """(label, bg, fg) of a company's badge."""
+    made = lambda label, bg, fg: F.struct(label.alias("label"), F.lit(bg).alias("bg"), F.lit(fg).alias("fg"))
+    out = made(badge(company), *OTHER_THEME)
+    for name, (label, *colours) in THEMES.items():
+        out = F.when(company == name, made(F.lit(label), *colours)).otherwise(out)
+    return out
+
+
+def progress_phase(status: Column, detail: Column) -> Column:
+    """What a status event shows as the phase; a detail is cut to 80 characters."""
+    own = F.trim(F.coalesce(status, F.lit("")))
+    told = F.when(F.coalesce(detail, F.lit("")) == "", own).otherwise(F.concat(own, F.lit(": "), F.left(detail, F.lit(80))))
+    return F.when(own != "", told)
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    """``value``, rounded down, within bounds; ``low`` for null."""
+    return F.coalesce(F.least(F.lit(high), F.greatest(F.lit(low), F.floor(value))).cast("int"), F.lit(low))
+
+
+def whole_or_zero(value: Column) -> Column:
+    """A count given as text or number; 0 where there is none."""
+    return F.coalesce(value.cast("string").try_cast("int"), F.lit(0))
+
+
 def chunks(text: Column) -> Column:
     """Words with the space after them; an empty text has none."""
     parts = F.split(text, " ", -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Names of agents, and the id each stands for.
@@ -29,6 +29,21 @@ def search(rows: DataFrame, needle: str) -> DataFrame:
     return found.orderBy(F.when(F.contains(F.lower("slug"), F.lit(text)), 0).otherwise(1), "slug")
 
 
+def tagged(rows: DataFrame, source: str) -> DataFrame:
+    """Hits with a slug, and where they come from."""
+    return rows.where(F.coalesce("slug", F.lit("")) != "").withColumn("source", F.lit(source))
+
+
+def searched(models: DataFrame, agents: DataFrame, needle: str) -> DataFrame:
+    """Hits of both catalogues (slug, name, author), those of the agents first if the needle looks like one of them; ``branch`` and ``place`` give the order."""
+    text = needle.strip().lower()
+    like_agent = text.startswith("cli") or any(name in text for name in ("codex", "opencode", "cli2api"))
+    ways = [("openrouter", models), ("cli", agents)]
+    both = merged(*(tagged(search(rows, needle), source) for source, rows in (ways[::-1] if like_agent else ways)))
+    lead = F.when(F.contains(F.lower("slug"), F.lit(text)), 0).otherwise(1)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("branch").orderBy(lead, "slug"))).orderBy("branch", "place")
+
+
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows of both with ``branch`` (0 or 1); which branch leads is the caller's choice."""
     return first.withColumn("branch", F.lit(0)).unionByName(second.withColumn("branch", F.lit(1)), allowMissingColumns=True)

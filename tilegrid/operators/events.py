@@ -140,3 +140,11 @@ def status_text(status: Column, detail: Column) -> Column:
     """A status as a line of the reasoning channel."""
     told = F.when(F.coalesce(detail, F.lit("")) == "", status).otherwise(F.concat(status, F.lit(": "), shortened(detail, 240)))
     return F.when(F.endswith(told, F.lit("\n")), told).otherwise(F.concat(told, F.lit("\n")))
+
+
+def replayed(lines: DataFrame) -> DataFrame:
+    """key, seq, text, channel, event_type of a process's two outputs in the order they came: answers and thoughts from ``stdout``, and ``stderr`` as status lines
+    of the reasoning. ``lines``: key, seq, stream, line."""
+    told = F.struct(status_text(F.lit("stderr"), F.trim("line")).alias("text"), F.lit("reasoning").alias("channel"), F.lit("stderr").alias("event_type"))
+    event = F.when(F.col("stream") == "stderr", told).otherwise(agent_event(F.col("line")))
+    return lines.select("key", "seq", event.alias("e")).select("key", "seq", "e.text", "e.channel", "e.event_type")

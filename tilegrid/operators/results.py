@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilegrid.schemas import MOVE, TRACE_EVENT
+
+BOARD_COLUMNS = (
+    "company_slug", "model_id", "model_name", "reasoning_effort", "release_date", "score_pct", "raw_points", "optimal_raw_points", "avg_total_tokens", "min_total_tokens", "max_total_tokens",
+    "status", "mode", "board_count", "started_at",
+)
 ACTIVE, TERMINAL = ("queued", "running"), ("completed", "failed", "cancelled")
 
 
@@ -68,11 +74,36 @@ def summary(board: DataFrame) -> DataFrame:
 
 
 def run_detail(results: DataFrame, positions: DataFrame) -> DataFrame:
-    """Results with their position's columns; results of unknown positions are dropped. Of positions with one id the last counts."""
-    own = positions.dropDuplicates(["position_id"]) if "seq" not in positions.columns else first_by(positions, ["position_id"], F.desc("seq")).drop("seq")
+    """Results with their position's columns; results of unknown positions are dropped. Of positions with one id the last counts, by ``seq`` or else as they lie in the table."""
+    own = positions if "seq" in positions.columns else positions.withColumn("seq", F.monotonically_increasing_id())
+    own = first_by(own, ["position_id"], F.desc("seq")).drop("seq")
     return results.join(own, "position_id")
 
 
+def numbered(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """``rows`` with ``index`` (from 1, in order) and ``total`` of their key."""
+    return rows.withColumns({"index": F.row_number().over(Window.partitionBy(key).orderBy(*order)), "total": F.count("*").over(Window.partitionBy(key)).cast("int")})
+
+
+def decoded(results: DataFrame) -> DataFrame:
+    """``results`` with ``parsed_move`` and ``attempt_trace`` as they are read: null where nothing is stored."""
+    move = F.from_json(F.nullif("parsed_move", F.lit("")), MOVE)
+    return results.withColumns({"parsed_move": move, "attempt_trace": F.from_json("attempt_trace", f"array<{TRACE_EVENT}>")})
+
+
+def board_row(runs: DataFrame) -> DataFrame:
+    """A run's own row as a row of the leaderboard."""
+    return runs.select(F.col("id").alias("run_id"), *(c for c in BOARD_COLUMNS))
+
+
+def known(runs: DataFrame, run_id: str) -> DataFrame:
+    """The run; one that isn't there is an error."""
+    own = runs.where(F.col("id") == run_id)
+    if own.isEmpty():
+        raise RuntimeError(f"Unknown run id: {run_id}")
+    return own
+
+
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key; with ``desc`` orders the last."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

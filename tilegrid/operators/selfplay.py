@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilegrid.functions.tiles import RACK, TILES
-from tilegrid.operators.board import EMPTY, cells_of, put
+from tilegrid.operators.board import EMPTY, cells_of, position_key, put
 from tilegrid.operators.movegen import best_moves, generate_moves, ranked
+from tilegrid.operators.results import first_by, quota
 
 POOL, PLIES, SNAPSHOTS = 12, 14, (6, 10, 14)
+#: Positions of a dataset by ply, and games after which a dataset that isn't full is given up.
+QUOTAS, MOST_GAMES = {6: 34, 10: 33, 14: 33}, 10_000
 
 
 def _sorted(text: Column) -> Column:
@@ -33,10 +36,10 @@ def remaining(rack: Column, placements: Column) -> Column:
     return F.aggregate(placements, rack, take)
 
 
-def opening(spark: SparkSession, games: int, seed: int) -> DataFrame:
-    """game, grid, bag, racks of fresh games."""
+def opening(spark: SparkSession, games: int, seed: int, first: int = 1) -> DataFrame:
+    """game, grid, bag, racks of fresh games, numbered from ``first``."""
     tiles = F.array(*(F.lit(x) for x, n in TILES.items() for _ in range(n)))
-    rows = spark.range(1, games + 1).select(F.col("id").cast("int").alias("game"))
+    rows = spark.range(first, first + games).select(F.col("id").cast("int").alias("game"))
     keyed = F.transform(tiles, lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col("game"), i).alias("k"), x.alias("x")))
     bag = rows.select("game", F.array_join(F.transform(F.array_sort(keyed), lambda s: s.x), "").alias("bag"))
     draw = lambda n: _sorted(F.substring("bag", n * RACK + 1, RACK))
@@ -51,10 +54,10 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def play(spark: SparkSession, lexicon: DataFrame, games: int, seed: int = 20260412, plies: int = PLIES, snapshots: tuple[int, ...] = SNAPSHOTS) -> DataFrame:
+def play(spark: SparkSession, lexicon: DataFrame, games: int, seed: int = 20260412, plies: int = PLIES, snapshots: tuple[int, ...] = SNAPSHOTS, first: int = 1) -> DataFrame:
     """Positions after the plies of ``snapshots``: id, band_ply, source_game_id, source_seed, board, rack, player_to_move, bag_count, tiles_played,
     optimal_score, tied_moves. A game in which a player can't move has no positions."""
-    state, taken = opening(spark, games, seed), []
+    state, taken = opening(spark, games, seed, first), []
     words = lexicon.cache()
     for ply in range(1, plies + 1):
         player = (ply - 1) % 2
@@ -80,3 +83,26 @@ def play(spark: SparkSession, lexicon: DataFrame, games: int, seed: int = 202604
     shots = _kept(shots)
     tied = best_moves(generate_moves(shots.select("id", "rack", "board"), words)).groupBy("id").agg(F.max("score").alias("optimal_score"), F.count("*").alias("tied_moves"))
     return shots.join(tied, "id").orderBy("band_ply", "id")
+
+
+def accepted(positions: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """The positions of a dataset: of equal boards and racks the first, and of each ply as many as its quota, by game."""
+    spark = positions.sparkSession
+    own = positions.withColumn("_key", position_key(F.col("board"), F.col("rack")))
+    once = first_by(own, ["_key"], F.col("source_seed"), F.col("band_ply")).drop("_key")
+    wanted = spark.createDataFrame([*quotas.items()], "band_ply int, quota int")
+    return quota(once, F.broadcast(wanted), "band_ply", F.col("source_seed"))  # a row for each ply
+
+
+def dataset(spark: SparkSession, lexicon: DataFrame, quotas: dict[int, int] | None = None, games: int = 40, seed: int = 20260412, plies: int = PLIES) -> DataFrame:
+    """Positions of self-play, without repetitions, until each ply has its quota; ``games`` are played at once. In the order of ply and id."""
+    quotas = quotas or QUOTAS
+    played, first = None, 1
+    while True:
+        new = play(spark, lexicon, games, seed, plies, tuple(quotas), first)
+        played = _kept(new if played is None else played.unionByName(new))
+        out = accepted(played, quotas)
+        held = {r.band_ply: r["count"] for r in out.groupBy("band_ply").count().collect()}  # a row for each ply
+        first += games
+        if all(held.get(ply, 0) >= n for ply, n in quotas.items()) or first > MOST_GAMES:
+            return out.orderBy("band_ply", "id")

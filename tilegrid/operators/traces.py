@@ -44,3 +44,9 @@ def joined_text(rows: DataFrame, keys: list[str], order: str, text: str) -> Data
     """The texts of each key, in order, as one."""
     listed = F.array_sort(F.collect_list(F.struct(order, text)))
     return rows.groupBy(*keys).agg(listed.alias("_l")).select(*keys, F.array_join(F.transform("_l", lambda x: x[text]), "").alias("text"))
+
+
+def whole_trace(early: Column, late: Column) -> Column:
+    """The events before and after the first answer as one trace; either may be missing."""
+    none = F.array().cast("array<struct<type:string,elapsed_ms:int,delta_ms:int,chars:int,source:string>>")
+    return F.concat(F.coalesce(early, none), F.coalesce(late, none))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("runs", "words", "logs", "evaluate")
+PARTS = ("runs", "words", "logs", "evaluate", "whole", "stores")
 
 
 def _all() -> dict[Callable, str | None]:

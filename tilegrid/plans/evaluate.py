@@ -25,8 +25,8 @@ def judged_attempts(positions: DataFrame, replies: DataFrame, lexicon: DataFrame
     own = replies.where(F.col("attempt_index") <= ATTEMPTS).join(positions.select(F.col("id").alias("position_id"), "rack", "board", "optimal_score"), "position_id")
     own = own.withColumn("call", F.when(F.col("failure").isNull(), tool_call(F.col("reply")))).withColumn("move_id", F.struct("position_id", "attempt_index"))
     scored = score_moves(own.where(F.col("call.error").isNull() & F.col("failure").isNull()).select("move_id", "rack", "board", F.col("call.placements").alias("raw")), lexicon)
-    rows = own.join(scored.select("move_id", "score", "words", F.col("error").alias("rejected")), "move_id", "left")
-    return rows.select("position_id", "attempt_index", F.col("failure").isNull().alias("answered"), F.coalesce("failure", "call.error", "rejected").alias("error"), "score", "words", "optimal_score", "total_tokens", "latency_ms", "reply")
+    rows = own.join(scored.select("move_id", "placements", "score", "words", F.col("error").alias("rejected")), "move_id", "left")
+    return rows.select("position_id", "attempt_index", F.col("failure").isNull().alias("answered"), F.coalesce("failure", "call.error", "rejected").alias("error"), "placements", "score", "words", "optimal_score", "total_tokens", "latency_ms", "reply")
 
 
 def evaluate(positions: DataFrame, replies: DataFrame, lexicon: DataFrame) -> DataFrame:

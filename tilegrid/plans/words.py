@@ -58,17 +58,25 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.tokens(spark, sf_dir).select("doc_id", F.col("value").alias("word"))
 
 
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole lexicon of the conversations."""
+    said = a.table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("value"))
+    return lexicon.build(said, True)
+
+
 def word_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the truncated lexicon holds, counted."""
-    return lexicon.valid(_tokens(spark, sf_dir), a.words(spark, sf_dir, full=False)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Words of each document that the lexicon of the conversations holds, counted."""
+    return lexicon.valid(_tokens(spark, sf_dir), _heard(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def word_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.invalid(_tokens(spark, sf_dir), a.words(spark, sf_dir, full=False)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Words of each document that it doesn't hold, counted."""
+    return lexicon.invalid(_tokens(spark, sf_dir), _heard(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def _held(verb: str) -> str:
-    return f"WITH {a.FEWER} SELECT doc_id, count(*) AS n FROM tokens WHERE upper(value) {verb} (SELECT word FROM fewer) GROUP BY doc_id"
+    heard = "heard AS (SELECT DISTINCT upper(w) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w FROM conversations) WHERE length(w) <= 15)"
+    return f"WITH {a.TOKENS}, {heard} SELECT doc_id, count(*) AS n FROM tokens WHERE upper(value) {verb} (SELECT word FROM heard) GROUP BY doc_id"
 
 
 def premium_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +191,7 @@ REMAINING = f"WITH {a.WORDS} SELECT word, array_to_string(list_sort(string_split
 
 def generate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legal moves of the fixture positions with the whole lexicon of the documents and the fixture's words."""
-    words = a.words(spark, sf_dir).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct()
+    words = a.words(spark, sf_dir).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct().cache()  # read four times
     moves = movegen.ranked(movegen.generate_moves(_positions(spark), words))
     text = F.array_join(F.transform("placements", lambda p: F.concat_ws(",", p.row.cast("string"), p.col.cast("string"), F.when(p.is_blank, F.lower(p.letter)).otherwise(p.letter))), ";")
     return moves.select("id", text.alias("tiles"), "score", F.array_join("words", ",").alias("words"), "place", "top")

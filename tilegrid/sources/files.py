@@ -15,8 +15,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Positions from a JSON array or JSON lines; a missing file has none."""
-    return spark.read.schema(POSITION).option("multiLine", True).json(path) if _exists(spark, path) else spark.createDataFrame([], POSITION)
+    """Positions from a JSON array, over one line or many, or from JSON lines; a missing file has none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], POSITION)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    array = first is not None and first.value.lstrip().startswith("[")
+    return spark.read.schema(POSITION).option("multiLine", array).json(path)
 
 
 def select_positions(positions: DataFrame, mode: str, boards: int | None = None) -> DataFrame:

@@ -26,6 +26,25 @@ def tail(spark: SparkSession, folder: str, files_at_once: int = 64) -> DataFrame
     return spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder)
 
 
+def follow(stream: DataFrame, write, checkpoint: str, every: str = "250 milliseconds", mode: str = "append"):
+    """Start a stream that looks for new lines at this interval and hands each batch, with its number, to ``write``."""
+    return stream.writeStream.outputMode(mode).foreachBatch(write).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
+
+
+def landed(stream: DataFrame, folder: str, checkpoint: str, mode: str) -> DataFrame:
+    """What a stream makes of all that lies in its source now, through files in ``folder``: all rows of an appending stream, the last state of a complete one."""
+    spark = stream.sparkSession
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    query.awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{folder}/batch=*")
+    if mode != "complete":
+        return rows
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    batches = [int(f.getPath().getName().removeprefix("batch=")) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={max(batches)}")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """``value`` as an event; lines that aren't have a null ``event``."""
     event = F.from_json("value", RUN_EVENT)
