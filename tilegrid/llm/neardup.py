@@ -42,8 +42,8 @@ SYMBOLS = CHUNKS * WIDTH
 FAR = 58
 #: Rounds of comparisons with a least class before the rest is compared in blocks.
 ROUNDS = 2
-#: Documents and shingles of a block, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Documents and shingles of a block, about; and documents that pass by it in one task.
+BLOCK_DOCS, BLOCK_SHINGLES, PASSING = 512, 1 << 20, 2048
 #: Rows of ids or keys up to which they are broadcast (16 bytes each); beyond, the join shuffles.
 MOST_BROADCAST = 500_000
 _CHUNKS = [f"c{i}" for i in range(CHUNKS)]
@@ -120,7 +120,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     keyed = classes.select("node", F.explode(_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     shared = written(shared, "neardup-keys")
-    pairs = keyed.join(small(shared, MOST_BROADCAST), "key").where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("n"))
+    pairs = keyed.join(shared, "key").where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("n"))
     pairs = written(pairs, "neardup-pairs")
     dropped(shared)
     return pairs
@@ -168,21 +168,24 @@ def star_links(texts: DataFrame, stars: DataFrame, percent: int = PERCENT) -> Da
 def block_links(texts: DataFrame, grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect what ``grouped`` (node, grp, part, rest) leaves apart: nodes of the ``rest`` of a group with its nodes of other parts."""
     rows = grouped.join(texts, "node")
-    sizes = rows.where("rest").groupBy("grp").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    rest = F.col("rest").cast("int")
+    sizes = rows.groupBy("grp").agg(_blocks(F.sum(rest), F.sum(rest * F.col("n_shingles"))).alias("blocks"), F.ceil(F.count("*") / PASSING).cast("int").alias("passes"))
     rows = rows.join(sizes, "grp")
-    inner = rows.where("rest").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"), "side": F.lit(0)})
-    outer = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
-    columns = ["grp", "block", "side", "node", "part", "rest", "text", *_CHUNKS]
-    dealt = inner.select(*columns).union(outer.select(*columns)).repartition("grp", "block").sortWithinPartitions("grp", "block", "side")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
+    inner = rows.where("rest").withColumns({"block": own("blocks"), "side": F.lit(0)}).withColumn("pass", all_of("passes"))
+    outer = rows.withColumns({"pass": own("passes"), "side": F.lit(1)}).withColumn("block", all_of("blocks"))
+    columns = ["grp", "block", "pass", "side", "node", "part", "rest", "text", *_CHUNKS]
+    dealt = inner.select(*columns).union(outer.select(*columns)).repartition("grp", "block", "pass").sortWithinPartitions("grp", "block", "pass", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block, joined = None, None, Sets()
         for batch in batches:
             sets, found = shingle_sets(batch.column("text")), []
             sigs = np.stack([batch.column(c).to_numpy() for c in _CHUNKS], 1).view(np.uint8)
-            for i, (grp, n, side, node, part, rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:6]), strict=True)):
-                if (grp, n) != at:
-                    at, block, joined = (grp, n), ([], [], [], []), Sets()
+            for i, (*key, side, node, part, rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:7]), strict=True)):
+                if key != at:
+                    at, block, joined = key, ([], [], [], []), Sets()
                 if not side:
                     for kept, value in zip(block, (node, part, sigs[i], sets[i]), strict=True):
                         kept.append(value)
@@ -239,7 +242,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     if not rest.isEmpty():
         more = written(block_links(texts, rest, percent), "neardup-links")
         if not more.isEmpty():
-            linked = components(told.union(more), "neardup-linked")
+            linked = components(written(told.union(more), "neardup-links"), "neardup-linked")
+    dropped(pairs, found, texts, stars, told, rest)
     return linked
 
 
