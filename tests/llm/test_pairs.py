@@ -11,9 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tilegrid.llm import graph, linededup, neardup
-from tilegrid.llm.decontam import MASKS, NEED, REGION, STRIDE, contamination
+from tilegrid.llm.decontam import LEAST, MASKS, NEED, REGION, SPAN, STRIDE, contamination
 from tilegrid.llm.graph import components
-from tilegrid.llm.linededup import EDITS, SHORTEST, drop_repeated_lines, line_counts, line_keys, within
+from tilegrid.llm.linededup import ALLOWED, distances, drop_repeated_lines, line_counts, line_keys
 from tilegrid.llm.neardup import drop_near_duplicates, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,7 +56,7 @@ def _copies(rng, base, n, most):
 
 @pytest.mark.parametrize(("block", "percent", "most", "rounds"), [(512, 85, 10**6, 2), (6, 85, 0, 1), (512, 80, 10**6, 1)])
 def test_near_duplicates(spark, monkeypatch, block, percent, most, rounds):
-    for name, value in (("BLOCK_DOCS", block), ("MOST_BROADCAST", most), ("ROUNDS", rounds)):
+    for name, value in (("BLOCK_DOCS", block), ("PASSING", 4 * block), ("MOST_BROADCAST", most), ("ROUNDS", rounds)):
         monkeypatch.setattr(neardup, name, value)
     monkeypatch.setattr(graph, "ONE_TASK", most)
     rng = random.Random(block)
@@ -120,31 +120,38 @@ def test_bounded_distance(seed, edits):
             pairs.append((a, b))
     if pairs:
         code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
-        assert within([code(a) for a, _ in pairs], [code(b) for _, b in pairs], edits).tolist() == [distance(a, b) <= edits for a, b in pairs]
+        assert [min(d, edits + 1) for d in distances([code(a) for a, _ in pairs], [code(b) for _, b in pairs], edits).tolist()] == [min(distance(a, b), edits + 1) for a, b in pairs]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(0, 10**9))
-def test_linked_lines_share_a_key(seed):
+def may_link(a, b, allowed=ALLOWED):
+    """Whether two lines are linked, by comparing them in full."""
+    return a == b or distance(a, b) <= max((e for n, e in allowed if n <= min(len(a), len(b))), default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from([ALLOWED, ((3, 1), (8, 2), (30, 3)), ((3, 2),)]))
+def test_linked_lines_share_a_key(seed, allowed):
     rng = random.Random(seed)
-    a = "".join(rng.choice("abcdé ") for _ in range(rng.randint(SHORTEST, 70)))
-    b = edited(rng, a, EDITS)
-    if a != b and len(b) >= SHORTEST and distance(a, b) <= EDITS:
-        (ka, oa), (kb, ob) = (line_keys(pa.array([x]), EDITS, set()) for x in (a, b))
+    a = "".join(rng.choice("abcdé ") for _ in range(rng.choice([*range(3, 41), rng.randint(3, 70)])))
+    b = edited(rng, a, rng.randint(1, allowed[-1][1]))
+    if a != b and may_link(a, b, allowed):
+        (ka, oa), (kb, ob) = (line_keys(pa.array([x]), allowed, set()) for x in (a, b))
         assert {k for k, o in zip(ka, oa, strict=True) if o & 1} & set(kb) or {k for k, o in zip(kb, ob, strict=True) if o & 1} & set(ka)
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_line_classes(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "frequent"), [(1024, 32), (5, 4)])
+def test_line_classes(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(linededup, "BLOCK", block)
+    monkeypatch.setattr(linededup, "FREQUENT", frequent)
     rng = random.Random(block)
-    bases = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 34, 60, 120)]
-    lines = [edited(rng, b, rng.randint(0, 3)) if len(b) > 20 else b for b in bases for _ in range(22)]
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3, 10, 17, 33, 40, 120)]
+    lines = [edited(rng, b, rng.randint(0, 3)) for b in bases for _ in range(16)]
+    lines += ["x" * n for n in (15, 16, 17, 30, 31, 32, 33, 34)] * 2
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 4]) + rng.choice(["", "\n", "\n \n"]) for i in range(0, len(lines), 4)]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     own = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if WORD.search(x)]
-    linked = [(i, j) for i, j in combinations(range(len(own)), 2) if own[i][2] == own[j][2] or min(len(own[i][2]), len(own[j][2])) >= SHORTEST and distance(own[i][2], own[j][2]) <= EDITS]
+    linked = [(i, j) for i, j in combinations(range(len(own)), 2) if may_link(own[i][2], own[j][2])]
     first = classes(len(own), linked)
     kept = {(own[i][0], own[i][1]) for i in first}
     rows = {r.doc_id: r for r in line_counts(docs).collect()}
@@ -161,11 +168,17 @@ def test_masks_find_every_region():
         assert all(any(not h & set(wrong) for h in hits) for wrong in combinations(range(REGION), REGION - NEED))
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_contamination(spark, most):
+def test_masks_find_every_short_item():
+    for n in range(LEAST, REGION):
+        for odd in range(STRIDE):  # the first document position within the item that is hashed
+            assert any(s + SPAN <= n for s in range(odd, n, STRIDE))
+
+
+@pytest.mark.parametrize(("most", "size"), [(10**6, 10**6), (3, 10**6), (10**6, 3)])
+def test_contamination(spark, most, size):
     rng = random.Random(most)
     word = lambda: f"w{rng.randrange(60)}"
-    items = [[word() for _ in range(n)] for n in (5, 12, 13, 14, 20, 40)]
+    items = [[word() for _ in range(n)] for n in (5, 8, 9, 12, 13, 14, 20, 40)]
     texts = []
     for _ in range(150):
         text = [word() for _ in range(rng.randrange(30))]
@@ -176,19 +189,22 @@ def test_contamination(spark, most):
             part[rng.randrange(len(part))] = "other"
         texts.append(" ".join(text + part + [word() for _ in range(rng.randrange(10))]).title())
 
+    texts += [" ".join([word() for _ in range(k)] + item) for item in items for k in (0, 1, 2, 3)]
+
     def found(text):
         w, out = text.lower().split(), []
         for i, item in enumerate(items):
-            if len(item) >= REGION:
+            if len(item) >= LEAST:
+                need = NEED if len(item) >= REGION else len(item)
                 for shift in range(-len(item), len(w)):
                     same = [0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(item)]
-                    if any(sum(same[k : k + REGION]) >= NEED for k in range(len(same))):
+                    if any(sum(same[k : k + REGION]) >= need for k in range(len(same))):
                         out.append(i)
                         break
         return out
 
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
-    got = {r.doc_id: r["items"] for r in contamination(docs, bench, most).collect()}
+    got = {r.doc_id: r["items"] for r in contamination(docs, bench, most, size).collect()}
     want = {i: found(t) for i, t in enumerate(texts)}
-    assert got == want and 20 < sum(map(bool, want.values())) < 140
+    assert got == want and 20 < sum(map(bool, want.values())) < 160 and {i for x in want.values() for i in x} >= {2, 3}

@@ -1,11 +1,13 @@
 """Operator 4: line dedup by a segment-partition edit join.
 
-Lines of ``SHORTEST`` or more characters that differ by at most ``EDITS`` insertions, deletions or substitutions are linked; shorter lines
-only if they are equal. A line is split into ``EDITS + 1`` segments; by pigeonhole a linked line holds one of them unchanged, near the
+Lines are linked if they differ by no more insertions, deletions and substitutions than the shorter one's length allows (``ALLOWED``, a
+parameter): two from 32 characters on, one from 16 on. Shorter lines are linked only if they are equal, since one edit makes another word
+of them. A line is split into one segment more than the edits allowed; by pigeonhole a linked line holds one of them unchanged, near the
 same place. So each line's segments are indexed by its length, and each line probes, for every length that it could be linked
 with, the few substrings whose place allows a link (the multi-match-aware choice of Pass-Join, Li et al. 2011). Keys that
-no other line shares are dropped before any text moves. Lines that share a key are compared by a banded bit-parallel edit
-distance (after Hyyro, 2003), many pairs at a time, in blocks of bounded size; only a forest of links leaves a task.
+no other line shares are dropped before any text moves; keys that a sample of the documents shows to be frequent are salted, so that no
+task holds all lines of one. Lines that share a key are compared by a banded bit-parallel edit distance (after Hyyro, 2003), many pairs at
+a time, in blocks of bounded size; only a forest of links leaves a task. A key that n different lines share costs their n^2 / 2 pairs.
 
 Equal lines are one from the start (by 64 bits of hash, and 96 where lines are removed), so a very frequent line costs one line
 a task. Linked lines form a class; its first line, in the order of doc_id and place, stays.
@@ -26,16 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilegrid.llm.graph import components
+from tilegrid.llm.graph import Sets, components
 from tilegrid.llm.kernels import U64, _powers, mix, tidied
-from tilegrid.llm.shared import SPACE, bound_batches, packed, small, written
+from tilegrid.llm.shared import SPACE, bound_batches, dropped, packed, small, written
 
-#: Edits allowed, and the characters that a line needs for links by edits.
-EDITS, SHORTEST = 2, 32
+#: (characters, edits): from so many characters on so many edits are allowed, in ascending order.
+ALLOWED = ((16, 1), (32, 2))
 #: Lines of a block; lines that a task remembers having told; and linked candidates up to which a broadcast is allowed (16 bytes each).
 BLOCK, REMEMBERED, MOST_BROADCAST = 1024, 200_000, 2_000_000
 #: Lines of a small group, and pairs that wait to be compared at once.
 FEW, WAITING = 8, 2048
+#: Documents, about, that tell which keys are frequent; lines among them that make a key frequent; and parts that it is salted into.
+SAMPLE, FREQUENT, SALTS = 4_000, 32, 64
 _GAPS = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
@@ -54,7 +58,13 @@ def probes(edits: int) -> Iterator[tuple[int, int, int]]:
                 yield less, i, shift
 
 
-def line_keys(column: pa.Array, edits: int, told: set[int]) -> tuple[np.ndarray, np.ndarray]:
+def allowance(size: np.ndarray, allowed: tuple) -> np.ndarray:
+    """The edits that lines of these sizes allow."""
+    steps = np.array([0, *(e for _, e in allowed)])
+    return steps[np.searchsorted([n for n, _ in allowed], size, "right")]
+
+
+def line_keys(column: pa.Array, allowed: tuple, told: set[int]) -> tuple[np.ndarray, np.ndarray]:
     """(key, node) of the lines of a batch: node is the line's hash with its last bit telling an indexed segment (1) from a probe (0)."""
     texts = column.fill_null("")
     starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 1)))[:-1]
@@ -65,7 +75,7 @@ def line_keys(column: pa.Array, edits: int, told: set[int]) -> tuple[np.ndarray,
     begin, end = np.concatenate((np.zeros(1, np.int64), breaks + 1)), np.concatenate((breaks, [len(chars)]))
     at, nodes = 0, np.zeros(len(begin), np.int64)
     size = end - begin
-    keep = size >= SHORTEST
+    keep = allowance(size, allowed) > 0
     for i, line in enumerate(raw.split(b"\n")):
         if keep[i]:
             h = xxhash.xxh64_intdigest(line, 42)
@@ -79,18 +89,18 @@ def line_keys(column: pa.Array, edits: int, told: set[int]) -> tuple[np.ndarray,
     sums = np.zeros(len(chars) + 1, U64)
     np.cumsum(mix(chars.astype(np.uint64) + U64(0x9E3779B97F4A7C15)) * power[: len(chars)], out=sums[1:])
     keys, owners = [], []
-    for less, i, shift in probes(edits):
+    for edits, (less, i, shift) in ((e, p) for _, e in allowed for p in probes(e)):
         place, length = segments(size - less, edits)[i]
         a = begin + place + shift
-        fits = (place + shift >= 0) & (place + shift + length <= size) & (size - less >= SHORTEST)
+        fits = (place + shift >= 0) & (place + shift + length <= size) & (allowance(size - less, allowed) == edits)
         a, b, tag = a[fits], (a + length)[fits], ((size - less)[fits] * 16 + i).astype(np.uint64)
         keys.append(mix((sums[b] - sums[a]) * inverse[a] + tag * U64(0xD6E8FEB86659FD93)))
         owners.append(nodes[fits] & ~1 | (less == 0 and shift == 0))
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
-def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
-    """For each pair of code-point arrays whether the edit distance is at most ``edits``. Sizes differ by ``edits`` at most and are larger.
+def distances(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
+    """For each pair of code-point arrays the edit distance if it is at most ``edits``, else more than that. Sizes differ by ``edits`` at most and are larger.
 
     One machine word holds, for each pair, the vertical differences in the band of ``2 * edits + 1`` rows around the diagonal; the
     band moves down by a row with each column.
@@ -123,32 +133,34 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
         # The row that enters the band at its lower edge counts as one more than the row above it.
         plus |= top
         minus &= ~top
-    return distance <= edits
+    return distance
 
 
 class _Links:
     """Collects the links between lines that share a key. Pairs of small groups wait until there are many to compare at once."""
 
-    def __init__(self, edits: int):
-        self.edits, self.waiting, self.seen, self.found = edits, [], set(), []
+    def __init__(self, allowed: tuple):
+        self.allowed, self.most, self.waiting, self.seen, self.found = allowed, allowed[-1][1], [], set(), []
 
     def group(self, nodes: list[int], indexed: list[int], side: list[int], lines: list[str]) -> None:
         """One block of lines, or two (``side`` 0 and 1), between which alone links are sought."""
         codes = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
         bins = [np.bincount(x & 63, minlength=64).astype(np.int32) for x in codes]
-        (self._few if len(nodes) <= FEW else self._many)(nodes, indexed, side, codes, bins)
+        edits = allowance(np.array([len(x) for x in codes]), self.allowed)
+        (self._few if len(nodes) <= FEW else self._many)(nodes, indexed, side, codes, bins, edits)
 
-    def _few(self, nodes, indexed, side, codes, bins) -> None:
+    def _few(self, nodes, indexed, side, codes, bins, edits) -> None:
         """All pairs wait to be compared."""
-        two = len(set(side)) == 2
+        two, edits = len(set(side)) == 2, edits.tolist()
         for i in range(len(nodes)):
             for j in range(i):
-                fits = (indexed[i] or indexed[j]) and (not two or side[i] != side[j]) and abs(len(codes[i]) - len(codes[j])) <= self.edits and nodes[i] != nodes[j]
+                most = min(edits[i], edits[j])
+                fits = (indexed[i] or indexed[j]) and (not two or side[i] != side[j]) and abs(len(codes[i]) - len(codes[j])) <= most and nodes[i] != nodes[j]
                 pair = (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
-                if fits and pair not in self.seen and np.abs(bins[i] - bins[j]).sum() <= 2 * self.edits:
+                if fits and pair not in self.seen and np.abs(bins[i] - bins[j]).sum() <= 2 * most:
                     if len(self.seen) < REMEMBERED:
                         self.seen.add(pair)
-                    self.waiting.append((pair, codes[i], codes[j]))
+                    self.waiting.append((pair, codes[i], codes[j], most))
         if len(self.waiting) >= WAITING:
             self.flush()
 
@@ -156,33 +168,28 @@ class _Links:
         self.waiting.sort(key=lambda w: len(w[1]))
         for a in range(0, len(self.waiting), 256):
             part = self.waiting[a : a + 256]
-            self.found += [w[0] for w, ok in zip(part, within([w[1] for w in part], [w[2] for w in part], self.edits), strict=True) if ok]
+            far = distances([w[1] for w in part], [w[2] for w in part], self.most)
+            self.found += [w[0] for w, d in zip(part, far.tolist(), strict=True) if d <= w[3]]
         self.waiting.clear()
 
-    def _many(self, nodes, indexed, side, codes, bins) -> None:
+    def _many(self, nodes, indexed, side, codes, bins, edits) -> None:
         """A forest of the links: what is connected already isn't compared."""
         size, ids, sides, counts = np.array([len(x) for x in codes]), np.array(nodes), np.array(side), np.stack(bins)
-        two, up = bool(sides.any() and not sides.all()), list(range(len(nodes)))
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
+        two, joined = bool(sides.any() and not sides.all()), Sets()
         for x in np.flatnonzero(np.array(indexed)).tolist():
-            fits = (np.abs(size - size[x]) <= self.edits) & (ids != ids[x])
+            most = np.minimum(edits, edits[x])
+            fits = (np.abs(size - size[x]) <= most) & (ids != ids[x])
             if two:
                 fits &= sides != sides[x]
             others = np.flatnonzero(fits)
-            others = others[np.abs(counts[others] - counts[x]).sum(1) <= 2 * self.edits]
-            root = find(x)
-            others = [y for y in others.tolist() if find(y) != root]
+            others = others[np.abs(counts[others] - counts[x]).sum(1) <= 2 * most[others]]
+            root = joined.find(x)
+            others = [y for y in others.tolist() if joined.find(y) != root]
             for a in range(0, len(others), 256):
-                part = others[a : a + 256]
-                for y in np.array(part)[within([codes[x]] * len(part), [codes[y] for y in part], self.edits)].tolist():
-                    if find(y) != find(x):
-                        up[find(y)] = find(x)
+                part = np.array(others[a : a + 256])
+                far = distances([codes[x]] * len(part), [codes[y] for y in part], self.most)
+                for y in part[far <= most[part]].tolist():
+                    if joined.join(x, y):
                         self.found.append((int(ids[x]), int(ids[y])))
 
 
@@ -193,37 +200,52 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("node", F.xxhash64("line"))
 
 
-def shared_keys(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, node, indexed, block count) of lines that share a key with another line, one of them by an indexed segment."""
+def _keyed(docs: DataFrame, allowed: tuple) -> DataFrame:
+    """(key, node) of all lines long enough, with few repetitions of equal lines."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for batch in batches:
-            key, node = line_keys(batch.column("text"), edits, told)
+            key, node = line_keys(batch.column("text"), allowed, told)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    rows = docs.select("text").mapInArrow(lambda batches: tidied(run(batches)), "key long, node long")
-    own, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("node")
+    return docs.select("text").mapInArrow(lambda batches: tidied(run(batches)), "key long, node long")
+
+
+def frequent_keys(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
+    """Keys that many different lines of a sample share. They only decide how rows are dealt to tasks, never what is compared."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    line = F.shiftrightunsigned("node", 1)
+    counted = _keyed(docs.sample(share, 7), allowed).groupBy("key", line.alias("half")).agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
+    return written(counted.where(F.col("n") >= FREQUENT).select("key", F.lit(True).alias("hot")), "line-frequent")
+
+
+def shared_keys(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
+    """(key, half, indexed) of lines that share a key with another line; ``half`` is a node without its last bit."""
+    hot = small(frequent_keys(docs, allowed), MOST_BROADCAST)
     line = F.shiftrightunsigned("node", 1)
+    rows = _keyed(docs, allowed).join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(line), F.lit(SALTS))).otherwise(0).cast("int"))
+    own, order = Window.partitionBy("key", "salt"), Window.partitionBy("key", "salt").orderBy("node")
     rows = rows.withColumns({"low": F.min(line).over(own), "high": F.max(line).over(own), "any": F.max(F.col("node").bitwiseAND(1)).over(own), "last": F.lag("node").over(order)})
-    rows = rows.where((F.col("low") < F.col("high")) & (F.col("any") == 1) & (F.col("last").isNull() | (F.col("last") != F.col("node"))))
+    shared = F.col("hot").isNotNull() | ((F.col("low") < F.col("high")) & (F.col("any") == 1))
+    rows = rows.where(shared & (F.col("last").isNull() | (F.col("last") != F.col("node"))))
     return rows.groupBy("key", line.alias("half")).agg(F.max(F.col("node").bitwiseAND(1)).alias("indexed"))
 
 
-def confirmed_edges(docs: DataFrame, keys: DataFrame, edits: int = EDITS) -> DataFrame:
+def confirmed_edges(docs: DataFrame, keys: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
     """(a, b): links between nodes, enough to connect each class. ``keys`` of ``shared_keys``."""
     halves = keys.select("half").distinct()
     texts = _lines(docs).select("node", "line").withColumn("half", F.shiftrightunsigned("node", 1)).join(small(halves, MOST_BROADCAST), "half", "left_semi")
-    texts = texts.where(F.length("line") >= SHORTEST).groupBy("half", "node").agg(F.first("line").alias("line"))
-    blocks = keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    texts = texts.where(F.length("line") >= allowed[0][0]).groupBy("half", "node").agg(F.first("line").alias("line"))
+    blocks = keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), F.max("indexed").alias("any")).where("n > 1 AND any = 1").drop("n", "any")
     rows = keys.join(blocks, "key").join(texts, "half").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "indexed", "line")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held, links = None, [], _Links(edits)
+        open_key, held, links = None, [], _Links(allowed)
 
         def close() -> None:
             if len(held) > 1:
@@ -253,11 +275,13 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def classified_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def classified_lines(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
     """row, doc_id, place, class, check of every line with a word. ``row`` is the hash of doc_id and text; ``class`` the smallest hash of a line
     of its class, with ``check``, another hash, where the line is linked with no other."""
-    keys = written(shared_keys(docs, edits), "line-keys")
-    classes = components(confirmed_edges(docs, keys, edits), "line-links")
+    keys = written(shared_keys(docs, allowed), "line-keys")
+    edges = written(confirmed_edges(docs, keys, allowed), "line-edges")
+    classes = components(edges, "line-links")
+    dropped(keys)
     rows = _lines(docs, _row().alias("row"), F.col("doc_id")).select("row", "doc_id", "place", "node", F.hash("line").alias("check"))
     rows = rows.join(classes, "node", "left")
     own = rows.select("row", "doc_id", "place", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
@@ -269,9 +293,9 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "place", "row")).alias("first")).select("first.row", "first.place")
 
 
-def line_counts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_counts(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
     """doc_id, n_lines (with a word), n_kept, n_removed, line_classes (the class of each of these lines, in order) of every row."""
-    lines = classified_lines(docs, edits)
+    lines = classified_lines(docs, allowed)
     kept = first_lines(lines).groupBy("row").agg(F.count("*").alias("n_kept"))
     own = lines.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "class"))).alias("c"))
     rows = docs.select("doc_id", _row().alias("row")).join(own, "row", "left").join(kept, "row", "left")
@@ -279,9 +303,9 @@ def line_counts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return rows.select("doc_id", n.alias("n_lines"), k.alias("n_kept"), (n - k).alias("n_removed"), F.coalesce(F.transform("c", lambda x: x["class"]), F.array().cast("array<long>")).alias("line_classes"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
     """``docs`` with the lines that don't stay cut from ``text``; other columns stay as they are."""
-    kept = first_lines(classified_lines(docs, edits)).groupBy("row").agg(F.collect_list("place").alias("kept"))
+    kept = first_lines(classified_lines(docs, allowed)).groupBy("row").agg(F.collect_list("place").alias("kept"))
     rows = packed(docs, row=_row()).join(kept, "row", "left")
     stays = lambda x, i: ~x.rlike(f"[^{SPACE}]") | F.coalesce(F.array_contains("kept", i), F.lit(False))
     text = F.when(F.col("doc.text").isNotNull(), F.array_join(F.filter(F.split("doc.text", "\n"), stays), "\n"))
