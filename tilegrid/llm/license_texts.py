@@ -1,4 +1,12 @@
-"""Known licence texts and notices, and equivalent spellings."""
+"""Known licence texts and notices, and equivalent spellings.
+
+``license_texts.jsonl`` holds whole texts as packages ship them, several wordings of a licence where they differ; here are the texts of the shortest
+licences, their usual titles, and the notices of one line, by rule.
+"""
+
+import json
+from itertools import product
+from pathlib import Path
 
 # Spellings that count as equal, as in the public SPDX matching guidelines (words, after punctuation has become a space).
 SPELLINGS = (
@@ -26,26 +34,35 @@ _BSD_1 = """Redistribution and use in source and binary forms, with or without m
 _BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-# Licence texts and the notices that name a licence.
-KNOWN = (
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", _MIT),
-    ("ISC", "ISC License\n\n" + _ISC + "\n\n" + _ISC_END),
-    ("ISC", _ISC + "\n\n" + _ISC_END),
-    ("0BSD", _ZERO + "\n\n" + _ISC_END),
-    ("BSD-2-Clause", _BSD_1 + "\n\n" + _BSD_END),
-    ("BSD-3-Clause", _BSD_1 + "\n\n" + _BSD_3 + "\n\n" + _BSD_END),
+# Texts, and the titles that stand over them.
+_SHORT = (
+    ("MIT", _MIT), ("ISC", _ISC + "\n\n" + _ISC_END), ("0BSD", _ZERO + "\n\n" + _ISC_END),
+    ("BSD-2-Clause", _BSD_1 + "\n\n" + _BSD_END), ("BSD-3-Clause", _BSD_1 + "\n\n" + _BSD_3 + "\n\n" + _BSD_END),
+)
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License"), "BSL-1.0": ("Boost Software License - Version 1.0",), "Unlicense": ("The Unlicense",),
+}
+# Notices of one line.
+_NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+_CREATIVE, _VERSIONS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    texts = [*_SHORT, *((row["license_id"], row["text"]) for row in map(json.loads, Path(__file__).with_name("license_texts.jsonl").read_text(encoding="utf-8").splitlines()))]
+    titled = [(name, f"{title}\n\n{text}") for name, text in texts for title in _TITLES.get(name, ())]
+    creative = [(f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for kind, version in product(_CREATIVE, _VERSIONS)]
+    tags = [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in texts} | {name for name, _ in creative})]
+    return (*texts, *titled, *_NOTICES, *creative, *tags)
+
+
+KNOWN = _known()
