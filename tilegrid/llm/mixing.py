@@ -6,8 +6,9 @@ and only what all siblings together can't use goes to the node's own siblings. A
 shares add up to the budget.
 
 A leaf then takes the first tokens, up to its budget, of its documents in a seeded order, epoch after epoch, each epoch in an order of
-its own. Whole epochs need no order. In the last, documents are counted by the first hex digits of their hash, so that only the
-documents of one bucket of each leaf are ever sorted, however large the leaf is. The last document may be taken in part.
+its own. Whole epochs need no order. In the last, documents are counted by the first hex digits of their hash, more of them in larger
+leaves, so that only the documents of one bucket of each leaf, without their texts, are ever sorted. The last document may be taken in
+part; where it has equal rows (doc_id and text), these alone are numbered, in one task a leaf.
 
 Defined cases: documents without words are never taken; null lang or source counts as an empty name; equal rows are in the order
 next to each other; an empty table gives an empty result; columns of ``docs`` stay, but for clashes with those added.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tilegrid.llm.shared import packed, unpacked, words, written
 
-#: Hex digits of the hash that number a bucket.
-DIGITS = 3
+#: Hex digits of the hash that number a bucket, at least, and documents of a bucket, about, that larger leaves take more digits for.
+DIGITS, BUCKET = 3, 100_000
 LEVELS = ("domain", "lang", "source")
 ADDED = ("domain", "epoch", "n_tokens", "take_tokens")
 
@@ -98,11 +99,13 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     mix, keys = mix or Mix(), [*LEVELS]
     rows = with_leaf(docs).where("n > 0")
     small = written(rows.drop("doc"), "mix-rows")
-    leaf = budgets(written(small.groupBy(*keys).agg(F.sum("n").alias("tokens")), "mix-leaves"), mix)
-    leaf = written(leaf.select(*keys, F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-budgets")
+    leaves = written(small.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
+    leaf = budgets(leaves.drop("docs"), mix).join(leaves.select(*keys, "docs"), keys)
+    digits = F.greatest(F.lit(DIGITS), F.ceil(F.log(16.0, F.col("docs") / BUCKET))).cast("int")
+    leaf = written(leaf.select(*keys, digits.alias("digits"), F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-budgets")
 
     def hashed(df: DataFrame) -> DataFrame:
-        return df.join(leaf, keys).withColumn("h", _hash(F.col("whole"), F.col("doc_id"), mix.seed)).withColumn("bucket", F.substring("h", 1, DIGITS))
+        return df.join(leaf, keys).withColumn("h", _hash(F.col("whole"), F.col("doc_id"), mix.seed)).withColumn("bucket", F.substr("h", F.lit(1), F.col("digits")))
 
     # The bucket in which each leaf's budget ends, and the tokens before it.
     told = hashed(small)
@@ -110,15 +113,19 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = counts.withColumn("ahead", F.coalesce(F.sum("inside").over(running), F.lit(0))).where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("inside") >= F.col("rest")))
     edge = written(edge.select(*keys, F.col("bucket").alias("edge"), "ahead"), "mix-edges")
-    # Within it, documents in their order; equal rows share an entry.
+    # Within it, documents in their order; equal rows are one entry that begins at ``start``.
+    entries = told.join(edge, keys).where(F.col("bucket") == F.col("edge")).groupBy(*keys, "ahead", "h", "doc_id", "t", "n").agg(F.count("*").alias("copies"))
     order = Window.partitionBy(*keys).orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
-    last = told.join(edge, keys).where(F.col("bucket") == F.col("edge")).withColumn("start", F.col("ahead") + F.coalesce(F.sum("n").over(order), F.lit(0)))
-    last = last.withColumn("take", F.least(F.col("n"), F.greatest(F.lit(0), F.col("rest") - F.col("start"))))
-    last = written(last.groupBy(*keys, "h", "t").agg(F.sort_array(F.collect_list("take"), asc=False).alias("takes")), "mix-last")
-    several = last.where(F.size("takes") > 1).limit(1).count() > 0
-    nth = F.row_number().over(Window.partitionBy(*keys, "h", "t").orderBy("h")) if several else F.lit(1)
+    entries = entries.withColumn("start", F.col("ahead") + F.coalesce(F.sum(F.col("n") * F.col("copies")).over(order), F.lit(0)))
+    last = written(entries.select(*keys, "h", "t", "start", "copies"), "mix-last")
     wide = hashed(rows).join(edge.select(*keys, "edge"), keys, "left").join(last, [*keys, "h", "t"], "left")
-    part = F.when(F.col("bucket") < F.col("edge"), F.col("n")).when(F.col("bucket") == F.col("edge"), F.get("takes", nth - 1)).otherwise(0)
+    # All copies of an entry are taken whole, or none, but in the one entry of a leaf in which its budget ends: its copies, if it has several, are numbered.
+    ends = F.coalesce((F.col("copies") > 1) & (F.col("rest") > F.col("start")) & (F.col("rest") < F.col("start") + F.col("n") * F.col("copies")), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(*keys, "h", "t").orderBy("h")) - 1
+    several = wide.where(ends).withColumn("nth", nth)
+    wide = wide.where(~ends).withColumn("nth", F.lit(0)).unionByName(several)
+    inside = F.least(F.col("n"), F.greatest(F.lit(0), F.col("rest") - F.col("start") - F.col("nth") * F.col("n")))
+    part = F.when(F.col("bucket") < F.col("edge"), F.col("n")).when(F.col("bucket") == F.col("edge"), inside).otherwise(0)
     wide = wide.withColumn("part", part)
     turns = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda e: F.struct(e.alias("epoch"), F.when(e < F.col("whole"), F.col("n")).otherwise(F.coalesce("part", F.lit(0))).cast("long").alias("take_tokens")))
     out = wide.select("doc", F.col("domain").alias("of"), "n", F.explode(turns).alias("turn")).where("turn.take_tokens > 0")
