@@ -43,11 +43,14 @@ FROM judged"""
 
 
 def _canonical(text: str) -> str:
+    """Normalised lines: word by word where a spelling is one word, then pairs of words."""
     out = f"regexp_replace(translate(coalesce({text}, ''), '{_UP}', '{_LOW}'), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
-    out = f"' ' || replace(regexp_replace({out}, {_quoted(licenses.NO_WORD)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
-    for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    out = f"regexp_replace({out}, {_quoted(licenses.NO_WORD)}, ' ', 'g')"
+    one = "CASE w " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS if " " not in old) + " ELSE w END"
+    line = f"'  ' || array_to_string(list_transform(list_filter(string_split(x, ' '), lambda w: w <> ''), lambda w: {one}), '  ') || '  '"
+    for old, new in (pair for pair in SPELLINGS if " " in pair[0]):
+        line = f"replace({line}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(replace({line}, '  ', ' '))), lambda x: x <> '')"
 
 
 def license_scan_sql() -> str:
@@ -66,12 +69,12 @@ def contamination_sql() -> str:
     d = decontam
     return f"""
 WITH bench AS (SELECT item_id, {words(low("text"))} AS w FROM benchmark WHERE text IS NOT NULL),
-items AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM bench WHERE len(w) >= {d.REGION}),
+items AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, CASE WHEN len(w) < {d.REGION} THEN len(w) ELSE {d.NEED} END AS need FROM bench WHERE len(w) >= {d.LEAST}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {words(low("coalesce(text, '')"))} AS w FROM documents),
 toks AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM docs),
-same AS (SELECT r, item_id, toks.p - items.p AS shift, items.p AS p FROM toks JOIN items USING (w)),
-seen AS (SELECT r, item_id, count(*) OVER (PARTITION BY r, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND {d.REGION - 1} FOLLOWING) AS n FROM same),
-hits AS (SELECT r, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM seen WHERE n >= {d.NEED} GROUP BY r)
+same AS (SELECT r, item_id, need, toks.p - items.p AS shift, items.p AS p FROM toks JOIN items USING (w)),
+seen AS (SELECT r, item_id, need, count(*) OVER (PARTITION BY r, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND {d.REGION - 1} FOLLOWING) AS n FROM same),
+hits AS (SELECT r, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM seen WHERE n >= need GROUP BY r)
 SELECT doc_id, hits.r IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS INTEGER) AS n_items, first_item FROM docs LEFT JOIN hits USING (r)"""
 
 
