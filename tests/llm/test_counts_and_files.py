@@ -109,3 +109,16 @@ def test_ties_and_nulls_are_in_order(spark):
     rows = [(2, "b"), (None, "n"), (1, "a"), (2, "b"), (2, "c d e"), (1, None)]
     got = token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 1, 2, 2, 2] and sum(r.n_tokens for r in got) == 2 + 1 + 2 + 2 + 2 + 4
+
+
+def test_an_id_that_repeats_is_divided_among_files(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(120)] + [(i, "t") for i in range(30)] + [(None, f"none {i}") for i in range(40)]
+    folder = f"file://{tmp_path}/ids"
+    files = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, folder, docs_a_file=20)
+    sizes = [r.n_docs for r in files.orderBy("part").collect()]
+    assert sum(sizes) == 190 and max(sizes) < 60 and len(sizes) >= 8
+    got = read_token_files(files, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows]
+    assert sorted(r.ids_crc32 for r in got) == sorted(want)

@@ -10,7 +10,9 @@ Files are written under a name of the attempt and then moved, so a lost executor
 replaces its file by an equal one. Paths may be in any store that pyarrow opens.
 
 Defined cases: null or empty text has the end id alone; rows with a null doc_id come first; repeated rows are written as often as
-they occur; an empty table gives files without documents; further columns are ignored.
+they occur, those of one doc_id in the order of their checksums, and an id that would fill several files is divided among them (rows that are
+equal in text too are not); doc_id must be a whole number (cast to long); an empty table gives files without documents; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.llm.kernels import PIECE, Words, equal_spans, lower, pieces, texts_of, tidied
@@ -42,8 +44,10 @@ from tilegrid.llm.shared import bound_batches, shared_folder, written
 SEEK_MAGIC, SKIP_TABLE, SKIP_IDS, HAS_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50, 0x80
 #: Words remembered by a worker, about (50 bytes each), and the longest of them.
 REMEMBERED, LONGEST = 500_000, 256
-#: Documents of a file, about, and files at most.
+#: Documents of a file, about, and files at most (their bounds are in the driver; beyond 160 million documents files grow instead).
 DOCS_A_FILE, MOST_FILES = 8192, 20_000
+#: Bytes that are read at once, about.
+A_READ = 4 << 20
 
 
 #: Lines as (word of Latin letters, mark after it, "") or ("", "", line). No normalizer composes such letters anew, and every Unicode version lower-cases them alike.
@@ -216,26 +220,53 @@ class Reader:
 
     def read(self, position: int) -> bytes:
         """The ids of the document at ``position``; only its frame is read and decompressed."""
-        packed, size, check = (int(x) for x in self.table[position])
-        self.file.seek(int(self.at[position]))
-        ids = self.unpacker.decompress(self.file.read(packed), max_output_size=size) if size else b""
-        if len(ids) != size or check_of(ids) != check:
-            raise ValueError(f"frame {position} is damaged")
-        return ids
+        return next(self.read_range(position, position + 1))
+
+    def read_range(self, begin: int, end: int) -> Iterator[bytes]:
+        """The ids of the documents from ``begin`` up to ``end``: neighbouring frames come in one read of about ``A_READ`` bytes."""
+        while begin < end:
+            stop = max(begin + 1, min(end, int(np.searchsorted(self.at, self.at[begin] + A_READ, "right")) - 1))
+            self.file.seek(int(self.at[begin]))
+            raw, start = self.file.read(int(self.at[stop] - self.at[begin])), int(self.at[begin])
+            for position in range(begin, stop):
+                a, (packed, size, check) = int(self.at[position]) - start, (int(x) for x in self.table[position])
+                ids = self.unpacker.decompress(raw[a : a + packed], max_output_size=size) if size else b""
+                if len(ids) != size or check_of(ids) != check:
+                    raise ValueError(f"frame {position} is damaged")
+                yield ids
+            begin = stop
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _bounds(docs: DataFrame, docs_a_file: int) -> np.ndarray:
-    """Ids that divide the documents into files of about ``docs_a_file``; at most ``MOST_FILES``."""
-    n = docs.select("doc_id").where("doc_id IS NOT NULL").count()
+def _ordered(doc_id: Column) -> Column:
+    """The id, or the least there is for null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(int(np.iinfo(np.int64).min)))
+
+
+def _bounds(docs: DataFrame, docs_a_file: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, checksum) pairs that divide the documents, in their order, into files of about ``docs_a_file``; at most ``MOST_FILES``.
+
+    An id that fills several files, because its rows repeat, is divided by the checksums of its texts.
+    """
+    n = docs.count()
     files = min(MOST_FILES, -(-n // docs_a_file))
     if files < 2:
-        return np.zeros(0, np.int64)
-    at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files).alias("at")).first()["at"]
-    return np.unique(np.array(at, np.int64))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = docs.agg(F.percentile_approx(_ordered(F.col("doc_id")), [k / files for k in range(1, files)], 100 * files).alias("at")).first()["at"]
+    ids, times = np.unique(np.array(at, np.int64), return_counts=True)
+    pairs = [(i, (k << 32) // m) for i, m in zip(ids.tolist(), times.tolist(), strict=True) for k in range(1, m + 1)]
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+
+
+def _parts(bounds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The file of each document: how many bounds lie before it."""
+    first, last = np.searchsorted(bounds[0], ids, "left"), np.searchsorted(bounds[0], ids, "right")
+    for i in np.flatnonzero(last - first > 1).tolist():
+        first[i] += np.searchsorted(bounds[1][first[i] : last[i]], checks[i], "left")
+    return first.astype(np.int32)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
@@ -251,9 +282,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         packer = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
         for batch in batches:
             ids = [x + end for x in encode(batch.column("text"))]
-            doc_id = batch.column("doc_id")
-            part = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-            columns = [pa.array(part), doc_id, pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([check_of(x) for x in ids], pa.int64())]
+            doc_id, check = batch.column("doc_id"), np.array([check_of(x) for x in ids], np.int64)
+            part = _parts(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), check)
+            columns = [pa.array(part), doc_id, pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(check)]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "frame", "size", "checksum"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +301,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([n_bytes // 4])], ["part", "path", "n_docs", "n_tokens"])
 
-    frames = docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(pack(batches)), "part int, doc_id long, frame binary, size long, checksum long")
-    placed = frames.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "checksum", "frame").drop("part")
+    frames = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: tidied(pack(batches)), "part int, doc_id long, frame binary, size long, checksum long")
+    placed = frames.repartitionById(len(bounds[0]) + 1, "part").sortWithinPartitions("doc_id", "checksum", "frame").drop("part")
     return written(placed.mapInArrow(lambda batches: tidied(write(batches)), "part int, path string, n_docs long, n_tokens long"), "token-files")
 
 
@@ -288,7 +319,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     reader = Reader(file)
                     for a in range(0, len(reader), 4096):
                         own = range(a, min(a + 4096, len(reader)))
-                        sums = [zlib.crc32(reader.read(i)) for i in own]
+                        sums = [zlib.crc32(ids) for ids in reader.read_range(own.start, own.stop)]
                         sizes = reader.table[own.start : own.stop, 1].astype(np.int64) // 4
                         starts = base + np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
                         base = int(starts[-1])
