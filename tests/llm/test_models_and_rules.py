@@ -1,17 +1,21 @@
 """Classifiers on held-out labels, rules and licences by case, mixing by hand, and all queries against their SQL."""
 
+import random
+import re
+from hashlib import md5
+
 import pytest
 from oracle import database, rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tilegrid.llm import licenses
 from tilegrid.llm import queries as q
-from tilegrid.llm.license_texts import KNOWN
+from tilegrid.llm.license_texts import KNOWN, SPELLINGS
 from tilegrid.llm.licenses import license_scan
 from tilegrid.llm.mixing import Mix, budgets, mixed
 from tilegrid.llm.quality_model import held_out, score_quality
-from tilegrid.llm.quality_rules import quality_rules
-from tilegrid.llm.toxicity import severity, train
+from tilegrid.llm.quality_rules import MEASURES, REACH, fences, quality_rules
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -32,16 +36,6 @@ def test_quality_on_held_out_labels(spark):
     assert {r.doc_id: r.score for r in score_quality(moved, labels).collect()} == before
 
 
-def test_severity(spark):
-    docs, labels = (spark.read.parquet(f"{MORE}/{t}.parquet") for t in ("documents", "labels"))
-    odd, even = labels.where("doc_id % 2 = 1"), labels.where("doc_id % 2 = 0")
-    model = train(docs, odd)
-    assert model.thresholds[0] < model.thresholds[1]
-    rows = severity(docs, model).join(even.select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
-    assert sum(r.toxic == (r.y == 1) for r in rows) / len(rows) > 0.9
-    assert all(0 <= r.severity <= 2 and r.toxic == (r.p_toxic >= 0.5) for r in rows)
-
-
 def test_rules(spark):
     clean = [(i, " ".join(f"word{i}x{k}" for k in range(40)), "en", f"s{i % 3}") for i in range(60)]
     bad = [(100, "a b c d e " * 10, "en", "s0"), (101, "few words", "en", "s0"), (102, " ".join(f"w{k}###" for k in range(40)), "en", "s1"), (103, "\n".join(["one line of the text"] * 3 + [f"t{k} u{k} v{k} x{k}" for k in range(9)]), "en", "s1")]
@@ -52,14 +46,61 @@ def test_rules(spark):
     assert got[102].n_symbols == 120 and got[103].n_dup_lines == 2 and got[101].base_failed
 
 
-def test_licenses(spark):
-    mit = dict(KNOWN)["MIT"]
-    texts = [t for _, t in KNOWN] + ["Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + KNOWN[0][1].upper().replace(".", " ;").replace(" ", "\n", 7), KNOWN[0][1].replace("sublicense", "sub-licence"), mit + " more", "x\nReleased  under the mit LICENCE\ny\nReleased under the MIT License."]
+def slow_digest(text):
+    """The digest of a text's words, worked out word by word."""
+    ones, pairs = ({old: new for old, new in SPELLINGS if (" " in old) == two} for two in (False, True))
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    holder = re.compile(r"(copyright[ \t]*(\(c\)|©|[0-9<])|\(c\)[ \t]*[0-9]|©|all[ \t]+rights[ \t]+reserved)")
+    words = []
+    for line in text.split("\n"):
+        found = holder.search(line)
+        if found and not re.search(r"[a-z0-9©(<]", line[: found.start()]):
+            continue
+        words.append([ones.get(w, w) for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", line) if w])
+    out = []
+    for line in words:
+        i = 0
+        while i < len(line):
+            two = pairs.get(" ".join(line[i : i + 2]))
+            out += two.split() if two else [line[i]]
+            i += 2 if two else 1
+    return md5(" ".join(out).encode()).hexdigest()
+
+
+def test_whole_license_texts(spark):
+    """Whole texts, with their lines broken anew, other case, punctuation, spelling and holders, are found by their digest."""
+    rng = random.Random(3)
+    british = {new: old for old, new in SPELLINGS if " " not in old and old != "https"}
+    texts, want = [], {}
+    for name, text in KNOWN:
+        want.setdefault(slow_digest(text), set()).add(name)
+        changed = re.sub(r"[A-Za-z]+", lambda m: british.get(m[0], m[0]) if rng.random() < 0.5 else m[0], text) if rng.random() < 0.5 else text
+        changed = re.sub(r"(?<=[a-z,;]) (?=[a-z])", lambda m: rng.choice([" ", "  ", "\t"]), changed)
+        texts.append("Copyright (c) 2019 Some Body\nAll rights reserved.\n\n" + (re.sub("[a-z]+", lambda m: m[0].upper(), changed) if rng.random() < 0.3 else changed))
+    texts += [t + " and more" for _, t in KNOWN[:50]] + ["licence licence", "license license", "sub licence sub licence", "sublicense sublicense"]
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    names = {d: min(n) for d, n in want.items()}
+    assert len(want) > 150 and len({n for n, _ in KNOWN}) > 60
+    for i, text in enumerate(texts):
+        assert got[i].digest == slow_digest(text), text[:200]
+        assert got[i].license_id == names.get(got[i].digest)
     n = len(KNOWN)
-    assert [got[i].license_id for i in range(n)] == [k for k, _ in KNOWN]
-    assert (got[n].license_id, got[n + 1].license_id, got[n + 2].license_id) == ("MIT", "MIT", None)
-    assert (got[n + 3].license_id, got[n + 3].n_license_lines, got[n + 3].line_licenses) == (None, 2, "MIT")
+    assert all(got[i].license_id for i in range(n)) and not any(got[i].license_id for i in range(n, n + 54))
+    assert got[n + 50].digest == got[n + 51].digest and got[n + 52].digest == got[n + 53].digest
+
+
+@pytest.mark.parametrize(("most", "sizes"), [(10**6, 10**6), (0, 10**6), (10**6, 0)])
+def test_licenses(spark, monkeypatch, most, sizes):
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", most)
+    monkeypatch.setattr(licenses, "MOST_SIZES", sizes)
+    mit = dict(KNOWN)["MIT"]
+    short = [("MIT", "MIT License\n\n" + mit), ("MIT", mit), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("MIT", "Released under the MIT License.")]
+    texts = [t for _, t in short] + ["Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + short[0][1].upper().replace(".", " ;").replace(" ", "\n", 7), short[0][1].replace("sublicense", "sub-licence"), mit + " more", "x\nReleased  under the mit LICENCE\ny\nReleased under the MIT License."]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), short).collect()}
+    assert [got[i].license_id for i in range(4)] == [k for k, _ in short]
+    assert (got[4].license_id, got[5].license_id, got[6].license_id) == ("MIT", "MIT", None)
+    assert (got[7].license_id, got[7].n_license_lines, got[7].line_licenses) == (None, 2, "MIT")
+    assert license_scan(spark.createDataFrame([(1, mit)], "doc_id long, text string"), []).first().license_id is None
 
 
 def test_budgets_by_hand(spark):
@@ -87,6 +128,31 @@ def test_mix_takes_prefixes(spark):
         assert sum(0 < r.take_tokens < r.n_tokens for r in rows) <= 1 and all(r.take_tokens == r.n_tokens for r in rows if r.epoch < last)
 
 
+def test_mix_of_many_equal_rows(spark):
+    """The budget ends among equal rows; the same ids and texts lie in several leaves, whose hashes are thus equal."""
+    rows = [(7, "a b c d e f", "en", f"src{s}") for s in (1, 2) for _ in range(30)] + [(i, "x y z", "en", f"src{s}") for i in (1, 2, 3) for s in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for percent in (10, 50, 90):
+        got = mixed(docs, Mix(percent=percent, epochs=1, domain={}, source={"src1": 3})).collect()
+        total = 2 * (30 * 6 + 9)
+        assert sum(r.take_tokens for r in got) == total * percent // 100
+        for s in ("src1", "src2"):
+            assert sum(0 < r.take_tokens < r.n_tokens for r in got if r.source == s) <= 1
+
+
+def test_fences_of_sketches_that_compact(spark):
+    """With far more rows than a sketch holds, its fences have ranks near those asked for, however the rows are dealt."""
+    k = 64
+    rows = spark.range(20_000).selectExpr("'en' AS lang", "'s' AS source", "false AS base_failed", *(f"(xxhash64(id, '{m}') % 100000 + 100000) / 2000D AS {m}" for m in MEASURES))
+    for parts in (1, 7):
+        fence = fences(rows.repartition(parts), k=k).first().fence
+        for m, least in MEASURES.items():
+            values = sorted(r[0] for r in rows.select(m).collect())
+            q = lambda share, off: values[min(len(values) - 1, max(0, int((share + off) * len(values))))]
+            reach = [q(0.75, off) + REACH * max(q(0.75, off) - q(0.25, -off), least) for off in (-0.06, 0.06)]
+            assert reach[0] <= fence[m] <= reach[1]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{MORE}/documents.parquet")
     ids, kept = [], docs

@@ -68,3 +68,25 @@ def test_no_labels_of_a_class(spark, odd, labels):
     assert {round(r.score, 3) for r in score_quality(odd, one).collect()} == {1.0}
     assert not any(r.toxic for r in severity(odd, train(odd, one)).collect())
     assert {r.score for r in score_quality(odd, labels.where("false")).collect()} == {0.5}
+
+
+def test_empty_tables_beside_the_documents(odd, labels, benchmark):
+    nothing = labels.where("false")
+    assert not any(r.toxic for r in severity(odd, train(odd, nothing)).collect()) and reject_toxic(odd, nothing).count() == odd.count()
+    clean = contamination(odd, benchmark.where("false")).collect()
+    assert len(clean) == odd.count() and not any(r.contaminated for r in clean) and decontaminate(odd, benchmark.where("false")).count() == odd.count()
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, " ".join(base[:-1])), (9, " ".join(other[:-1])), (11, "something else that is linked with nothing"), (6, " ".join(other[1:]))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (6, 5, False), (11, 11, True)}
+
+
+def test_ids_of_other_whole_types(spark, labels):
+    docs = spark.createDataFrame([(1, "one text of some words here"), (2, "one text of some words here")], "doc_id int, text string")
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {1}
+    for operator in (lambda d: token_counts(d, BPE), lambda d: token_files(d, WORDS), lambda d: score_quality(d, labels)):
+        assert sorted(r.doc_id for r in operator(docs).collect()) == [1, 2]

@@ -1,7 +1,8 @@
 """Operator 2: a quality classifier by naive Bayes support vectors.
 
-Indicators of n-grams (byte trigrams, words, pairs of words) are scaled by the log ratio of their smoothed shares in the two
-classes; a linear hinge-loss model is then fitted on the scaled vectors, of unit length, by dual coordinate descent. A logistic
+Indicators of n-grams (byte trigrams, words, pairs of words; all pairs of equal words are one) are scaled by the log ratio of their smoothed
+shares in the two classes, and with them indicators of repetition: that 1, 2, 4, ... words of a text equal the word before, which are no
+n-grams; a linear hinge-loss model is then fitted on the scaled vectors, of unit length, by dual coordinate descent. A logistic
 curve, fitted on labelled rows kept from the descent, turns margins into scores.
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE``) that aren't held out, in one task; every whole text is scored, without
@@ -9,7 +10,7 @@ Spark shuffling texts.
 
 Defined cases: null, empty and wordless texts have no n-grams and get the score of margin 0 plus the bias; without labels of both
 classes every score is the share of label 1 (0.5 without labels); rows with a null doc_id are scored and not held out; further
-columns are ignored.
+columns are ignored; doc_id must be a whole number (cast to long).
 """
 
 from __future__ import annotations
@@ -164,5 +165,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
             score = fitted.score(margins(gram_features(batch.column("text")), r, w, fitted.bias))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,7 +6,8 @@ backing up and no pieces built (after Song et al., "Fast WordPiece Tokenization"
 table of bounded size.
 
 Defined cases: null and empty texts have 0 tokens; all bytes are in the vocabulary, so every text can be counted, whatever its
-length; repeated rows count each by itself; rows with a null doc_id are counted too; further columns are ignored.
+length; repeated rows count each by itself; rows with a null doc_id are counted too; further columns are ignored;
+doc_id must be a whole number (cast to long).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tilegrid.llm.kernels import pieces
 from tilegrid.llm.shared import bound_batches
@@ -122,4 +124,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             made = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, i]) for i in range(3))], ["doc_id", "n_bytes", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")

@@ -9,7 +9,8 @@ Fitting takes a bounded sample of labelled rows (``SAMPLE``), in one task; every
 texts.
 
 Defined cases: null, empty and wordless texts have no features and so the prior's severity; without any toxic or any clean labels
-all severities are 0 and nothing is rejected; rows with a null doc_id are scored too; further columns stay.
+all severities are 0 and nothing is rejected; P(grade > 0) of exactly one half is toxic; rows with a null doc_id are scored too; further
+columns stay.
 """
 
 from __future__ import annotations
@@ -51,6 +52,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def slope(theta: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood of the grades, and its gradient. ``theta``: weights, the lower threshold, the log of the step to the upper one."""
+    n, weights, low, gap = len(grade), theta[:-2], theta[-2], theta[-1]
+    score = np.bincount(rows, vals * weights[cols], n)
+    below, upto = _sigmoid(low - score), _sigmoid(low + np.exp(gap) - score)
+    d_low, d_high = below * (1 - below), upto * (1 - upto)
+    chance = np.maximum(np.choose(grade, (below, upto - below, 1 - upto)), 1e-9)
+    by_low = np.choose(grade, (d_low, -d_low, np.zeros(n))) / chance
+    by_high = np.choose(grade, (np.zeros(n), d_high, -d_high)) / chance
+    by_weight = np.bincount(cols, vals * (by_low + by_high)[rows], len(weights)) + RIDGE * weights
+    by_thresholds = [-(by_low + by_high).sum(), -by_high.sum() * np.exp(gap)]
+    return float(RIDGE * (weights @ weights) / 2 - np.log(chance).sum()), np.concatenate((by_weight, by_thresholds))
+
+
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Severity:
     """``texts``: distinct feature ids and counts of each text; ``toxic``: 0 or 1."""
     n1 = int(toxic.sum())
@@ -75,25 +90,16 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Severi
         vals.append(np.log2(1.0 + counts[c >= 0]))
         rows.append(np.full(len(cols[-1]), r))
     cols, rows, vals = np.concatenate(cols), np.concatenate(rows), np.concatenate(vals)
-    n = len(toxic)
-    evidence = np.bincount(rows, vals * marker[cols], n)
+    evidence = np.bincount(rows, vals * marker[cols], len(toxic))
     grade = np.where(toxic == 1, 1 + (evidence > np.median(evidence[toxic == 1])), 0)
-    # Adam on the penalised likelihood; the second threshold is the first plus exp(gap).
-    weights, low, gap = np.zeros(len(ids)), np.log(n0 / n1), 0.0
-    m, v = np.zeros(len(ids) + 2), np.zeros(len(ids) + 2)
+    # Adam on the penalised likelihood.
+    theta = np.concatenate((np.zeros(len(ids)), [np.log(n0 / n1), 0.0]))
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, STEPS + 1):
-        score = np.bincount(rows, vals * weights[cols], n)
-        high = low + np.exp(gap)
-        below, upto = _sigmoid(low - score), _sigmoid(high - score)
-        d_low, d_high = below * (1 - below), upto * (1 - upto)
-        chance = np.maximum(np.choose(grade, (below, upto - below, 1 - upto)), 1e-9)
-        by_low = np.choose(grade, (d_low, -d_low, np.zeros(n))) / chance
-        by_high = np.choose(grade, (np.zeros(n), d_high, -d_high)) / chance
-        slope = np.concatenate((np.bincount(cols, vals * (by_low + by_high)[rows], len(ids)) + RIDGE * weights, [-(by_low + by_high).sum(), -by_high.sum() * np.exp(gap)]))
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        weights, low, gap = weights - move[:-2], low - move[-2], gap - move[-1]
-    return Severity(ids, weights, np.array([low, low + np.exp(gap)]))
+        _, down = slope(theta, rows, cols, vals, grade)
+        m, v = 0.9 * m + 0.1 * down, 0.99 * v + 0.01 * down**2
+        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Severity(ids, theta[:-2], np.array([theta[-2], theta[-2] + np.exp(theta[-1])]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Severity:
