@@ -132,11 +132,12 @@ WORDS = "SELECT * FROM (VALUES " + ", ".join(f"({_sql(m)}, {_sql(w)})" for m, _,
 
 def score_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of 2 to 7 letters of the documents as a first move across the centre, its last letter laid by a blank."""
-    words = a.words(spark, sf_dir).where(F.length("word").between(2, 7))
+    known = a.words(spark, sf_dir).cache()  # read three times
+    words = known.where(F.length("word").between(2, 7))
     tile = lambda x, i: F.struct(F.lit("7").alias("row"), (F.lit(7) + i).cast("string").alias("col"), x.alias("letter"))
     letters = F.filter(F.split("word", ""), lambda x: x != "")
     moves = words.select(F.col("word").alias("move_id"), F.concat(F.expr("left(word, length(word) - 1)"), F.lit("?")).alias("rack"), F.array().cast(f"array<{BOARD}>").alias("board"), F.transform(letters, tile).alias("raw"))
-    return score.score_moves(moves, a.words(spark, sf_dir)).select(F.col("move_id").alias("word"), "score", "error")
+    return score.score_moves(moves, known).select(F.col("move_id").alias("word"), "score", "error")
 
 
 OPENINGS = f"""WITH {a.WORDS}, tiles AS ({TILE_VALUES}), l AS (SELECT word, unnest(string_split(word, '')) AS letter, unnest(range(length(word))) AS i FROM words WHERE length(word) BETWEEN 2 AND 7)
