@@ -43,7 +43,8 @@ def _needed(word: Column, pattern: Column) -> Column:
 
 
 def _fits(word: Column, pattern: Column) -> Column:
-    return F.forall(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(pattern, i, F.lit(1)).isin(".") | (F.substr(pattern, i, F.lit(1)) == F.substr(word, i, F.lit(1))))
+    """Whether a word has the tiles of a pattern; letters and dots are a regular expression, which Spark compiles once for all words that meet a slot."""
+    return F.regexp_like(word, F.concat(F.lit("^"), pattern, F.lit("$")))
 
 
 def _spare(needed: Column, rack: Column) -> Column:

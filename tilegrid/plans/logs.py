@@ -51,17 +51,20 @@ def retry_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 HINT = "SELECT error, CASE " + " ".join(f"WHEN contains(error, '{k}') THEN '{v}'" for k, v in texts.HINTS) + f" ELSE '{texts.OTHER_HINT}' END AS hint FROM (VALUES {_values((e,) for e in ERRORS)}) AS t(error)"
 
 
-def retry_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, "AB?", REPLIES[0][0], e) for i, e in enumerate(ERRORS)], "id int, rack string, reply string, error string")
-    return rows.select("id", attempts.feedback(F.col("rack"), F.col("reply"), F.col("error")).alias("feedback"))
-
-
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each part, with its brand as the rack."""
     rows = a.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("rack"), F.array().cast("array<struct<row:int,col:int,letter:string,is_blank:boolean,is_existing:boolean>>").alias("board"))
     return rows.select("p_partkey", F.posexplode(attempts.prompt(F.col("rack"), F.col("board"))).alias("turn", "m")).select("p_partkey", "turn", "m.role", F.md5("m.content").alias("digest"), F.length("m.content").alias("chars"))
 
 
+# The texts of the prompt.
+_SYSTEM = "\n".join(attempts.SYSTEM)
+_USER = f"""json_object('benchmark', 'highest-immediate-score-only', 'board_size', 15, 'rack', to_json(string_split(p_brand, '')), 'board', json_array(), 'instruction', '{attempts.INSTRUCTION}',
+'example', json_object('board_has_existing_word', 'AERIE', 'desired_full_word', 'AERIED', 'correct_response', json_object('tool', 'play_move', 'arguments', json_object('placements', json_array(json_object('row', 6, 'col', 13, 'letter', 'D'))))))::VARCHAR"""
+PROMPTS = f"""WITH m AS (SELECT p_partkey, 0 AS turn, 'system' AS role, '{_SYSTEM.replace("'", "''")}' AS content FROM part UNION ALL SELECT p_partkey, 1, 'user', {_USER} FROM part)
+SELECT p_partkey, turn, role, md5(content) AS digest, CAST(length(content) AS INTEGER) AS chars FROM m"""
+
+
 def event_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(LINES)], "id int, line string")
     return rows.select("id", events.agent_event(F.col("line")).alias("e")).select("id", "e.text", "e.channel", "e.event_type")
@@ -133,6 +136,6 @@ LIVE = f"""WITH {a.LOG}, s AS (SELECT run_id, position_id, arg_max(type, seq) AS
 SELECT run_id, count(*) AS boards, count(*) FILTER (last = 'board_result') AS done, count(*) FILTER (last = 'attempt_invalid') AS invalid, round(coalesce(sum(points), 0), 6) AS points FROM s GROUP BY run_id"""
 
 QUERIES = {
-    parse_tool_payload: PAYLOAD, retry_hint: HINT, retry_feedback: None, prompt_messages: None, event_normalise: NORMAL, trace_summary: TRACE, delta_lag: DELTA, stall_gaps: STALL,
+    parse_tool_payload: PAYLOAD, retry_hint: HINT, prompt_messages: PROMPTS, event_normalise: NORMAL, trace_summary: TRACE, delta_lag: DELTA, stall_gaps: STALL,
     text_concat: CONCAT, flat_prompt: FLAT, word_chunks: CHUNKS, live_progress: LIVE,
 }

@@ -217,8 +217,8 @@ TICKS = f"WITH {a.ROLLED}, m AS (SELECT greatest(max(CASE WHEN max_total_tokens
 def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of runs in the plot of tokens against score."""
     rows = _completed(spark, sf_dir)
-    most = rows.agg(F.greatest(F.max(F.when(F.col("avg_total_tokens") == 0, 1).otherwise(F.col("avg_total_tokens"))), F.lit(1.0))).first()[0]
-    return rows.select("id", F.round(80 + F.col("avg_total_tokens") / F.lit(most) * 650, 4).alias("x"), F.round(280 - F.col("score_pct") / 100 * 220, 4).alias("y"), F.greatest("score_pct", F.lit(2.0)).cast("decimal(12,4)").cast("double").alias("bar"))
+    most = rows.agg(F.greatest(F.max(F.when(F.col("avg_total_tokens") == 0, 1).otherwise(F.col("avg_total_tokens"))), F.lit(1.0)).alias("most"))
+    return rows.crossJoin(F.broadcast(most)).select("id", F.round(80 + F.col("avg_total_tokens") / F.col("most") * 650, 4).alias("x"), F.round(280 - F.col("score_pct") / 100 * 220, 4).alias("y"), F.greatest("score_pct", F.lit(2.0)).cast("decimal(12,4)").cast("double").alias("bar"))
 
 
 SCATTER = f"WITH {a.ROLLED}, c AS (SELECT *, greatest(max(CASE WHEN avg_total_tokens = 0 THEN 1 ELSE avg_total_tokens END) OVER (), 1.0) AS m FROM board WHERE status = 'completed') SELECT id, round(80 + avg_total_tokens / m * 650, 4) AS x, round(280 - score_pct / 100 * 220, 4) AS y, CAST(CAST(greatest(score_pct, 2.0) AS DECIMAL(12, 4)) AS DOUBLE) AS bar FROM c"
@@ -227,9 +227,8 @@ SCATTER = f"WITH {a.ROLLED}, c AS (SELECT *, greatest(max(CASE WHEN avg_total_to
 def timeline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of runs in the plot of time against score."""
     rows = _completed(spark, sf_dir).withColumn("t", F.unix_seconds(F.try_to_timestamp("started_at"))).where("started_at IS NOT NULL AND started_at <> ''")
-    low, high = rows.agg(F.min("t"), F.max("t")).first()
-    span = max((high or 0) - (low or 0), 1)
-    return rows.select("id", F.round(80 + (F.col("t") - F.lit(low)) / F.lit(float(span)) * 650, 4).alias("x"), F.round(260 - F.col("score_pct") / 100 * 190, 4).alias("y"))
+    ends = rows.agg(F.min("t").alias("low"), F.greatest(F.max("t") - F.min("t"), F.lit(1)).alias("span"))
+    return rows.crossJoin(F.broadcast(ends)).select("id", F.round(80 + (F.col("t") - F.col("low")) / F.col("span").cast("double") * 650, 4).alias("x"), F.round(260 - F.col("score_pct") / 100 * 190, 4).alias("y"))
 
 
 TIMELINE = f"WITH {a.ROLLED}, c AS (SELECT *, epoch(CAST(started_at AS TIMESTAMP)) AS t FROM board WHERE status = 'completed'), s AS (SELECT *, min(t) OVER () AS lo, greatest(max(t) OVER () - min(t) OVER (), 1) AS span FROM c) SELECT id, round(80 + (t - lo) / span * 650, 4) AS x, round(260 - score_pct / 100 * 190, 4) AS y FROM s"
