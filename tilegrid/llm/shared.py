@@ -1,17 +1,14 @@
-"""Session and storage helpers that the text operators share."""
+"""Session and storage helpers that the text operators share. They reach files by the driver's JVM, so they need a classic session, not Spark Connect."""
 
 from __future__ import annotations
 
-import io
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import tilegrid
+from tilegrid.plans.scratch import ensure_folder
+from tilegrid.sources.package import ship
 
 #: Text bytes and rows that one Arrow batch hands to a Python worker at most; one longer text makes a batch of its own.
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
@@ -26,42 +23,21 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Prepare Python workers: bound what one holds at once (smaller settings of the session stay), and give it this package."""
+    """Prepare Python workers: bound what one holds at once, and give it this package.
+
+    The session's two settings of Arrow batches are lowered for good, since plans are run after this returns; smaller ones stay.
+    """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
-    _ship(spark)
-
-
-def _ship(spark: SparkSession) -> None:
-    """Once a Spark application: send the package to the executors, which need not have it on their path."""
-    context, root = spark.sparkContext, Path(tilegrid.__file__).parent
-    if getattr(context, "_tilegrid_sent", False) or not root.is_dir():
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, f"tilegrid/{file.relative_to(root)}")
-    name = f"{shared_folder(spark)}/tilegrid-{uuid.uuid4().hex}.zip"
-    path, fs = _path(spark, name)
-    out = fs.create(path)
-    out.write(packed.getvalue())
-    out.close()
-    context.addPyFile(name)
-    context._tilegrid_sent = True
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tilegrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return ensure_folder(spark).rstrip("/")
 
 
 def _path(spark: SparkSession, name: str):
