@@ -21,10 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilegrid.llm.shared import packed, unpacked, words, written
+from tilegrid.llm.shared import packed, small, unpacked, words, written
 
 #: Hex digits of the hash that number a bucket, at least, and documents of a bucket, about, that larger leaves take more digits for.
 DIGITS, BUCKET = 3, 100_000
+#: Leaves up to which their budgets are broadcast (100 bytes each); beyond, the join shuffles.
+MOST_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
 ADDED = ("domain", "epoch", "n_tokens", "take_tokens")
 
@@ -98,21 +100,22 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows taken: the columns of ``docs`` with domain, epoch (from 0), n_tokens and take_tokens (the leading tokens taken)."""
     mix, keys = mix or Mix(), [*LEVELS]
     rows = with_leaf(docs).where("n > 0")
-    small = written(rows.drop("doc"), "mix-rows")
-    leaves = written(small.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
+    lean = written(rows.drop("doc"), "mix-rows")
+    leaves = written(lean.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     leaf = budgets(leaves.drop("docs"), mix).join(leaves.select(*keys, "docs"), keys)
     digits = F.greatest(F.lit(DIGITS), F.ceil(F.log(16.0, F.col("docs") / BUCKET))).cast("int")
     leaf = written(leaf.select(*keys, digits.alias("digits"), F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-budgets")
+    leaf = small(leaf, MOST_LEAVES)
 
     def hashed(df: DataFrame) -> DataFrame:
         return df.join(leaf, keys).withColumn("h", _hash(F.col("whole"), F.col("doc_id"), mix.seed)).withColumn("bucket", F.substr("h", F.lit(1), F.col("digits")))
 
     # The bucket in which each leaf's budget ends, and the tokens before it.
-    told = hashed(small)
+    told = hashed(lean)
     counts = told.groupBy(*keys, "rest", "bucket").agg(F.sum("n").alias("inside"))
     running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = counts.withColumn("ahead", F.coalesce(F.sum("inside").over(running), F.lit(0))).where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("inside") >= F.col("rest")))
-    edge = written(edge.select(*keys, F.col("bucket").alias("edge"), "ahead"), "mix-edges")
+    edge = small(written(edge.select(*keys, F.col("bucket").alias("edge"), "ahead"), "mix-edges"), MOST_LEAVES)
     # Within it, documents in their order; equal rows are one entry that begins at ``start``.
     entries = told.join(edge, keys).where(F.col("bucket") == F.col("edge")).groupBy(*keys, "ahead", "h", "doc_id", "t", "n").agg(F.count("*").alias("copies"))
     order = Window.partitionBy(*keys).orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
