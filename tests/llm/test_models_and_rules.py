@@ -9,7 +9,8 @@ from oracle import database, rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilegrid.llm import licenses
+from tilegrid.llm import licenses, mixing
+from tilegrid.llm import quality_rules as quality_rules_module
 from tilegrid.llm import queries as q
 from tilegrid.llm.license_texts import KNOWN, SPELLINGS
 from tilegrid.llm.licenses import license_scan
@@ -36,7 +37,9 @@ def test_quality_on_held_out_labels(spark):
     assert {r.doc_id: r.score for r in score_quality(moved, labels).collect()} == before
 
 
-def test_rules(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules_module, "MOST_FENCES", most)
     clean = [(i, " ".join(f"word{i}x{k}" for k in range(40)), "en", f"s{i % 3}") for i in range(60)]
     bad = [(100, "a b c d e " * 10, "en", "s0"), (101, "few words", "en", "s0"), (102, " ".join(f"w{k}###" for k in range(40)), "en", "s1"), (103, "\n".join(["one line of the text"] * 3 + [f"t{k} u{k} v{k} x{k}" for k in range(9)]), "en", "s1")]
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string"), enough=10).collect()}
@@ -115,7 +118,9 @@ def test_budgets_by_hand(spark):
     assert got == {("a", "x", "s"): 100, ("b", "x", "s"): 25, ("b", "y", "s"): 25, ("b", "z", "s"): 20, ("b", "z", "t"): 30}
 
 
-def test_mix_takes_prefixes(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_mix_takes_prefixes(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_LEAVES", most)
     docs = spark.createDataFrame([(i, "w " * (i % 7), "en", f"src{i % 5}") for i in range(200)] + [(7, "w w w w w w w", "en", "src2")] * 5, "doc_id long, text string, lang string, source string")
     got = mixed(docs, Mix(percent=150, epochs=3, domain={}, source={"src1": 5})).collect()
     total = sum(i % 7 for i in range(200)) + 35

@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilegrid.llm.shared import SPACE, let, words, written
+from tilegrid.llm.shared import SPACE, let, small, words, written
 
 #: Words in a window whose repetition counts.
 WINDOW = 5
+#: Pairs (lang, source) up to which their fences are broadcast (60 bytes each); beyond, the join shuffles.
+MOST_FENCES = 100_000
 #: Rows that a (lang, source) or a language needs for fences of its own.
 ENOUGH = 200
 #: Size parameter of the sketches: rank errors of about 0.3 %; up to so many values a sketch is exact.
@@ -92,7 +94,8 @@ def quality_rules(docs: DataFrame, enough: int = ENOUGH, k: int = SKETCH_K, reac
     measure lies above its fence.
     """
     rows = with_shares(written(measures(docs), "rules"))
-    judged = rows.join(fences(rows, enough, k, reach), ["lang", "source"], "left")
+    limits = small(written(fences(rows, enough, k, reach), "rule-fences"), MOST_FENCES)
+    judged = rows.join(limits, ["lang", "source"], "left")
     above = [F.coalesce(F.col(m) > F.col(f"fence.{m}"), F.lit(False)) for m in MEASURES]
     verdict = ~F.col("base_failed")
     for x in above:
