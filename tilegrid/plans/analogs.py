@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilegrid.operators import lexicon
+from tilegrid.plans.scratch import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ board AS (SELECT runs.*, coalesce(raw_points, 0) AS raw_points, coalesce(optimal
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, value: every run of ASCII letters of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("value"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("value"))
 
 
 TOKENS = "tokens AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS value FROM documents)"

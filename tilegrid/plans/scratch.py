@@ -1,10 +1,11 @@
-"""The folder for tables between the steps of a query."""
+"""The folder for tables between the steps of a query, and how a table is dealt to tasks."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_folder(spark: SparkSession) -> str:
@@ -16,3 +17,12 @@ def ensure_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="tilegrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table``, dealt anew if fewer tasks than there are cores would hold all of its rows, as where a file has a single row group.
+
+    For tables as they are read, whose rows cost much more to work on than to move; which tasks have rows is told by the file's own counts.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.select(F.spark_partition_id().alias("p")).distinct().count() >= cores else table.repartition(cores)
