@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilegrid.plans.scratch import ensure_folder
+from tilegrid.plans.scratch import ensure_folder, spread
 from tilegrid.sources.package import ship
 
 #: Text bytes and rows that one Arrow batch hands to a Python worker at most; one longer text makes a batch of its own.
@@ -18,8 +18,8 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    """A table of the input folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the input folder, dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def bound_batches(spark: SparkSession) -> None:
