@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilegrid.functions.tiles import LABELS, POINTS, TILES, square_table, tile_table
@@ -194,8 +194,31 @@ def generate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legal moves of the fixture positions with the whole lexicon of the documents and the fixture's words."""
     words = a.words(spark, sf_dir).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct().cache()  # read four times
     moves = movegen.ranked(movegen.generate_moves(_positions(spark), words))
-    text = F.array_join(F.transform("placements", lambda p: F.concat_ws(",", p.row.cast("string"), p.col.cast("string"), F.when(p.is_blank, F.lower(p.letter)).otherwise(p.letter))), ";")
-    return moves.select("id", text.alias("tiles"), "score", F.array_join("words", ",").alias("words"), "place", "top")
+    return moves.select("id", _tiles("placements").alias("tiles"), "score", F.array_join("words", ",").alias("words"), "place", "top")
+
+
+def _tiles(placements) -> Column:
+    """Placements as text; blanks are in lower case."""
+    one = lambda p: F.concat_ws(",", p.row.cast("string"), p.col.cast("string"), F.when(p.is_blank, F.lower(p.letter)).otherwise(p.letter))
+    return F.array_join(F.transform(placements, one), ";")
+
+
+def opening_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All legal first moves of each rack with the whole lexicon of the documents."""
+    racks = spark.createDataFrame([(i, r) for i, r in enumerate(RACKS)], "id int, rack string").withColumn("board", F.array().cast(f"array<{BOARD}>"))
+    moves = movegen.generate_moves(racks, a.words(spark, sf_dir).cache())  # the words are read three times
+    return moves.select(F.col("id").alias("rack_id"), _tiles("placements").alias("tiles"), "score", F.array_join("words", ",").alias("word"))
+
+
+FIRST_MOVES = f"""{FEASIBLE.replace("SELECT rack_id, word FROM need, racks", ", f AS (SELECT rack_id, rack, word FROM need, racks", 1)}),
+tiles AS ({TILE_VALUES}),
+l AS (SELECT *, row_number() OVER (PARTITION BY rack_id, word, letter ORDER BY i) > length(rack) - length(replace(rack, letter, '')) AS blank
+  FROM (SELECT rack_id, rack, word, unnest(string_split(word, '')) AS letter, unnest(range(length(word))) AS i FROM f)),
+p AS (SELECT rack_id, word, l.i + s AS c, CASE WHEN blank THEN lower(l.letter) ELSE l.letter END AS tile, s, CASE WHEN blank THEN 0 ELSE value END * CASE WHEN l.i + s IN (3, 11) THEN 2 ELSE 1 END AS points
+  FROM l JOIN tiles ON tiles.letter = l.letter, range(8) AS r(s) WHERE s + length(word) BETWEEN 8 AND 15),
+m AS (SELECT rack_id, word, string_agg('7,' || c || ',' || tile, ';' ORDER BY c) AS across, string_agg(c || ',7,' || tile, ';' ORDER BY c) AS down,
+  sum(points) * 2 * CASE WHEN min(c) = 0 THEN 3 ELSE 1 END * CASE WHEN max(c) = 14 THEN 3 ELSE 1 END + CASE WHEN count(*) = 7 THEN 50 ELSE 0 END AS score FROM p GROUP BY rack_id, word, s)
+SELECT rack_id, across AS tiles, CAST(score AS INTEGER) AS score, word FROM m UNION SELECT rack_id, down, CAST(score AS INTEGER), word FROM m"""
 
 
 def self_play(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,5 +231,5 @@ def self_play(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     lexicon_build: f"WITH {a.WORDS} SELECT word FROM words", lexicon_fallback: f"WITH {a.FEWER} SELECT word FROM fewer", tile_values: TILE_SQL, rack_counts: COUNT_SQL,
     rack_feasible_words: FEASIBLE, word_valid: _held("IN"), word_invalid: _held("NOT IN"), premium_grid: PREMIUM, board_overlay: OVERLAY, board_render: RENDER, score_moves: SCORES,
-    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, generate_moves: None, self_play: None,
+    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, opening_moves: FIRST_MOVES, generate_moves: None, self_play: None,
 }
