@@ -44,14 +44,18 @@ def run_at(line: Column, place: Column) -> Column:
 
 def cells_of(grid: Column) -> Column:
     """The cells of a grid, row by row."""
-    cell = lambda i: F.struct((F.floor(i / SIZE)).cast("int").alias("row"), (i % SIZE).cast("int").alias("col"), F.upper(F.substr(grid, i + 1, F.lit(1))).alias("letter"), F.substr(grid, i + 1, F.lit(1)).rlike("[a-z]").alias("is_blank"), F.lit(True).alias("is_existing"))
-    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1)), lambda i: F.substr(grid, i + 1, F.lit(1)) != "."), cell)
+
+    def cell(x: Column, i: Column) -> Column:
+        row, col = F.floor(i / SIZE).cast("int"), (i % SIZE).cast("int")
+        return F.struct(row.alias("row"), col.alias("col"), F.upper(x).alias("letter"), (x != F.upper(x)).alias("is_blank"), F.lit(True).alias("is_existing"))
+
+    return F.filter(F.transform(F.split(grid, ""), cell), lambda c: ~c.letter.isin(".", ""))
 
 
 def rendered(grid: Column) -> Column:
     """15 lines of a grid: the row's number and its squares."""
-    line = lambda r: F.format_string("%02d %s", r, F.array_join(F.split(F.substr(grid, r * SIZE + 1, F.lit(SIZE)), ""), " "))
-    return F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), line)
+    line = lambda g, r: F.format_string("%02d %s", r, F.array_join(F.split(F.substr(g, r * SIZE + 1, F.lit(SIZE)), ""), " "))
+    return let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda r: line(g, r)))
 
 
 def cell_rows(positions: DataFrame) -> DataFrame:
