@@ -203,7 +203,7 @@ def _tiles(placements) -> Column:
     return F.array_join(F.transform(placements, one), ";")
 
 
-def opening_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legal first moves of each rack with the whole lexicon of the documents."""
     racks = spark.createDataFrame([(i, r) for i, r in enumerate(RACKS)], "id int, rack string").withColumn("board", F.array().cast(f"array<{BOARD}>"))
     moves = movegen.generate_moves(racks, a.words(spark, sf_dir).cache())  # the words are read three times
@@ -231,5 +231,5 @@ def self_play(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     lexicon_build: f"WITH {a.WORDS} SELECT word FROM words", lexicon_fallback: f"WITH {a.FEWER} SELECT word FROM fewer", tile_values: TILE_SQL, rack_counts: COUNT_SQL,
     rack_feasible_words: FEASIBLE, word_valid: _held("IN"), word_invalid: _held("NOT IN"), premium_grid: PREMIUM, board_overlay: OVERLAY, board_render: RENDER, score_moves: SCORES,
-    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, opening_moves: FIRST_MOVES, generate_moves: None, self_play: None,
+    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, first_moves: FIRST_MOVES, generate_moves: None, self_play: None,
 }
