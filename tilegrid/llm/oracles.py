@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilegrid.llm import decontam, licenses, neardup, quality_rules
+from tilegrid.llm import decontam, leaderboard, licenses, neardup, quality_rules
 from tilegrid.llm.license_texts import KNOWN, SPELLINGS
 from tilegrid.llm.mixing import LEVELS, Mix
 
@@ -123,3 +123,39 @@ ordered AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source OR
 turns AS (SELECT *, unnest(range(0, CAST(whole AS BIGINT) + 1)) AS epoch FROM ordered),
 taken AS (SELECT *, CASE WHEN epoch < whole THEN n ELSE least(n, greatest(0, rest - start)) END AS take FROM turns)
 SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(take AS BIGINT) AS take_tokens FROM taken WHERE take > 0"""
+
+
+#: The 256 remainders of CRC-32, by its rule.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS remainders)"
+
+
+def crc32(octets: str) -> str:
+    """CRC-32 of a list of bytes, next to ``crc_table``."""
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def leaderboard_sql() -> str:
+    """Every item's revenue after each of its days, every board after each day of its nation, and each board against the one before."""
+    b = leaderboard
+    batch = f"least({b.BATCHES}, greatest(1, 1 + floor((a - {b.FIRST_DAY}) * {b.BATCHES} / {b.DAYS})))::INTEGER"
+    key = " || ',' || ".join(f"coalesce({c}::VARCHAR, '')" for c in ("sale_id", "item_id", "vendor_id", "line_no"))
+    at = "from_day <= {0} AND (to_day IS NULL OR {0} < to_day)"
+    return f"""
+WITH {CRC_TABLE}, hashed AS (SELECT sale_lines.*, {crc32(f"list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT)")} AS h FROM sale_lines, crc_table),
+dated AS (SELECT *, coalesce(CAST(shipped_at AS DATE) - DATE '1970-01-01', {b.FIRST_DAY} + h % 150) AS s FROM hashed),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+cut AS (SELECT *, {batch} AS batch FROM arrived),
+seen AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s_before FROM cut GROUP BY batch),
+prices AS (SELECT item_id, min(floor(100 * price + 0.5)) AS price FROM items GROUP BY item_id),
+homes AS (SELECT vendor_id, min(nation_id) AS nation_id FROM vendors GROUP BY vendor_id),
+counted AS (SELECT nation_id, item_id, a, sum(coalesce(floor(100 * amount + 0.5), quantity * price, 0) * CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END)::BIGINT AS cents
+  FROM cut JOIN seen USING (batch) JOIN prices USING (item_id) JOIN homes USING (vendor_id) WHERE nation_id IS NOT NULL AND s + {b.LATE} >= coalesce(s_before, s) GROUP BY ALL),
+days AS (SELECT nation_id, a, lag(a) OVER (PARTITION BY nation_id ORDER BY a) AS before FROM (SELECT DISTINCT nation_id, a FROM counted)),
+spans AS (SELECT nation_id, item_id, a AS from_day, sum(cents) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS revenue, lead(a) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS to_day FROM counted),
+held AS (SELECT nation_id, days.a, item_id, revenue FROM days JOIN spans USING (nation_id) WHERE {at.format("days.a")}),
+boards AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue DESC, item_id) AS rank FROM held WHERE revenue > 0) WHERE rank <= {b.TOP}),
+earlier AS (SELECT boards.nation_id, days.a, item_id, rank FROM boards JOIN days ON days.nation_id = boards.nation_id AND days.before = boards.a),
+diff AS (SELECT coalesce(n.nation_id, o.nation_id) AS nation_id, coalesce(n.a, o.a) AS a, coalesce(n.item_id, o.item_id) AS item_id, o.rank AS old_rank, n.rank AS new_rank
+  FROM boards n FULL JOIN earlier o ON o.nation_id = n.nation_id AND o.a = n.a AND o.item_id = n.item_id WHERE o.rank IS DISTINCT FROM n.rank)
+SELECT nation_id::INTEGER AS nation_id, a::BIGINT AS arrival_day, item_id, {batch} AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+  old_rank::INTEGER AS old_rank, new_rank::INTEGER AS new_rank, revenue::BIGINT AS revenue FROM diff JOIN spans USING (nation_id, item_id) WHERE {at.format("a")}"""
