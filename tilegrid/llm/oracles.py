@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilegrid.llm import decontam, leaderboard, licenses, neardup, quality_rules
+from tilegrid.llm import decontam, importance, leaderboard, licenses, neardup, quality_rules
 from tilegrid.llm.license_texts import KNOWN, SPELLINGS
 from tilegrid.llm.mixing import LEVELS, Mix
 
@@ -159,3 +159,22 @@ diff AS (SELECT coalesce(n.nation_id, o.nation_id) AS nation_id, coalesce(n.a, o
   FROM boards n FULL JOIN earlier o ON o.nation_id = n.nation_id AND o.a = n.a AND o.item_id = n.item_id WHERE o.rank IS DISTINCT FROM n.rank)
 SELECT nation_id::INTEGER AS nation_id, a::BIGINT AS arrival_day, item_id, {batch} AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
   old_rank::INTEGER AS old_rank, new_rank::INTEGER AS new_rank, revenue::BIGINT AS revenue FROM diff JOIN spans USING (nation_id, item_id) WHERE {at.format("a")}"""
+
+
+def importance_sql() -> str:
+    """Words as strings, the CRC of each different one byte by byte."""
+    i = importance
+    octets = "list_transform(range(octet_length(encode(w))), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT)"
+    counted = lambda name, table: f"{name} AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS w FROM {table}) JOIN hashed USING (w) GROUP BY bucket)"
+    split = lambda table: rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+    return f"""
+WITH {CRC_TABLE}, own AS (SELECT row_number() OVER () AS r, doc_id, {split("documents")}), aim AS (SELECT {split("benchmark")}),
+hashed AS (SELECT w, {crc32(octets)} % {i.BUCKETS} AS bucket FROM (SELECT unnest(w) AS w FROM own UNION SELECT unnest(w) FROM aim), crc_table),
+{counted("s", "own")}, {counted("t", "aim")}, sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+gains AS (SELECT k AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (sums.s + {i.BUCKETS}) / ((coalesce(s.n, 0) + 1) * (sums.t + {i.BUCKETS})))) AS gain
+  FROM range({i.BUCKETS}) AS b(k) LEFT JOIN s ON s.bucket = k LEFT JOIN t ON t.bucket = k CROSS JOIN sums),
+means AS (SELECT r, floor(sum(gain) / count(*)) AS weight FROM (SELECT r, unnest(w) AS w FROM own) JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('{i.SEED}:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM own LEFT JOIN means USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM scored WHERE n >= {i.LEAST_WORDS})
+SELECT doc_id, n::BIGINT AS n_words, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= {i.PERCENT} * fit // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (r)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilegrid.llm import oracles
 from tilegrid.llm.decontam import contamination
+from tilegrid.llm.importance import resampled
 from tilegrid.llm.leaderboard import leaderboard_changes
 from tilegrid.llm.licenses import license_scan
 from tilegrid.llm.linededup import line_counts
@@ -73,14 +74,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "contaminated", F.size("items").alias("n_items"), F.get("items", F.lit(0)).alias("first_item"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, items, vendors = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "items", "vendors"))
     return leaderboard_changes(lines, items, vendors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_line_dedup, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination, op13_leaderboard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_line_dedup, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination, op11_importance_resampling, op13_leaderboard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": oracles.mixing_sql(), "op5_near_duplicates": oracles.near_duplicates_sql(), "op7_quality_rules": oracles.quality_rules_sql(), "op8_license_scan": oracles.license_scan_sql(), "op10_decontamination": oracles.contamination_sql(), "op13_leaderboard": oracles.leaderboard_sql()}
+    return {"op3_mixing": oracles.mixing_sql(), "op5_near_duplicates": oracles.near_duplicates_sql(), "op7_quality_rules": oracles.quality_rules_sql(), "op8_license_scan": oracles.license_scan_sql(), "op10_decontamination": oracles.contamination_sql(), "op11_importance_resampling": oracles.importance_sql(), "op13_leaderboard": oracles.leaderboard_sql()}
