@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilegrid.llm import oracles
 from tilegrid.llm.decontam import contamination
+from tilegrid.llm.fingerprints import document_fingerprints
 from tilegrid.llm.importance import resampled
 from tilegrid.llm.leaderboard import leaderboard_changes
 from tilegrid.llm.licenses import license_scan
@@ -78,13 +79,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, items, vendors = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "items", "vendors"))
     return leaderboard_changes(lines, items, vendors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_line_dedup, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination, op11_importance_resampling, op13_leaderboard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_line_dedup, op5_near_duplicates, op6_toxicity, op7_quality_rules, op8_license_scan, op9_token_files, op10_decontamination, op11_importance_resampling, op12_fingerprints, op13_leaderboard)}
 
 
 def oracle_sql() -> dict[str, str]:
