@@ -108,11 +108,18 @@ def leaf_tens(lines: DataFrame, leaves: int) -> DataFrame:
         sums = np.zeros(len(every), np.int64)
         sums[np.searchsorted(every, items)] = cents
         at, order = np.searchsorted(every, new), np.argsort(days, kind="stable")
-        ten, out = best(every, sums), []
+        ten, out, placed = best(every, sums), [], np.zeros(len(every), bool)
+        placed[np.searchsorted(every, ten[0])] = True
         starts = np.flatnonzero(np.diff(days[order], prepend=-1))
         for some in np.split(order, starts[1:]):
-            np.add.at(sums, at[some], amounts[some])
+            touched = at[some]
+            np.add.at(sums, touched, amounts[some])
+            least = ten[1][-1] if len(ten[1]) == TOP else 1
+            if sums[touched].max() < least and not placed[touched].any():  # nothing in the ten, and nothing that could enter it
+                continue
+            placed[np.searchsorted(every, ten[0])] = False
             before, ten = ten, best(every, sums)
+            placed[np.searchsorted(every, ten[0])] = True
             if not (np.array_equal(before[0], ten[0]) and np.array_equal(before[1], ten[1])):
                 gone = np.setdiff1d(before[0], ten[0])
                 out.append((int(nation), int(leaf) // FAN, int(days[some[0]]), int(leaf), *ten, gone, sums[np.searchsorted(every, gone)]))
