@@ -175,8 +175,8 @@ def test_feasible_words_of_any_rack(spark):
 def test_generated_moves_use_the_whole_lexicon(spark):
     lex = {w for (w,) in database(SMALL).execute(f"WITH {analogs.WORDS} SELECT word FROM words").fetchall()} | set(FIXTURE_WORDS)
     spelled = {w for w in lex if len(w) <= 7 and (Counter(w) - Counter("ATTRES")).total() <= 1}  # the rack has a blank too
-    got = {r.words for r in catalogue.queries()["generate_moves"](spark, SMALL).where("id = 'none'").collect()}
-    assert got == spelled
+    board = spark.createDataFrame([("none", "A?TTRES", [])], f"id string, rack string, board {BOARD}")
+    assert {r.words[0] for r in generate_moves(board, words(spark, *lex)).collect()} == spelled
 
 
 def test_self_play_repeats(spark):
@@ -186,12 +186,6 @@ def test_self_play_repeats(spark):
     assert all(own[r.id] == (r.rack, r.bag_count, r.optimal_score) for r in one.collect()) and all(len(v[0]) == 7 for v in own.values())
 
 
-def test_self_play_query_plays_whole_games(spark):
-    rows = catalogue.queries()["self_play"](spark, SMALL).collect()
-    assert {(r.id, r.band_ply) for r in rows} == {(f"pos-{g}-{p}", p) for g in (1, 2) for p in (6, 10, 14)}
-    assert all(r.bag_count + r.tiles_on_board + 14 == 100 and len(r.rack) == 7 and r.optimal_score > 0 for r in rows)
-
-
 def test_lexicon(spark, tmp_path):
     (tmp_path / "ENABLE.txt").write_text("\n".join([f"AA{i:05d}" for i in range(50)] + [" jows ", "JOWS", "straße", "x" * 16, "A"]))
     (tmp_path / "words.txt").write_text("a\nat\nhat\nabcdefghi\n")
@@ -318,7 +312,7 @@ def test_commands(spark, tmp_path, monkeypatch):
     run = lambda *args: cli.shown(spark, cli.parser().parse_args(["--store", store, *args]))
     monkeypatch.setattr(selfplay, "QUOTAS", {1: 2, 2: 1})
     monkeypatch.setattr(selfplay, "PLIES", 2)
-    monkeypatch.setattr(selfplay.dataset, "__defaults__", (None, 2, 20260412, 2))
+    monkeypatch.setattr(selfplay.dataset, "__defaults__", (None, 2, 20260412, 2, 50))
     asked = ("--mode", "custom", "--lexicon", f"{tmp_path}/words.txt")
     positions = run("dataset", *asked).collect()
     assert [r.band_ply for r in positions] == [1, 1, 2] and len({r.id for r in positions}) == 3

@@ -1,6 +1,10 @@
-"""Generating legal moves, relationally.
+"""Generating legal moves.
 
-Each line of a board has slots: spans bounded by empty squares or the edge that hold an anchor among their empty squares and no
+A lexicon of up to two million words goes to all workers as a word graph, and boards are worked on where they are: one Arrow kernel walks
+the graph along the lines of all boards of a batch (``walk``), cross-checks and scores included. There is no shuffle, and nothing is
+looked up again.
+
+A larger lexicon stays where it is, and moves are found relationally. Each line of a board has slots: spans bounded by empty squares or the edge that hold an anchor among their empty squares and no
 more empty squares than the rack has tiles. A slot with a tile on it meets words through an index by length, place and letter; a slot
 without one meets the words that the rack can spell alone. Both are equi-joins. What is left is checked letter by letter
 and then scored by the same operator that scores players' moves, which also judges the crossing words.
@@ -8,13 +12,21 @@ and then scored by the same operator that scores players' moves, which also judg
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tilegrid.functions.tiles import SIZE
+from tilegrid.operators import walk
+from tilegrid.operators.automaton import Graph, broadcast_graph, small
 from tilegrid.operators.board import EMPTY, anchors, grid_of, line_of
 from tilegrid.operators.lexicon import feasible
 from tilegrid.operators.score import score_moves
+from tilegrid.schemas import PLACEMENT
 
 
 def slots(positions: DataFrame) -> DataFrame:
@@ -78,22 +90,89 @@ def candidates(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return laid.select("id", raw.alias("raw")).distinct()
 
 
-def generate_moves(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """id, placements, score, words of every legal move. ``positions``: id, rack, board."""
+def joined_moves(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """As ``generate_moves``, for lexicons of any size."""
     moves = candidates(positions, lexicon).withColumn("move_id", F.struct("id", "raw"))
     scored = score_moves(moves.join(positions.select("id", "rack", "board"), "id"), lexicon).where(F.col("error").isNull())
     return scored.select("move_id.id", "placements", "score", "words").dropDuplicates(["id", "placements"])
 
 
+def _kernel(positions: DataFrame, lexicon: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """What ``make(graph, grids, racks)``, columns with the place of their board first, gives for the boards of each batch, with the boards' ids."""
+    sent = broadcast_graph(lexicon)
+    rows = positions.select("id", grid_of(F.col("board")).alias("grid"), F.upper(F.coalesce("rack", F.lit(""))).alias("rack"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(sent.value)
+        for batch in batches:
+            grids, racks = batch.column("grid").to_pylist(), batch.column("rack").to_pylist()
+            for some in walk.chunks(racks):
+                board, columns = make(graph, grids[some], racks[some])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(board + some.start)), *columns.values()], ["id", *columns])
+
+    return rows.mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL(schema)]))
+
+
+def _chars(letters: np.ndarray) -> pa.Array:
+    """Letters from 0 to 25 as texts."""
+    data = (letters + 65).astype(np.uint8)
+    return pa.StringArray.from_buffers(len(data), pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32)), pa.py_buffer(data))
+
+
+def _moves_of(graph: Graph, grids: list[str], racks: list[str]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    lines = walk.lines_of(graph, walk.grids_of(grids))
+    moves = walk.legal_moves(graph, lines, racks)
+    told = walk.told(lines, moves)
+    tiles = pa.StructArray.from_arrays([pa.array(told.row.astype(np.int32)), pa.array(told.col.astype(np.int32)), _chars(told.letter), pa.array(told.blank)], ["row", "col", "letter", "is_blank"])
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+    return moves.line // (2 * SIZE), {"placements": lists(told.at, tiles), "score": pa.array(moves.score.astype(np.int32)), "words": lists(told.words_at, pa.array(told.words, pa.string()))}
+
+
+def generate_moves(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """id, placements, score, words of every legal move. ``positions``: id (one row each), rack, board."""
+    if not small(lexicon):
+        return joined_moves(positions, lexicon)
+    moves = _kernel(positions, lexicon, _moves_of, f"placements array<{PLACEMENT}>, score int, words array<string>")
+    return moves.withColumn("words", F.array_sort(F.array_distinct("words")))
+
+
+def cross_checks(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """id, row, col, across, letters: for each empty square that a tile touches from across a line (``across``: the line is a row), the letters that make a word there.
+
+    The lexicon has to be a ``small`` one.
+    """
+
+    def masks(graph: Graph, grids: list[str], racks: list[str]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        lines = walk.lines_of(graph, walk.grids_of(grids))
+        line, place = np.nonzero(lines.crossed & (lines.letters < 0))
+        column, number = line // SIZE % 2 == 1, line % SIZE
+        own = {"row": np.where(column, place, number), "col": np.where(column, number, place)}
+        texts = walk.mask_texts(lines.cross_mask[line, place])
+        return line // (2 * SIZE), {**{k: pa.array(v.astype(np.int32)) for k, v in own.items()}, "across": pa.array(~column), "letters": pa.array(texts, pa.string())}
+
+    return _kernel(positions.withColumn("rack", F.lit("")), lexicon, masks, "row int, col int, across boolean, letters string")
+
+
+def _order() -> tuple:
+    return F.desc("score"), F.size("placements"), F.col("placements")
+
+
 def ranked(moves: DataFrame) -> DataFrame:
     """``moves`` with ``place`` (1 for the canonical best) and ``top`` (whether the score is the position's best)."""
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.size("placements"), "placements")
-    return moves.withColumns({"place": F.row_number().over(order), "top": F.rank().over(Window.partitionBy("id").orderBy(F.desc("score"))) == 1})
+    best = F.max("score").over(Window.partitionBy("id"))
+    return moves.withColumns({"place": F.row_number().over(Window.partitionBy("id").orderBy(*_order())), "top": F.col("score") == best})
+
+
+def pool(moves: DataFrame, most: int = 12) -> DataFrame:
+    """The best ``most`` moves of each position with their ``place``. Each task drops what can't be among them before moves are dealt."""
+    return moves.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*_order()))).where(F.col("place") <= most)
 
 
 def best_moves(moves: DataFrame) -> DataFrame:
-    return ranked(moves).where("top").drop("top")
+    """All moves of each position's best score; of other moves none is dealt but from tasks that have no better one."""
+    tied = moves.withColumn("_rank", F.rank().over(Window.partitionBy("id").orderBy(F.desc("score")))).where("_rank = 1").drop("_rank")
+    return tied.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*_order())))
 
 
 def canonical_moves(moves: DataFrame) -> DataFrame:
-    return ranked(moves).where("place = 1").drop("top", "place")
+    return pool(moves, 1).drop("place")

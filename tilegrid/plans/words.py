@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tilegrid.functions.tiles import LABELS, POINTS, TILES, square_table, tile_table
 from tilegrid.operators import board, lexicon, movegen, score, selfplay
 from tilegrid.plans import analogs as a
-from tilegrid.plans.scratch import ensure_folder
+from tilegrid.plans.whole import TILES as BOARD_TILES
+from tilegrid.plans.whole import boards
 
 RACKS = ("AEINRST", "QUIZ?", "HEDGER", "??", "ONITATE", "XJQ", "THEREIN", "SINGABL")
 BOARD = "struct<row:int,col:int,letter:string,is_blank:boolean>"
@@ -191,10 +192,25 @@ REMAINING = f"WITH {a.WORDS} SELECT word, array_to_string(list_sort(string_split
 
 
 def generate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All legal moves of the fixture positions with the whole lexicon of the documents and the fixture's words."""
-    words = a.words(spark, sf_dir).union(spark.createDataFrame([(w,) for w in FIXTURE_WORDS], "word string")).distinct().cache()  # read four times
-    moves = movegen.ranked(movegen.generate_moves(_positions(spark), words))
-    return moves.select("id", _tiles("placements").alias("tiles"), "score", F.array_join("words", ",").alias("words"), "place", "top")
+    """All legal moves of every board, with its own run as the rack and the whole lexicon of the documents: how many, and the best, with its ties."""
+    positions = boards(spark, sf_dir).select("id", F.col("run").alias("rack"), "board")
+    moves = movegen.generate_moves(positions, a.words(spark, sf_dir))
+    best = F.struct(F.size("placements").alias("size"), "placements", "words")
+    scores = moves.groupBy("id", "score").agg(F.count("*").alias("n"), F.min(best).alias("best"))  # each task hands on one row a board and score
+    told = scores.groupBy("id").agg(F.sum("n").alias("n"), F.max(F.struct("score", F.col("n").alias("tied"), "best")).alias("top"))
+    return told.select("id", "n", "top.score", "top.tied", _tiles("top.best.placements").alias("tiles"), F.array_join("top.best.words", ",").alias("words"))
+
+
+def board_cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every board: which letters the squares beside its tiles take from the whole lexicon of the documents."""
+    return movegen.cross_checks(boards(spark, sf_dir), a.words(spark, sf_dir))
+
+
+_LETTERS = "string_agg({0}, '' ORDER BY {0}) AS letters"
+BOARD_CROSS = f"""WITH {a.WORDS}, {BOARD_TILES},
+heads AS (SELECT substr(word, 2) AS run, {_LETTERS.format("left(word, 1)")} FROM words WHERE length(word) > 1 GROUP BY 1), tails AS (SELECT left(word, length(word) - 1) AS run, {_LETTERS.format("right(word, 1)")} FROM words WHERE length(word) > 1 GROUP BY 1)
+SELECT id, 6 AS row, col, true AS across, coalesce(letters, '') AS letters FROM cells LEFT JOIN heads ON run = letter UNION ALL SELECT id, 8, col, true, coalesce(letters, '') FROM cells LEFT JOIN tails ON run = letter
+UNION ALL SELECT id, 7, 3, false, coalesce(letters, '') FROM boards LEFT JOIN heads USING (run) UNION ALL SELECT id, 7, CAST(4 + n AS INTEGER), false, coalesce(letters, '') FROM boards LEFT JOIN tails USING (run)"""
 
 
 def _tiles(placements) -> Column:
@@ -206,7 +222,7 @@ def _tiles(placements) -> Column:
 def first_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legal first moves of each rack with the whole lexicon of the documents."""
     racks = spark.createDataFrame([(i, r) for i, r in enumerate(RACKS)], "id int, rack string").withColumn("board", F.array().cast(f"array<{BOARD}>"))
-    moves = movegen.generate_moves(racks, a.words(spark, sf_dir).cache())  # the words are read three times
+    moves = movegen.generate_moves(racks, a.words(spark, sf_dir))
     return moves.select(F.col("id").alias("rack_id"), _tiles("placements").alias("tiles"), "score", F.array_join("words", ",").alias("word"))
 
 
@@ -222,14 +238,22 @@ SELECT rack_id, across AS tiles, CAST(score AS INTEGER) AS score, word FROM m UN
 
 
 def self_play(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two whole games with the whole lexicon of the documents."""
-    ensure_folder(spark)
-    shots = selfplay.play(spark, a.words(spark, sf_dir), games=2)
-    return shots.select("id", "band_ply", "rack", "player_to_move", "bag_count", F.size("board").alias("tiles_on_board"), "optimal_score", "tied_moves")
+    """Forty whole games with the whole lexicon of the documents."""
+    return _shown(selfplay.play(spark, a.words(spark, sf_dir), games=40))
+
+
+def position_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full dataset with the whole lexicon of the documents: as many positions of each ply as its quota, by as many games as it takes."""
+    return _shown(selfplay.dataset(spark, a.words(spark, sf_dir)))
+
+
+def _shown(shots: DataFrame) -> DataFrame:
+    best = F.col("canonical_optimal_move")
+    return shots.select("id", "band_ply", "rack", "player_to_move", "bag_count", F.size("board").alias("tiles_on_board"), "optimal_score", F.size("optimal_moves").alias("tied_moves"), _tiles(best.placements).alias("tiles"), F.array_join(best.words, ",").alias("words"))
 
 
 QUERIES = {
     lexicon_build: f"WITH {a.WORDS} SELECT word FROM words", lexicon_fallback: f"WITH {a.FEWER} SELECT word FROM fewer", tile_values: TILE_SQL, rack_counts: COUNT_SQL,
     rack_feasible_words: FEASIBLE, word_valid: _held("IN"), word_invalid: _held("NOT IN"), premium_grid: PREMIUM, board_overlay: OVERLAY, board_render: RENDER, score_moves: SCORES,
-    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, first_moves: FIRST_MOVES, generate_moves: None, self_play: None,
+    move_words: WORDS, score_openings: OPENINGS, anchors: ANCHORS, cross_checks: CROSS, rack_remaining: REMAINING, first_moves: FIRST_MOVES, generate_moves: None, board_cross_checks: BOARD_CROSS, self_play: None, position_dataset: None,
 }
