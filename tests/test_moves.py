@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tilegrid.functions.tiles import TILES
-from tilegrid.operators import movegen, selfplay, walk
+from tilegrid.operators import automaton, movegen, selfplay, walk
 from tilegrid.operators.automaton import Graph, broadcast_graph, minimal
 from tilegrid.operators.board import EMPTY
 from tilegrid.operators.score import judge
@@ -27,7 +27,7 @@ def lexicon(spark, words):
     return spark.createDataFrame([(w,) for w in sorted(words)], "word string")
 
 
-def test_graph_is_minimal_and_complete(spark):
+def test_graph_is_minimal_and_complete(spark, monkeypatch):
     rng = random.Random(1)
     words = some_words(rng, 300) | {"A" * 15, "Z"}
     graph = Graph(Graph.packed(sorted(words)))
@@ -36,6 +36,8 @@ def test_graph_is_minimal_and_complete(spark):
     assert len(graph.masks) == len(endings)  # a node for each different set of endings
     sent = broadcast_graph(lexicon(spark, words).union(lexicon(spark, {"it's", "low", "", "A"})))
     assert [*Graph(sent.value).words()] == sorted(words)
+    monkeypatch.setattr(automaton, "MOST_WORDS", 5)
+    assert broadcast_graph(lexicon(spark, words)) is None
     assert [*Graph(Graph.packed([])).words()] == [] and minimal([]) == ([0], [0], [])
 
 
@@ -79,7 +81,7 @@ def cells(grid):
     return [(i // 15, i % 15, x.upper(), x.islower()) for i, x in enumerate(grid) if x != "."]
 
 
-def test_moves_are_those_of_brute_force_and_of_the_join(spark):
+def test_moves_are_those_of_brute_force_and_of_the_join(spark, monkeypatch):
     rng = random.Random(2)
     words = some_words(rng, 250)
     graph = Graph(Graph.packed(sorted(words)))
@@ -88,6 +90,8 @@ def test_moves_are_those_of_brute_force_and_of_the_join(spark):
     got = found(movegen.generate_moves(positions, lexicon(spark, words)).collect())
     assert got == {k: want for k, (g, rack) in boards.items() if (want := all_moves(words, g, rack))} and len(got) >= 6
     assert found(movegen.joined_moves(positions, lexicon(spark, words)).collect()) == got
+    monkeypatch.setattr(automaton, "MOST_WORDS", 5)
+    assert found(movegen.generate_moves(positions, lexicon(spark, words)).collect()) == got  # a large lexicon stays where it is
 
 
 def test_moves_of_whole_racks_are_those_of_the_join(spark):

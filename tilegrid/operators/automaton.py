@@ -1,8 +1,8 @@
 """The lexicon as a minimal acyclic word graph: words that end alike share their endings, and all that begin alike their beginnings.
 
 A node is a mask of the letters that can follow (bit 26: a word ends here) and the place of its first edge; its edges lie in the order of
-their letters, so an edge is found by counting the mask's bits below its letter. The graph is built in one task, after a count has shown
-that the lexicon is small enough, and sent to the workers as bytes.
+their letters, so an edge is found by counting the mask's bits below its letter. The graph is built in one task, which stops where a lexicon
+proves too large, and sent to the workers as bytes.
 """
 
 from __future__ import annotations
@@ -88,20 +88,18 @@ class Graph:
             todo += [(text + chr(65 + k), int(self.targets[first + i])) for i, k in reversed([*enumerate(letters)])]
 
 
-def small(lexicon: DataFrame) -> bool:
-    """Whether a lexicon may be sent to all workers."""
-    return lexicon.limit(MOST_WORDS + 1).count() <= MOST_WORDS
-
-
-def broadcast_graph(lexicon: DataFrame) -> Broadcast:
-    """The graph of a ``small`` lexicon (word), as bytes on all workers."""
+def broadcast_graph(lexicon: DataFrame) -> Broadcast | None:
+    """The graph of a lexicon (word), as bytes on all workers; None if the lexicon has more than ``MOST_WORDS`` words. The lexicon is read once."""
     spark = lexicon.sparkSession
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {w for batch in batches for w in batch.column("word").to_pylist() if w}
+        words: set[str] = set()
+        for batch in batches:
+            words.update(w for w in batch.column("word").to_pylist() if w)
+            if len(words) > MOST_WORDS:
+                return
         yield pa.RecordBatch.from_arrays([pa.array([Graph.packed(sorted(words))], pa.binary())], ["graph"])
 
-    (row,) = lexicon.select("word").distinct().where("word RLIKE '^[A-Z]+$'").coalesce(1).mapInArrow(run, "graph binary").collect()
-    return spark.sparkContext.broadcast(bytes(row.graph))
-
+    rows = lexicon.select("word").where("word RLIKE '^[A-Z]+$'").distinct().coalesce(1).mapInArrow(run, "graph binary").collect()  # a row at most
+    return spark.sparkContext.broadcast(bytes(rows[0].graph)) if rows else None

@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tilegrid.functions.tiles import SIZE
 from tilegrid.operators import walk
-from tilegrid.operators.automaton import Graph, broadcast_graph, small
+from tilegrid.operators.automaton import Graph, broadcast_graph
 from tilegrid.operators.board import EMPTY, anchors, grid_of, line_of
 from tilegrid.operators.lexicon import feasible
 from tilegrid.operators.score import score_moves
@@ -97,9 +98,8 @@ def joined_moves(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return scored.select("move_id.id", "placements", "score", "words").dropDuplicates(["id", "placements"])
 
 
-def _kernel(positions: DataFrame, lexicon: DataFrame, make: Callable, schema: str) -> DataFrame:
+def _kernel(positions: DataFrame, sent: Broadcast, make: Callable, schema: str) -> DataFrame:
     """What ``make(graph, grids, racks)``, columns with the place of their board first, gives for the boards of each batch, with the boards' ids."""
-    sent = broadcast_graph(lexicon)
     rows = positions.select("id", grid_of(F.col("board")).alias("grid"), F.upper(F.coalesce("rack", F.lit(""))).alias("rack"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +130,21 @@ def _moves_of(graph: Graph, grids: list[str], racks: list[str]) -> tuple[np.ndar
 
 def generate_moves(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """id, placements, score, words of every legal move. ``positions``: id (one row each), rack, board."""
-    if not small(lexicon):
+    sent = broadcast_graph(lexicon)
+    if sent is None:
         return joined_moves(positions, lexicon)
-    moves = _kernel(positions, lexicon, _moves_of, f"placements array<{PLACEMENT}>, score int, words array<string>")
+    moves = _kernel(positions, sent, _moves_of, f"placements array<{PLACEMENT}>, score int, words array<string>")
     return moves.withColumn("words", F.array_sort(F.array_distinct("words")))
 
 
 def cross_checks(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """id, row, col, across, letters: for each empty square that a tile touches from across a line (``across``: the line is a row), the letters that make a word there.
 
-    The lexicon has to be a ``small`` one.
+    A lexicon that is too large for a word graph is an error.
     """
+    sent = broadcast_graph(lexicon)
+    if sent is None:
+        raise ValueError("cross-checks need a lexicon that fits into a word graph")
 
     def masks(graph: Graph, grids: list[str], racks: list[str]) -> tuple[np.ndarray, dict[str, pa.Array]]:
         lines = walk.lines_of(graph, walk.grids_of(grids))
@@ -150,7 +154,7 @@ def cross_checks(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
         texts = walk.mask_texts(lines.cross_mask[line, place])
         return line // (2 * SIZE), {**{k: pa.array(v.astype(np.int32)) for k, v in own.items()}, "across": pa.array(~column), "letters": pa.array(texts, pa.string())}
 
-    return _kernel(positions.withColumn("rack", F.lit("")), lexicon, masks, "row int, col int, across boolean, letters string")
+    return _kernel(positions.withColumn("rack", F.lit("")), sent, masks, "row int, col int, across boolean, letters string")
 
 
 def _order() -> tuple:

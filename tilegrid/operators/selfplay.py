@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from tilegrid.functions.tiles import ALPHABET, RACK, SIZE, TILES
 from tilegrid.operators import walk
-from tilegrid.operators.automaton import Graph, broadcast_graph, small
+from tilegrid.operators.automaton import Graph, broadcast_graph
 from tilegrid.operators.board import EMPTY, cells_of, position_key
 from tilegrid.operators.results import first_by, quota
 from tilegrid.plans.scratch import ensure_folder
@@ -123,9 +123,9 @@ _SHOT = f"game int, ply int, grid string, rack string, player int, bag_count int
 def play(spark: SparkSession, lexicon: DataFrame, games: int, seed: int = 20260412, plies: int = PLIES, snapshots: tuple[int, ...] = SNAPSHOTS, first: int = 1) -> DataFrame:
     """Positions after the plies of ``snapshots``: id, band_ply, source_game_id, source_seed, board, rack, player_to_move, bag_count, tiles_played,
     optimal_score, optimal_moves, canonical_optimal_move. A game in which a player can't move has no positions."""
-    if not small(lexicon):
-        raise ValueError("self-play needs a lexicon that fits into a word graph")
     sent = broadcast_graph(lexicon)
+    if sent is None:
+        raise ValueError("self-play needs a lexicon that fits into a word graph")
     draws = F.array(*(F.xxhash64(F.lit(seed), "game", F.lit(ply)) for ply in range(1, plies + 1)))
     rows = opening(spark, games, seed, first).select("game", "bag", "racks", draws.alias("draws"))
     schema = to_arrow_schema(StructType.fromDDL(_SHOT))
