@@ -13,7 +13,7 @@ from tilegrid.plans import analogs as a
 from tilegrid.plans.scratch import ensure_folder
 from tilegrid.plans.whole import TILES, boards
 from tilegrid.sources import files
-from tilegrid.streaming import live
+from tilegrid.streaming import growing, live, rollups, stalls
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -224,7 +224,12 @@ _KINDS = {"view": "attempt_started", "click": "output_delta", "purchase": "board
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as lines of a log of JSON, and some that aren't, followed as a stream of files. A position's score depends on run and position alone, so replays agree."""
+    """The events as a log, followed as a stream of files."""
+    return live.tail(spark, _log_files(spark, sf_dir))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events as lines of a log of JSON, and some that aren't. A position's score depends on run and position alone, so replays agree."""
     e, out = a.table(spark, sf_dir, "events"), _folder(spark, "log")
     kind = F.when(F.col("event_id") % 89 == 0, "run_completed")
     for name, stands in _KINDS.items():
@@ -233,7 +238,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("run_id"), place.cast("string").alias("position_id"), F.lit("content").alias("channel"), F.lit("x").alias("text"), ((F.col("user_id") * 7 + place * 3) % 50).alias("move_score"), F.lit(50).alias("optimal_score"))
     line = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(told))
     e.select(line.alias("value")).write.text(out)
-    return live.tail(spark, out)
+    return out
 
 
 _LOGGED = """l AS (SELECT event_id, CAST(user_id AS VARCHAR) AS run_id, CAST(event_id % 10 AS VARCHAR) AS position_id, CAST((user_id * 7 + event_id % 10 * 3) % 50 AS INTEGER) AS points, CASE WHEN event_id % 89 = 0 THEN 'run_completed'
@@ -252,6 +257,11 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOTALS = f"WITH {_LOGGED} SELECT run_id, count(*) AS boards, CAST(sum(points) AS BIGINT) AS points, CAST(50 * count(*) AS BIGINT) AS optimal FROM (SELECT DISTINCT run_id, position_id, points FROM l WHERE type = 'board_result') GROUP BY run_id"
 
 
+def growing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals from the source of growing files, which reads the log by byte positions."""
+    return _landed(spark, live.totals(live.events(growing.tail(spark, _log_files(spark, sf_dir)))), "complete")
+
+
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the followed log that can't be read."""
     return _landed(spark, live.dead_letters(_log(spark, sf_dir)), "append")
@@ -276,8 +286,41 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATES = f"WITH {_LOGGED} SELECT run_id, position_id, CASE WHEN bool_or(type = 'board_result') THEN 'done' ELSE 'streaming' END AS status, CAST(CASE WHEN bool_or(type = 'board_result') THEN max(points) ELSE 0 END AS INTEGER) AS move_score, CAST(count(*) FILTER (type = 'output_delta') AS INTEGER) AS chars FROM l WHERE type IN ('output_delta', 'board_result') GROUP BY run_id, position_id"
 
+def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-ups of all runs, kept up to date while their results arrive in files of a few batches."""
+    folder = _folder(spark, "results")
+    rows = a.results(spark, sf_dir).select("run_id", "move_score", "optimal_score", F.col("total_tokens").cast("long").alias("total_tokens"))
+    rows.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    held = rollups.followed(stream, _folder(spark, "rollups"), _folder(spark, "rollups-state")).current()
+    rounded = [F.round(c, 6).alias(c) for c in ("raw_points", "optimal_raw_points", "avg_total_tokens", "score_pct")]
+    return held.select(F.col("run_id").cast("long").alias("run_id"), "boards", *rounded, "min_total_tokens", "max_total_tokens")
+
+
+KEPT = f"""WITH {a.RESULTS} SELECT run_id, count(*) AS boards, round(sum(move_score), 6) AS raw_points, round(sum(optimal_score), 6) AS optimal_raw_points, round(avg(total_tokens), 6) AS avg_total_tokens,
+round(100 * sum(move_score) / sum(optimal_score), 6) AS score_pct, CAST(min(total_tokens) AS BIGINT) AS min_total_tokens, CAST(max(total_tokens) AS BIGINT) AS max_total_tokens FROM results GROUP BY run_id"""
+
+
+def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of all runs as a stream tells them that reads the log in four parts, by the log's own clock: how often each began, and each that ended with its gap."""
+    log, folder = a.log(spark, sf_dir).select("run_id", "seq", "at"), _folder(spark, "log")
+    bounds = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    step = (bounds.high - bounds.low) // 4 + 1 if bounds.low is not None else 1
+    for part in range(4 if bounds.low is not None else 0):
+        log.where((F.col("seq") - bounds.low) / step >= part).where((F.col("seq") - bounds.low) / step < part + 1).coalesce(1).write.mode("append").parquet(folder)
+    lines = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with stalls.rocksdb(spark):
+        told = _landed(spark, stalls.silences(lines, ["run_id"], "seq", "at"), "append")
+    return told.groupBy("run_id", "kind", "seq", "gap_seconds").agg(F.count("*").alias("n"))
+
+
+STALLS = f"""WITH {a.LOG}, s AS (SELECT run_id, seq, CAST(floor(epoch(moment)) AS BIGINT) AS t, lead(CAST(floor(epoch(moment)) AS BIGINT)) OVER (PARTITION BY run_id ORDER BY seq) AS next, lead(seq) OVER (PARTITION BY run_id ORDER BY seq) AS ended FROM log),
+told AS (SELECT * FROM s WHERE next - t > 60 OR (next IS NULL AND t * 1000 + 60001 <= (SELECT epoch_ms(max(moment)) - 60000 FROM log)))
+SELECT run_id, 'stalled' AS kind, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS gap_seconds, count(*) AS n FROM told GROUP BY run_id UNION ALL SELECT run_id, 'revived', ended, next - t, 1 FROM told WHERE next IS NOT NULL"""
+
+
 QUERIES = {
     model_metadata: METADATA, listed_models: LISTED, agent_models: AGENTS, agent_names: NAMES, thinking_variants: VARIANTS, model_search: SEARCHED, company_badges: BADGES, date_ticks: DATES, numbered_boards: NUMBERED,
     stored_results: STORED, settings_lines: SETTINGS, named_models: NAMED, stored_positions: POSITIONS, csv_lines: CSV, server_lines: SERVED, delta_texts: DELTAS, process_lines: PROCESS,
-    stream_totals: TOTALS, stream_dead_letters: DEAD, stream_finished: FINISHED, stream_positions: STATES,
+    stream_totals: TOTALS, stream_dead_letters: DEAD, stream_finished: FINISHED, stream_positions: STATES, stream_stalls: STALLS, growing_totals: TOTALS, incremental_rollup: KEPT,
 }
