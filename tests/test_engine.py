@@ -30,6 +30,12 @@ def test_queries_equal_their_sql(spark, name):
     assert rows_of_spark(catalogue.queries()[name](spark, SMALL)) == rows_of_sql(database(SMALL), catalogue.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.fixed()))
+def test_queries_of_fixed_rows(spark, name):
+    query, sql = catalogue.fixed()[name]
+    assert rows_of_spark(query(spark, SMALL)) == rows_of_sql(database(SMALL), sql)
+
+
 def test_tiles():
     assert sum(TILES.values()) == 100 and len(POINTS) == 27
     assert [sum(x == k for x in LABELS.values()) for k in ("TW", "DW", "TL", "DL")] == [8, 17, 12, 24]

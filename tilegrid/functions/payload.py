@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilegrid.operators.board import let
 from tilegrid.schemas import RAW_PLACEMENT
 
 NO_JSON, NO_TOOL, NO_LIST = "Response did not contain JSON.", "Response did not use the play_move tool envelope.", "Tool payload is missing arguments.placements."
@@ -27,7 +28,10 @@ def _whole(text: Column) -> Column:
 
 def json_in(text: Column) -> Column:
     """The reply's JSON: all of it, or else from its first opening to its last closing brace; null if neither can be read."""
-    bare = unfenced(text)
+    return let(unfenced(text), _json_in)
+
+
+def _json_in(bare: Column) -> Column:
     start, end = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
     inner = F.when((start > 0) & (F.instr(bare, "}") > 0) & (end > start), F.substr(bare, start, end - start + 1))
     return F.coalesce(_whole(bare), F.when(F.try_parse_json(inner).isNotNull(), inner))
@@ -35,12 +39,14 @@ def json_in(text: Column) -> Column:
 
 def tool_call(text: Column) -> Column:
     """(error, placements): the placements of a play_move reply, or what is wrong with it."""
-    body = json_in(text)
-    parsed = F.try_parse_json(body)
+    return let(F.try_parse_json(json_in(text)), _tool_call)
+
+
+def _tool_call(parsed: Column) -> Column:
     tool = F.try_variant_get(parsed, "$.tool", "string")
     listed = F.try_variant_get(parsed, "$.arguments.placements", f"array<{RAW_PLACEMENT}>")
     is_list = F.startswith(F.schema_of_variant(F.try_variant_get(parsed, "$.arguments.placements", "variant")), F.lit("ARRAY"))
-    error = F.when(body.isNull(), NO_JSON).when(~F.coalesce(tool == "play_move", F.lit(False)), NO_TOOL).when(~F.coalesce(is_list, F.lit(False)), NO_LIST)
+    error = F.when(parsed.isNull(), NO_JSON).when(~F.coalesce(tool == "play_move", F.lit(False)), NO_TOOL).when(~F.coalesce(is_list, F.lit(False)), NO_LIST)
     return F.struct(error.alias("error"), F.when(error.isNull(), listed).alias("placements"))
 
 
@@ -54,7 +60,11 @@ def text_of(value: Column) -> Column:
 
 def placements_text(text: Column) -> Column:
     """The placements of a reply, for display."""
-    call = tool_call(text)
+    return let(tool_call(text), call_text)
+
+
+def call_text(call: Column) -> Column:
+    """The placements of a ``tool_call``, for display."""
     one = lambda p: F.concat(F.lit("("), p.row, F.lit(","), p.col, F.lit(")="), F.upper(p.letter))
     listed = F.array_join(F.transform(F.filter(call.placements, lambda p: p.isNotNull()), one), ", ")
     return F.when(call.error.isNotNull() | call.placements.isNull(), "(could not parse placements from previous response)").when(F.size(call.placements) == 0, "(none)").otherwise(listed)

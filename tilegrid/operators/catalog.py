@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilegrid.operators.results import numbered_by_range
+
 # Names of agents, and the id each stands for.
 AGENT_NAMES = {"claude-code": "claude", "claude": "claude", "opencode": "opencode", "open-code": "opencode", "codex-cli": "codex", "codex": "codex"}
 #: Values of ``visibility`` that list a model.
@@ -41,7 +43,7 @@ def searched(models: DataFrame, agents: DataFrame, needle: str) -> DataFrame:
     ways = [("openrouter", models), ("cli", agents)]
     both = merged(*(tagged(search(rows, needle), source) for source, rows in (ways[::-1] if like_agent else ways)))
     lead = F.when(F.contains(F.lower("slug"), F.lit(text)), 0).otherwise(1)
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("branch").orderBy(lead, "slug"))).orderBy("branch", "place")
+    return numbered_by_range(both, "branch", "place", lead, F.col("slug")).orderBy("branch", "place")
 
 
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -98,8 +100,8 @@ def slug_parts(slug: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("agent"), F.nullif(F.trim(F.get(parts, F.lit(2))), F.lit("")).alias("model"))
 
 
-def agent_metadata(agents: DataFrame) -> DataFrame:
-    """model_id, model_name, company_slug, supports_reasoning, reasoning_effort of agents (id, name, model, effort) as models."""
+def agent_metadata(agents: DataFrame, *more: str) -> DataFrame:
+    """model_id, model_name, company_slug, supports_reasoning, reasoning_effort of agents (id, name, model, effort) as models, and ``more`` of their columns."""
     model, effort = F.nullif(F.trim("model"), F.lit("")), F.nullif(F.lower(F.trim("effort")), F.lit(""))
     name = F.concat("name", F.lit(" ("), F.coalesce(model, F.lit("default")), F.lit(")"), F.coalesce(F.concat(F.lit(" ["), effort, F.lit("]")), F.lit("")))
-    return agents.select(F.concat_ws("/", F.lit("cli"), "id", model).alias("model_id"), name.alias("model_name"), F.lit("cli").alias("company_slug"), effort.isNotNull().alias("supports_reasoning"), F.coalesce(effort, F.lit("cli")).alias("reasoning_effort"))
+    return agents.select(F.concat_ws("/", F.lit("cli"), "id", model).alias("model_id"), name.alias("model_name"), F.lit("cli").alias("company_slug"), effort.isNotNull().alias("supports_reasoning"), F.coalesce(effort, F.lit("cli")).alias("reasoning_effort"), *more)

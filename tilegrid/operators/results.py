@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilegrid.plans.scratch import ensure_folder
 from tilegrid.schemas import MOVE, TRACE_EVENT
 
 BOARD_COLUMNS = (
@@ -85,6 +88,24 @@ def numbered(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumns({"index": F.row_number().over(Window.partitionBy(key).orderBy(*order)), "total": F.count("*").over(Window.partitionBy(key)).cast("int")})
 
 
+def numbered_by_range(rows: DataFrame, key: str, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their place (from 1) within their key as ``name``, however many rows a key has.
+
+    Rows are dealt to tasks by ranges of key and order and kept in the shared folder; a row's place is that within its range and the sizes of the ranges before.
+    """
+    spark = rows.sparkSession
+    named = rows.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    keys = [key, *(f"_o{i}" for i in range(len(order)))]
+    dealt = named.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    folder = f"{ensure_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    dealt.write.parquet(folder)
+    kept = spark.read.schema(dealt.schema).parquet(folder)
+    sizes = kept.groupBy(key, "_range").agg(F.count("*").alias("_n"))  # a row for each range and key
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*keys[1:]))
+    return kept.withColumn("_own", own).join(before, [key, "_range"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).select(*rows.columns, name)
+
+
 def decoded(results: DataFrame) -> DataFrame:
     """``results`` with ``parsed_move`` and ``attempt_trace`` as they are read: null where nothing is stored."""
     move = F.from_json(F.nullif("parsed_move", F.lit("")), MOVE)

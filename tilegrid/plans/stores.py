@@ -73,8 +73,7 @@ def agent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     effort = F.element_at(F.array(F.lit("LOW"), F.lit(None).cast("string"), F.lit(""), F.lit(" high"), F.lit("none")), F.col("k"))
     slug = F.concat(F.lit(" cli/"), F.lower("c_mktsegment"), F.when(F.col("k") > 2, F.concat(F.lit("/m/"), F.col("c_custkey").cast("string"))).otherwise(""))
     rows = c.select("c_custkey", catalog.agent_id(written).alias("id"), F.col("c_name").alias("name"), catalog.slug_parts(slug).alias("p"), effort.alias("effort"))
-    own = rows.select("id", "name", F.col("p.model").alias("model"), "effort")
-    return catalog.agent_metadata(own).join(rows.select(F.col("name").alias("own"), "c_custkey", "p.kind", "p.agent"), F.startswith("model_name", F.concat("own", F.lit(" (")))).drop("own")
+    return catalog.agent_metadata(rows.select("c_custkey", "id", "name", "effort", "p.*"), "c_custkey", "kind", "agent")
 
 
 NAMES = """WITH c AS (SELECT c_custkey, c_name AS name, c_custkey % 5 AS k, lower(c_mktsegment) AS agent FROM customer),
@@ -235,7 +234,7 @@ def _log_files(spark: SparkSession, sf_dir: str) -> str:
     for name, stands in _KINDS.items():
         kind = F.when(kind.isNull() & (F.col("event_type") == name), stands).otherwise(kind)
     place = F.col("event_id") % 10
-    told = F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("run_id"), place.cast("string").alias("position_id"), F.lit("content").alias("channel"), F.lit("x").alias("text"), ((F.col("user_id") * 7 + place * 3) % 50).alias("move_score"), F.lit(50).alias("optimal_score"))
+    told = F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("run_id"), place.cast("string").alias("position_id"), F.lit("content").alias("channel"), F.lit("x").alias("text"), ((F.col("user_id") * 7 + place * 3) % 50).alias("move_score"), F.lit(50).alias("optimal_score"), F.col("event_id").cast("int").alias("elapsed_ms"), (F.col("event_id") % 2 + 1).cast("int").alias("attempt_index"))
     line = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(told))
     e.select(line.alias("value")).write.text(out)
     return out
@@ -279,12 +278,18 @@ FINISHED = f"WITH {_LOGGED} SELECT run_id, type FROM l WHERE type = 'run_complet
 
 
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each position of the followed log's results and deltas."""
-    own = live.events(_log(spark, sf_dir)).where(F.col("type").isin("output_delta", "board_result"))
-    return _landed(spark, live.positions(own), "update").groupBy("run_id", "position_id").agg(F.max_by(F.struct("status", "move_score", F.length("content").alias("chars")), F.struct(F.length("content"), "move_score")).alias("s")).select("run_id", "position_id", "s.*")
+    """The last state of each position of the followed log, whose lines of all kinds are folded in order."""
+    states = _landed(spark, live.positions(live.events(_log(spark, sf_dir)), order="elapsed_ms"), "update")
+    last = states.groupBy("run_id", "position_id").agg(F.max_by(F.struct("status", "attempt_index", "move_score", "optimal_score", F.length("content").alias("chars")), "batch").alias("s"))
+    return last.select("run_id", "position_id", "s.*")
 
 
-STATES = f"WITH {_LOGGED} SELECT run_id, position_id, CASE WHEN bool_or(type = 'board_result') THEN 'done' ELSE 'streaming' END AS status, CAST(CASE WHEN bool_or(type = 'board_result') THEN max(points) ELSE 0 END AS INTEGER) AS move_score, CAST(count(*) FILTER (type = 'output_delta') AS INTEGER) AS chars FROM l WHERE type IN ('output_delta', 'board_result') GROUP BY run_id, position_id"
+STATES = f"""WITH {_LOGGED}, p AS (SELECT run_id, position_id, coalesce(max(event_id) FILTER (type = 'attempt_started'), -1) AS started, max(event_id) FILTER (type = 'board_result') AS scored,
+  arg_max(type, event_id) FILTER (type IN ('attempt_started', 'board_result', 'attempt_invalid')) AS last FROM l GROUP BY ALL)
+SELECT run_id, position_id, CASE last WHEN 'board_result' THEN 'done' WHEN 'attempt_invalid' THEN 'invalid' ELSE 'streaming' END AS status, CAST(coalesce(any_value(s.event_id % 2 + 1), 0) AS INTEGER) AS attempt_index,
+  coalesce(any_value(r.points), 0) AS move_score, CAST(CASE WHEN scored IS NULL THEN 0 ELSE 50 END AS INTEGER) AS optimal_score, CAST(count(*) FILTER (l.type = 'output_delta' AND l.event_id > started) AS INTEGER) AS chars
+FROM p JOIN l USING (run_id, position_id) LEFT JOIN l AS s ON s.event_id = started LEFT JOIN l AS r ON r.event_id = scored GROUP BY run_id, position_id, last, scored"""
+
 
 def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roll-ups of all runs, kept up to date while their results arrive in files of a few batches."""

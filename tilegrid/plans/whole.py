@@ -152,8 +152,8 @@ _REPLIES = {
 def reply_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies, fenced, amid prose, of other tools, without a list and without JSON, one for each event."""
     rows = _k(spark, sf_dir).withColumn("reply", _of(_REPLIES))
-    call = rows.select("event_id", payload.tool_call(F.col("reply")).alias("c"), payload.placements_text(F.col("reply")).alias("shown"))
-    return call.select("event_id", "c.error", F.when(F.col("c.error").isNull(), F.size("c.placements")).alias("n"), "shown")
+    told = lambda c: F.struct(c.error.alias("error"), F.when(c.error.isNull(), F.size(c.placements)).alias("n"), payload.call_text(c).alias("shown"))
+    return rows.select("event_id", board.let(payload.tool_call(F.col("reply")), told).alias("t")).select("event_id", "t.*")
 
 
 PAYLOADS = f"""WITH {_E} SELECT event_id, CASE kind WHEN 'purchase' THEN 'Response did not use the play_move tool envelope.' WHEN 'signup' THEN 'Tool payload is missing arguments.placements.' WHEN 'error' THEN 'Response did not contain JSON.' END AS error,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilegrid.operators.results import first_by
@@ -37,7 +37,31 @@ def write_positions(positions: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table; a missing one is empty, columns that older files lack are null."""
-    return spark.read.schema(schema).option("mergeSchema", True).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_version(rows: DataFrame, folder: str, version: int) -> None:
+    """Append rows to a version of a table; each version has columns of its own."""
+    rows.write.mode("append").parquet(f"{folder}/version={version}")
+
+
+def read_versions(spark: SparkSession, folder: str, schema: str, defaults: dict[int, dict[str, object]]) -> DataFrame:
+    """All versions of a table as one of ``schema``: the files' own schemas are merged, columns that no version has are null, and ``defaults`` has the values that a
+    version's rows get where they have none. Nulls of other versions stay."""
+    wanted = spark.createDataFrame([], schema).schema
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], wanted)
+    rows = spark.read.option("mergeSchema", True).option("basePath", folder).parquet(f"{folder}/version=*")
+
+    def column(field) -> Column:
+        own = F.col(field.name) if field.name in rows.columns else F.lit(None)
+        own = own.cast(field.dataType)
+        for version, values in defaults.items():
+            if field.name in values:
+                own = F.when(F.col("version") == version, F.coalesce(own, F.lit(values[field.name]).cast(field.dataType))).otherwise(own)
+        return own.alias(field.name)
+
+    return rows.select(*map(column, wanted.fields))
 
 
 def with_effort(runs: DataFrame) -> DataFrame:

@@ -32,12 +32,15 @@ def follow(stream: DataFrame, write, checkpoint: str, every: str = "250 millisec
 
 
 def landed(stream: DataFrame, folder: str, checkpoint: str, mode: str) -> DataFrame:
-    """What a stream makes of all that lies in its source now, through files in ``folder``: all rows of an appending stream, the last state of a complete one."""
+    """What a stream makes of all that lies in its source now, through files in ``folder``: all rows of an appending stream, the last state of a complete one,
+    and every state of an updating one, with ``batch``: the last of a key's counts."""
     spark = stream.sparkSession
     write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/batch={n}")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
     query.awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(f"{folder}/batch=*")
+    if mode == "update":
+        return spark.read.schema(f"{_ddl(stream)}, batch int").parquet(folder)
     if mode != "complete":
         return rows
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -45,6 +48,10 @@ def landed(stream: DataFrame, folder: str, checkpoint: str, mode: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{folder}/batch={max(batches)}")
 
 
+def _ddl(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """``value`` as an event; lines that aren't have a null ``event``."""
     event = F.from_json("value", RUN_EVENT)
@@ -80,10 +87,11 @@ def finished(stream: DataFrame) -> DataFrame:
 _STATE = "run_id string, position_id string, status string, attempt_index int, move_score int, optimal_score int, content string, reasoning string"
 
 
-def positions(stream: DataFrame, idle: str | None = None) -> DataFrame:
+def positions(stream: DataFrame, idle: str | None = None, order: str | None = None) -> DataFrame:
     """The state of each position as it changes: status, attempt, scores, and the texts of the current attempt.
 
-    An attempt's start clears the texts, each delta adds to its channel's, and a result or an invalid attempt sets the status.
+    An attempt's start clears the texts, each delta adds to its channel's, and a result or an invalid attempt sets the status; other events change nothing.
+    ``order``: the column that puts a position's lines of a batch in order, which they lose on their way; without it they must come one file at a time.
     ``idle``: forget positions that saw nothing for so long (in milliseconds), by processing time.
     """
 
@@ -92,7 +100,7 @@ def positions(stream: DataFrame, idle: str | None = None) -> DataFrame:
             state.remove()
             return
         status, attempt, score, optimum, content, reasoning = state.get if state.exists else ("streaming", 0, 0, 0, "", "")
-        for batch in batches:
+        for batch in [pd.concat([*batches]).sort_values(order, kind="stable")] if order else batches:
             for e in batch.to_dict("records"):
                 kind = e["type"]
                 if kind == "attempt_started":
