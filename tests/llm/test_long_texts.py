@@ -78,19 +78,19 @@ def test_pieces_change_nothing(monkeypatch):
 MEMORY = """
 import resource, sys
 import numpy as np, pyarrow as pa
-from tilegrid.llm import features, neardup, token_files
+from tilegrid.llm import crc, features, fingerprints, kernels, linededup, neardup, token_files
 from tilegrid.llm.queries import vocabulary
 rng = np.random.default_rng(1)
 words = np.array([f"w{i}" for i in range(30_000)])
 part = " ".join(rng.choice(words, 1_000_000))
 column = pa.array([(part + "\\n") * (100_000_000 // len(part))])
 del part
-did = {"op2": lambda: features.gram_features(column), "op5": lambda: neardup.signatures(neardup.shingle_sets(column)), "op6": lambda: list(features.word_counts(column)), "op9": lambda: token_files.Encoder(vocabulary("word_bpe_49k.json")).ids(column)}[sys.argv[1]]()
+did = {"op2": lambda: features.gram_features(column), "op5": lambda: neardup.signatures(neardup.shingle_sets(column)), "op6": lambda: list(features.word_counts(column)), "op9": lambda: token_files.Encoder(vocabulary("word_bpe_49k.json")).ids(column), "op4": lambda: [len(linededup.line_keys(p, linededup.ALLOWED, set())[0]) for p in linededup.line_pieces(t.as_py() for t in column)], "op11": lambda: [len(c) for c, *_ in crc.run_crcs(column, 2)], "op12": lambda: fingerprints.simhashes(*kernels.texts_of(column))}[sys.argv[1]]()
 print(column.nbytes / 1e6, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1e3)
 """
 
 
-@pytest.mark.parametrize("name", ["op2", "op5", "op6", "op9"])
+@pytest.mark.parametrize("name", ["op2", "op4", "op5", "op6", "op9", "op11", "op12"])
 def test_a_text_of_100_mb_takes_under_1_gb(name):
     root = str(Path(__file__).resolve().parent.parent.parent)
     out = subprocess.run([sys.executable, "-c", MEMORY, name], cwd=root, capture_output=True, text=True, timeout=300)

@@ -135,10 +135,64 @@ def test_linked_lines_share_a_key(seed, allowed):
     a = "".join(rng.choice("abcdé ") for _ in range(rng.choice([*range(3, 41), rng.randint(3, 70)])))
     b = edited(rng, a, rng.randint(1, allowed[-1][1]))
     if a != b and may_link(a, b, allowed):
-        (ka, oa), (kb, ob) = (line_keys(pa.array([x]), allowed, set()) for x in (a, b))
+        (ka, oa), (kb, ob) = (line_keys(x, allowed, set()) for x in (a, b))
         assert {k for k, o in zip(ka, oa, strict=True) if o & 1} & set(kb) or {k for k, o in zip(kb, ob, strict=True) if o & 1} & set(ka)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**9))
+def test_long_lines_share_keys_with_each_other_and_with_shorter_ones(seed):
+    """Lines about as long as a piece: some are hashed at once, some substring by substring."""
+    rng = random.Random(seed)
+    a = "".join(rng.choice("abcdé") for _ in range(rng.randint(46, 54)))
+    b = edited(rng, a, rng.randint(1, 2))
+    was, linededup.PIECE = linededup.PIECE, 50
+    try:
+        (ka, oa), (kb, ob) = (line_keys(x, ALLOWED, set()) for x in (a, b))
+    finally:
+        linededup.PIECE = was
+    if may_link(a, b):
+        assert {k for k, o in zip(ka, oa, strict=True) if o & 1} & set(kb) or {k for k, o in zip(kb, ob, strict=True) if o & 1} & set(ka)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**9), st.integers(0, 3))
+def test_distance_along_diagonals(seed, edits):
+    rng = random.Random(seed)
+    a = "".join(rng.choice("ab") for _ in range(rng.randint(6, 25)))
+    b = rng.choice([edited(rng, a, rng.randint(0, 4)), "", a[:3], a + "ab"])
+    code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    assert linededup.far_apart(code(a), code(b), edits) == min(distance(a, b), edits + 1)
+
+
+def test_pieces_hold_all_lines(monkeypatch):
+    monkeypatch.setattr(linededup, "PIECE", 20)
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = ["\n".join("x" * rng.choice([0, 1, 5, 19, 20, 21, 60]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 4))]
+        pieces = [*linededup.line_pieces(iter(texts))]
+        assert [line for p in pieces for line in p.split("\n")] == [line for t in texts for line in t.split("\n")]
+        assert all(len(p) <= 42 or "\n" not in p for p in pieces)
+
+
+def test_long_lines_are_linked(spark, monkeypatch):
+    """Lines over a piece and the limit of the banded distance, compared with brute force."""
+    for name, value in (("PIECE", 60), ("LONG", 50)):
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(12)
+    bases = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (40, 49, 52, 59, 60, 61, 62, 90, 200)]
+    lines = [edited(rng, b, rng.randint(0, 3)) for b in bases for _ in range(6)]
+    rows = linededup.line_counts(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").coalesce(1)).collect()
+    got = {r.doc_id: r.line_classes[0] for r in rows}
+    least = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if may_link(lines[i], lines[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    assert len({*zip((got[i] for i in range(len(lines))), least, strict=True)}) == len({*got.values()}) == len({*least})
+
+
 @pytest.mark.parametrize(("block", "frequent"), [(1024, 32), (5, 4)])
 def test_line_classes(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(linededup, "BLOCK", block)

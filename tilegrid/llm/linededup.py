@@ -14,7 +14,8 @@ a task. Linked lines form a class; its first line, in the order of doc_id and pl
 
 Defined cases: null and empty texts have no lines; lines without a word are neither counted nor removed; rows with a null doc_id
 come first; equal rows count as one document, in which a line may stay; an empty table gives an empty result; further columns
-are ignored by ``line_counts`` and stay in ``drop_repeated_lines``.
+are ignored by ``line_counts`` and stay in ``drop_repeated_lines``. Texts of any length are keyed in pieces of about a million
+characters cut at line ends; a longer line is a piece of its own, of which only the few substrings that it is looked up by are hashed.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.llm.graph import Sets, components
-from tilegrid.llm.kernels import U64, _powers, mix, tidied
+from tilegrid.llm.kernels import PIECE, U64, _powers, mix, tidied
 from tilegrid.llm.shared import SPACE, bound_batches, dropped, packed, small, written
 
 #: (characters, edits): from so many characters on so many edits are allowed, in ascending order.
 ALLOWED = ((16, 1), (32, 2))
 #: Lines of a block; lines that a task remembers having told; and linked candidates up to which a broadcast is allowed (16 bytes each).
 BLOCK, REMEMBERED, MOST_BROADCAST = 1024, 200_000, 2_000_000
+#: Characters from which two lines are compared by themselves, along diagonals.
+LONG = 1 << 13
 #: Lines of a small group, and pairs that wait to be compared at once.
 FEW, WAITING = 8, 2048
 #: Documents, about, that tell which keys are frequent; lines among them that make a key frequent; and parts that it is salted into.
@@ -64,11 +66,61 @@ def allowance(size: np.ndarray, allowed: tuple) -> np.ndarray:
     return steps[np.searchsorted([n for n, _ in allowed], size, "right")]
 
 
-def line_keys(column: pa.Array, allowed: tuple, told: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of the lines of a batch: node is the line's hash with its last bit telling an indexed segment (1) from a probe (0)."""
-    texts = column.fill_null("")
-    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 1)))[:-1]
-    whole = "\n".join(texts.to_pylist())
+def line_pieces(texts: Iterator[str]) -> Iterator[str]:
+    """All lines of some texts, in pieces of about ``PIECE`` characters that cut no line; a line longer than that is a piece of its own."""
+    held, size = [], 0
+    for text in texts:
+        at = 0
+        while at <= len(text):
+            stop = len(text)
+            if stop - at > PIECE:
+                stop = text.rfind("\n", at, at + PIECE)
+                if stop < 0:  # a long line
+                    end = text.find("\n", at + PIECE)
+                    stop = len(text) if end < 0 else end
+                    if held:
+                        yield "\n".join(held)
+                        held, size = [], 0
+                    yield text[at:stop]
+                    at = stop + 1
+                    continue
+            held.append(text[at:stop])
+            size += stop - at + 1
+            at = stop + 1
+            if size >= PIECE:
+                yield "\n".join(held)
+                held, size = [], 0
+    if held:
+        yield "\n".join(held)
+
+
+def _node(line: bytes) -> int:
+    h = xxhash.xxh64_intdigest(line, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def long_line_keys(line: str, allowed: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """As ``line_keys``, of one line of any length over ``PIECE``: each of its few substrings is hashed by itself, without sums over the line."""
+    node, edits = _node(line.encode()), allowed[-1][1]
+    keys, owners = [], []
+    for less, i, shift in probes(edits):
+        size = len(line) - less
+        place, length = (int(x[0]) for x in segments(np.array([size]), edits)[i])
+        part = line[place + shift : place + shift + length]
+        if size > PIECE:
+            h = xxhash.xxh3_64_intdigest(part.encode())
+        else:  # as in the lines of up to a piece that it could be linked with
+            codes = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
+            h = int((mix(codes + U64(0x9E3779B97F4A7C15)) * _powers(length)[0][:length]).sum(dtype=U64))
+        keys.append((h + (size * 16 + i) * 0xD6E8FEB86659FD93) & (1 << 64) - 1)
+        owners.append(node & ~1 | (less == 0 and shift == 0))
+    return mix(np.array(keys, U64)).view(np.int64), np.array(owners)
+
+
+def line_keys(whole: str, allowed: tuple, told: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) of the lines of a text: node is the line's hash with its last bit telling an indexed segment (1) from a probe (0)."""
+    if len(whole) > PIECE and "\n" not in whole:
+        return long_line_keys(whole, allowed)
     raw = whole.encode()
     chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     breaks = np.flatnonzero(chars == 10)
@@ -136,6 +188,34 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarra
     return distance
 
 
+def far_apart(x: np.ndarray, y: np.ndarray, edits: int) -> int:
+    """The edit distance of two long lines if it is at most ``edits``, else one more: how far each diagonal reaches with so many edits (Ukkonen, 1985)."""
+
+    def same(i: int, j: int) -> int:
+        """How many characters are equal from there on."""
+        n, step = 0, 1 << 16
+        while True:
+            a, b = x[i + n : i + n + step], y[j + n : j + n + step]
+            size = min(len(a), len(b))
+            other = np.flatnonzero(a[:size] != b[:size])
+            if len(other) or not size:
+                return n + (int(other[0]) if len(other) else 0)
+            n += size
+
+    reach: dict[int, int] = {}  # by how far y is ahead: the place in x
+    for done in range(edits + 1):
+        new = {}
+        for ahead in range(-done, done + 1):
+            i = max(reach[ahead] + 1 if ahead in reach else -1, reach[ahead + 1] + 1 if ahead + 1 in reach else -1, reach.get(ahead - 1, -1)) if done else 0
+            i = min(i, len(x), len(y) - ahead)
+            if i >= 0 and i + ahead >= 0:
+                new[ahead] = i + same(i, i + ahead)
+                if new[ahead] == len(x) and new[ahead] + ahead == len(y):
+                    return done
+        reach = new
+    return edits + 1
+
+
 class _Links:
     """Collects the links between lines that share a key. Pairs of small groups wait until there are many to compare at once."""
 
@@ -160,7 +240,10 @@ class _Links:
                 if fits and pair not in self.seen and np.abs(bins[i] - bins[j]).sum() <= 2 * most:
                     if len(self.seen) < REMEMBERED:
                         self.seen.add(pair)
-                    self.waiting.append((pair, codes[i], codes[j], most))
+                    if max(len(codes[i]), len(codes[j])) > LONG:
+                        self.found += [pair] * (far_apart(codes[i], codes[j], most) <= most)
+                    else:
+                        self.waiting.append((pair, codes[i], codes[j], most))
         if len(self.waiting) >= WAITING:
             self.flush()
 
@@ -187,7 +270,10 @@ class _Links:
             others = [y for y in others.tolist() if joined.find(y) != root]
             for a in range(0, len(others), 256):
                 part = np.array(others[a : a + 256])
-                far = distances([codes[x]] * len(part), [codes[y] for y in part], self.most)
+                if size[x] + self.most > LONG:
+                    far = np.array([far_apart(codes[x], codes[y], self.most) for y in part])
+                else:
+                    far = distances([codes[x]] * len(part), [codes[y] for y in part], self.most)
                 for y in part[far <= most[part]].tolist():
                     if joined.join(x, y):
                         self.found.append((int(ids[x]), int(ids[y])))
@@ -206,8 +292,8 @@ def _keyed(docs: DataFrame, allowed: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        for batch in batches:
-            key, node = line_keys(batch.column("text"), allowed, told)
+        for whole in line_pieces(text.as_py() for batch in batches for text in batch.column("text") if text.is_valid):
+            key, node = line_keys(whole, allowed, told)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
     return docs.select("text").mapInArrow(lambda batches: tidied(run(batches)), "key long, node long")
