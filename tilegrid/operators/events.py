@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilegrid.functions.payload import text_of
 from tilegrid.functions.texts import shortened
 from tilegrid.operators.board import let
+from tilegrid.operators.traces import STALL_SECONDS
 
 # Kinds of items that hold an answer, and that hold reasoning.
 ANSWERS, THOUGHTS = ("agent_message", "assistant_message", "message"), ("reasoning", "thought", "thinking")
@@ -110,6 +111,44 @@ def provider_answer(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("key").agg(text("content").alias("content"), text("reasoning").alias("reasoning"), last("total_tokens").alias("total_tokens"), last("provider").alias("provider"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"))
 
 
+def streamed_answers(lines: DataFrame, stall_ms: int = 1000 * STALL_SECONDS) -> DataFrame:
+    """What a gateway's stream comes to, line by line as it was received. ``lines``: key, seq, line, at_ms (since the request).
+
+    key, outcome, content, reasoning, total_tokens (the last given), events: the trace. A stream ends with its last line (``streamed``), with the first line that tells an error or can't be
+    read, or with the first line that comes more than ``stall_ms`` after the last output of the model (at first, after the first line). A stall, and an error before any output, ask for the
+    answer to be fetched at once instead (``fallback``); an error after some output is a failure (``failed``). What came before is kept.
+    """
+    order = Window.partitionBy("key").orderBy("seq")
+    data = F.when(F.startswith("line", F.lit("data:")), F.nullif(F.trim(F.substring("line", 6, 1 << 30)), F.lit("")))
+    rows = lines.select("key", "seq", "at_ms", F.nullif(data, F.lit("[DONE]")).alias("data")).withColumn("v", F.try_parse_json("data"))
+    get = lambda path: F.try_variant_get("v", path, "variant")
+    said = F.nullif(text_of(get("$.choices[0].delta.content")), F.lit(""))
+    thought = F.coalesce(*(F.nullif(text_of(get(f"$.choices[0].delta.{c}")), F.lit("")) for c in ("reasoning", "reasoning_content")))
+    wrong = F.col("data").isNotNull() & (F.col("v").isNull() | get("$.error").isNotNull())
+    rows = rows.select("key", "seq", "at_ms", said.alias("content"), thought.alias("reasoning"), F.try_variant_get("v", "$.usage.total_tokens", "int").alias("total_tokens"), wrong.alias("wrong"))
+    spoke = F.coalesce("content", "reasoning").isNotNull()
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"last": F.last(F.when(spoke, F.col("at_ms")), ignorenulls=True).over(before), "opened": F.first("at_ms").over(order)})
+    rows = rows.withColumn("stalled", F.col("at_ms") - F.coalesce("last", "opened") > stall_ms)
+    rows = rows.withColumn("broken", F.max(F.col("stalled") | F.col("wrong")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept, first = ~F.col("broken"), F.col("broken") & ~F.coalesce(F.lag("broken").over(order), F.lit(False))
+    event = lambda kind, at, delta=None, chars=None: F.struct(F.lit(kind).alias("type"), at.cast("int").alias("elapsed_ms"), *((F.lit(None) if x is None else x).cast("int").alias(n) for x, n in ((delta, "delta_ms"), (chars, "chars"))))
+    delta = lambda c, since: F.when(F.col(c).isNotNull(), event(f"{c}_delta", F.col("at_ms"), since, F.length(c)))
+    since = F.col("at_ms") - F.coalesce("last", F.lit(0))
+    told = F.filter(F.array(delta("content", since), delta("reasoning", F.when(F.col("content").isNull(), since).otherwise(0))), lambda e: e.isNotNull())
+    rows = rows.withColumns({"told": F.when(kept, told), "end": F.when(first, F.when(F.col("stalled"), "stalled").otherwise("wrong"))})
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept & F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c]), "")
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("seq", "told")))), lambda x: x.told))
+    out = rows.groupBy("key").agg(
+        F.max("end").alias("end"), text("content").alias("content"), text("reasoning").alias("reasoning"), F.max_by("total_tokens", F.when(kept & F.col("total_tokens").isNotNull(), F.col("seq"))).alias("total_tokens"),
+        listed.alias("told"), F.min("opened").alias("opened"), F.max("at_ms").alias("closed"))
+    nothing = (F.col("content") == "") & (F.col("reasoning") == "")
+    outcome = F.when(F.col("end").isNull(), "streamed").when((F.col("end") == "stalled") | nothing, "fallback").otherwise("failed")
+    head = F.array(event("request_sent", F.lit(0)), event("stream_opened", F.col("opened")), event("first_stream_bytes", F.col("opened")))
+    tail = F.when(F.col("end").isNull(), F.array(event("stream_done", F.col("closed")))).otherwise(F.array().cast("array<struct<type:string,elapsed_ms:int,delta_ms:int,chars:int>>"))
+    return out.select("key", outcome.alias("outcome"), "content", "reasoning", "total_tokens", F.concat(head, "told", tail).alias("events"))
+
+
 def final_answer(events: DataFrame) -> DataFrame:
     """key, text: the last complete answer of each key; a closing repetition counts only if nothing came before. ``events``: key, seq, text, channel, event_type."""
     said = events.where((F.col("channel") == "content") & (F.col("text") != ""))

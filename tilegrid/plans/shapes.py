@@ -128,6 +128,36 @@ CAST(won IS DISTINCT FROM 1 AS INTEGER) AS retry_used, CAST(CASE WHEN won IS NUL
 CAST(CASE WHEN won IS NOT NULL THEN 10 * won WHEN two = 'outside' THEN 20 WHEN one = 'wrong' THEN 10 ELSE 0 END AS INTEGER) AS total_tokens, CAST(CASE WHEN won IS NOT NULL THEN 100 * won WHEN two = 'outside' THEN 200 WHEN one = 'wrong' THEN 100 ELSE 0 END AS INTEGER) AS latency_ms FROM t"""
 
 
+def gateway_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as the lines of a gateway's stream, an hour of them as a second: what each comes to, and how long its trace is."""
+    e = a.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    first = e.groupBy("user_id").agg(F.min("s").alias("first"))
+    said = lambda delta, more="": F.concat(F.lit('data: {"choices":[{"delta":' + delta.split("K")[0]), F.col("k"), F.lit(delta.split("K")[1] + "}]" + more + "}"))
+    kind = lambda name: F.col("event_type") == name
+    line = (
+        F.when(F.col("event_id") % 101 == 0, F.lit('data: {"error":{"message":"busy"}}')).when(F.col("event_id") % 211 == 0, F.lit("data: {broken"))
+        .when(kind("view"), F.lit(": ping")).when(kind("click"), said('{"reasoning_content":"rK"}')).when(kind("purchase"), said('{"content":"cK","reasoning":"why"}'))
+        .when(kind("signup"), said('{"content":[{"text":"tK"},"!"]}', ',"usage":{"total_tokens":7}')).otherwise("data: [DONE]")
+    )
+    lines = e.join(first, "user_id").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), line.alias("line"), F.floor((F.col("s") - F.col("first")) * 1000 / 3600).cast("int").alias("at_ms"))
+    told = events.streamed_answers(lines)
+    total = lambda c: F.aggregate("events", F.lit(0), lambda n, x: n + F.coalesce(x[c], F.lit(0))).alias(c)
+    return told.select("key", "outcome", "content", "reasoning", "total_tokens", F.size("events").alias("n_events"), total("delta_ms"), total("chars"), F.element_at("events", -1)["type"].alias("last"))
+
+
+GATEWAY = """WITH e AS (SELECT user_id AS key, event_id AS seq, event_type AS kind, json_extract_string(props, '$.k') AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_id % 101 = 0 OR event_id % 211 = 0 AS wrong FROM events),
+l AS (SELECT *, CAST(floor((s - min(s) OVER (PARTITION BY key)) * 1000 / 3600.0::DOUBLE) AS INTEGER) AS t,
+  CASE WHEN NOT wrong AND kind = 'purchase' THEN 'c' || k WHEN NOT wrong AND kind = 'signup' THEN 't' || k || '!' END AS content, CASE WHEN NOT wrong AND kind = 'click' THEN 'r' || k WHEN NOT wrong AND kind = 'purchase' THEN 'why' END AS reasoning FROM e),
+p AS (SELECT *, max(CASE WHEN content IS NOT NULL OR reasoning IS NOT NULL THEN t END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, first(t) OVER (PARTITION BY key ORDER BY seq) AS opened FROM l),
+b AS (SELECT *, t - coalesce(last, opened) > 60000 AS stalled FROM p), c AS (SELECT *, min(CASE WHEN wrong OR stalled THEN seq END) OVER (PARTITION BY key) AS stop FROM b),
+g AS (SELECT key, any_value(stop) AS stop, coalesce(bool_or(stalled) FILTER (seq = stop), false) AS stalled, coalesce(string_agg(content, '' ORDER BY seq) FILTER (stop IS NULL OR seq < stop), '') AS content, coalesce(string_agg(reasoning, '' ORDER BY seq) FILTER (stop IS NULL OR seq < stop), '') AS reasoning,
+  max(CASE WHEN kind = 'signup' AND NOT wrong AND (stop IS NULL OR seq < stop) THEN 7 END) AS total_tokens, count(content) FILTER (stop IS NULL OR seq < stop) + count(reasoning) FILTER (stop IS NULL OR seq < stop) AS n,
+  coalesce(sum(t - coalesce(last, 0)) FILTER ((stop IS NULL OR seq < stop) AND (content IS NOT NULL OR reasoning IS NOT NULL)), 0) AS waited, arg_max(CASE WHEN reasoning IS NOT NULL THEN 'reasoning_delta' WHEN content IS NOT NULL THEN 'content_delta' END, seq)
+    FILTER ((stop IS NULL OR seq < stop) AND (content IS NOT NULL OR reasoning IS NOT NULL)) AS kind FROM c GROUP BY key)
+SELECT key, CASE WHEN stop IS NULL THEN 'streamed' WHEN stalled OR content || reasoning = '' THEN 'fallback' ELSE 'failed' END AS outcome, content, reasoning, CAST(total_tokens AS INTEGER) AS total_tokens,
+CAST(3 + n + CASE WHEN stop IS NULL THEN 1 ELSE 0 END AS INTEGER) AS n_events, CAST(waited AS INTEGER) AS delta_ms, CAST(length(content) + length(reasoning) AS INTEGER) AS chars, CASE WHEN stop IS NULL THEN 'stream_done' ELSE coalesce(kind, 'first_stream_bytes') END AS last FROM g"""
+
+
 def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs written in an older version, without an effort or an error, and in a newer one, and read as one table."""
     rows, folder = a.runs(spark, sf_dir).select("id", "company_slug", "status"), f"{ensure_folder(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
@@ -142,4 +172,4 @@ VERSIONS = f"""WITH {a.RUNS} SELECT id, company_slug, status, CASE WHEN id % 2 =
 CAST(CASE WHEN id % 2 = 0 THEN 100 ELSE id % 7 END AS BIGINT) AS board_count, CAST(NULL AS VARCHAR) AS finished_at FROM runs"""
 
 
-QUERIES = {agent_shapes: AGENT_SHAPES, polymorphic_texts: POLYMORPHIC, evaluate_replies: EVALUATED, table_versions: VERSIONS}
+QUERIES = {agent_shapes: AGENT_SHAPES, polymorphic_texts: POLYMORPHIC, evaluate_replies: EVALUATED, table_versions: VERSIONS, gateway_streams: GATEWAY}
