@@ -8,8 +8,8 @@ to choose the substituted words was enumerated; the tests do so again), so nothi
 throughout.
 
 Defined cases: null or empty text is clean; benchmark items under ``LEAST`` words, which a document may well have by chance, or null, are
-no evidence; repeated rows and
-items are judged alike, and equal texts share one verdict; rows with a null doc_id are judged too; further columns stay.
+no evidence; repeated rows and items are judged alike, and equal texts share one verdict; rows with a null doc_id are judged too; further columns
+stay. A text of any length is searched whole, its words as an array in the JVM.
 """
 
 from __future__ import annotations

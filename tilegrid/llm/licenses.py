@@ -6,7 +6,7 @@ notices such as ``Released under the MIT License.`` inside a document. Texts and
 can't match and skip the join. Native throughout.
 
 Defined cases: null and empty texts have the digest of the empty text and match nothing; repeated rows get a row each; rows with a
-null doc_id are looked up too; further columns are ignored.
+null doc_id are looked up too; further columns are ignored. A text of any length is normalised whole, its lines as an array in the JVM.
 """
 
 from __future__ import annotations

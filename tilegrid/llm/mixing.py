@@ -11,7 +11,8 @@ leaves, so that only the documents of one bucket of each leaf, without their tex
 part; where it has equal rows (doc_id and text), these alone are numbered, in one task a leaf.
 
 Defined cases: documents without words are never taken; null lang or source counts as an empty name; equal rows are in the order
-next to each other; an empty table gives an empty result; columns of ``docs`` stay, but for clashes with those added.
+next to each other; an empty table gives an empty result; columns of ``docs`` stay, but for clashes with those added. A text of any length
+is one row, whose words are counted in the JVM as an array.
 """
 
 from __future__ import annotations

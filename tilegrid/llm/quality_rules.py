@@ -6,7 +6,8 @@ the whole corpus, both merged from the leaves' sketches without reading a row ag
 executors.
 
 Defined cases: null or empty text has no words, so it fails the base rules; null ``lang`` or ``source`` counts as a language or
-source of its own; repeated rows are judged each by itself; an empty table gives an empty result; further columns are ignored.
+source of its own; repeated rows are judged each by itself; an empty table gives an empty result; further columns are ignored. A text of any
+length is judged whole, its words and windows as arrays in the JVM.
 """
 
 from __future__ import annotations
