@@ -173,9 +173,13 @@ def test_feasible_words_of_any_rack(spark):
     rng = random.Random(6)
     lex = {"".join(rng.choice("ABCD") for _ in range(rng.randint(1, 10))) for _ in range(400)}
     racks = ["ABCDABCD", "AB???", "?", "????????", "AABBCCDDAB", "ABC", "B", ""]
-    got = {(r.rack_id, r.word) for r in lexicon.feasible(spark.createDataFrame([*enumerate(racks)], "rack_id int, rack string"), words(spark, *lex)).collect()}
+    table = spark.createDataFrame([*enumerate(racks)], "rack_id int, rack string")
+    got = {(r.rack_id, r.word) for r in lexicon.feasible(table, words(spark, *lex)).collect()}
+    assert got == {(r.rack_id, r.word) for r in lexicon.joined_feasible(table, words(spark, *lex)).collect()}
     want = {(i, w) for i, rack in enumerate(racks) for w in lex if (Counter(w) - Counter(rack.replace("?", ""))).total() <= rack.count("?")}
     assert got == want and len(want) > 200
+    large = spark.createDataFrame([(1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3)], "rack_id int, rack string")
+    assert {r.word for r in lexicon.feasible(large, words(spark, *lex)).collect()} == {w for w in lex if max(Counter(w).values()) <= 3}
 
 
 def test_generated_moves_use_the_whole_lexicon(spark):

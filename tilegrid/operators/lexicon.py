@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tilegrid.operators import walk
+from tilegrid.operators.automaton import Graph, broadcast_graph
 
 #: Word lists in the order in which they are looked for.
 CANDIDATES = ("data/lexicon/NWL23.txt", "data/lexicon/ENABLE.txt", "/usr/share/dict/american-english", "/usr/share/dict/words")
@@ -76,9 +82,27 @@ def _without(text: Column, n: Column) -> Column:
 
 
 def feasible(racks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """rack_id, word of the words that each rack can spell, blanks standing for any letter.
+    """rack_id, word of the words that each rack, of any size, can spell, blanks standing for any letter. Racks walk the word graph; a lexicon too large for one is joined."""
+    sent = broadcast_graph(lexicon)
+    if sent is None:
+        return joined_feasible(racks, lexicon)
+    rows = racks.select("rack_id", F.upper(F.coalesce("rack", F.lit(""))).alias("rack"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(sent.value)
+        for batch in batches:
+            for i, rack in enumerate(batch.column("rack").to_pylist()):
+                words = walk.spelled(graph, rack)
+                yield pa.RecordBatch.from_arrays([batch.column("rack_id").take(pa.array([i] * len(words), pa.int64())), pa.array(words, pa.string())], ["rack_id", "word"])
+
+    schema = StructType([StructField("rack_id", rows.schema["rack_id"].dataType), StructField("word", StringType())])
+    return rows.mapInArrow(run, schema).distinct()
+
+
+def joined_feasible(racks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """As ``feasible``, for lexicons of any size and racks of up to about 15 different tiles.
 
-    Racks, of any size and with any number of blanks, are joined with words by sorted subsets of their tiles, so no rack meets a word that it
+    Racks are joined with words by sorted subsets of their tiles, as many as 2 to the power of their different tiles, so no rack meets a word that it
     can't spell: a word is looked up with as many letters left out as blanks could stand for. The longest rack and the most blanks, one row,
     bound the words and what is left out.
     """

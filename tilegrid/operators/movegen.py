@@ -25,7 +25,7 @@ from tilegrid.functions.tiles import SIZE
 from tilegrid.operators import walk
 from tilegrid.operators.automaton import Graph, broadcast_graph
 from tilegrid.operators.board import EMPTY, anchors, grid_of, line_of
-from tilegrid.operators.lexicon import feasible
+from tilegrid.operators.lexicon import joined_feasible
 from tilegrid.operators.score import score_moves
 from tilegrid.schemas import PLACEMENT
 
@@ -79,7 +79,7 @@ def candidates(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     held = spans.where(F.col("pattern").rlike("[A-Z]")).withColumns({"place": first, "letter": F.substr("pattern", first, F.lit(1))})
     index = lexicon.select("word", F.length("word").alias("size"), F.posexplode(F.split("word", "")).alias("n", "letter")).where("letter <> ''").select("word", "size", (F.col("n") + 1).alias("place"), "letter")
     by_tile = held.join(index, ["size", "place", "letter"]).where(_fits(F.col("word"), F.col("pattern"))).select("id", "rack", "across", "line", "start", "pattern", "word")
-    alone = feasible(positions.select(F.col("id").alias("rack_id"), "rack"), lexicon).select(F.col("rack_id").alias("id"), "word", F.length("word").alias("size"))
+    alone = joined_feasible(positions.select(F.col("id").alias("rack_id"), "rack"), lexicon).select(F.col("rack_id").alias("id"), "word", F.length("word").alias("size"))
     by_rack = spans.where(~F.col("pattern").rlike("[A-Z]")).join(alone, ["id", "size"]).select("id", "rack", "across", "line", "start", "pattern", "word")
     laid = by_tile.union(by_rack).withColumn("s", _spare(_needed(F.col("word"), F.col("pattern")), F.upper("rack")))
     laid = laid.where(F.col("s.lacking") <= F.length("s.rest") - F.length(F.replace("s.rest", F.lit("?"), F.lit(""))))

@@ -76,11 +76,9 @@ def summary(board: DataFrame) -> DataFrame:
     return board.agg(F.count("*").alias("runs"), F.count_if(done).alias("completed"), F.max(F.when(done, F.col("score_pct"))).alias("best_score"))
 
 
-def run_detail(results: DataFrame, positions: DataFrame) -> DataFrame:
-    """Results with their position's columns; results of unknown positions are dropped. Of positions with one id the last counts, by ``seq`` or else as they lie in the table."""
-    own = positions if "seq" in positions.columns else positions.withColumn("seq", F.monotonically_increasing_id())
-    own = first_by(own, ["position_id"], F.desc("seq")).drop("seq")
-    return results.join(own, "position_id")
+def run_detail(results: DataFrame, positions: DataFrame, order: str) -> DataFrame:
+    """Results with their position's columns; results of unknown positions are dropped. Of positions with one id the last counts, by the column ``order``."""
+    return results.join(first_by(positions, ["position_id"], F.desc(order)), "position_id")
 
 
 def numbered(rows: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -206,6 +206,23 @@ def _squares(lines: Lines, line: np.ndarray, start: np.ndarray, placed: np.ndarr
     return np.nonzero((nth > 0) & (nth <= placed[:, None]))
 
 
+def spelled(graph: Graph, rack: str) -> list[str]:
+    """All words that some tiles of a rack spell, blanks standing for any letter. The rack may have any number of tiles."""
+    left = np.array([[min(rack.count(x), SIZE) for x in (*ALPHABET, "?")]], np.int8)
+    node, text, out = np.full(1, graph.root, np.uint32), np.zeros((1, 0), np.uint8), []
+    bits = np.uint32(1) << np.arange(26, dtype=np.uint32)
+    while len(node):
+        offer = np.where(left[:, 26] > 0, ALL, ((left[:, :26] > 0) * bits).sum(1, dtype=np.uint32))
+        state, letter = np.nonzero((graph.masks[node] & offer)[:, None] & bits)
+        _, node = graph.step(node[state], letter)
+        left, text = left[state], np.concatenate([text[state], (letter[:, None] + 65).astype(np.uint8)], 1)
+        left[np.arange(len(state)), np.where(left[np.arange(len(state)), letter] > 0, letter, 26)] -= 1
+        done = text[graph.ends(node)]
+        flat = done.tobytes().decode("ascii")
+        out += [flat[a : a + done.shape[1]] for a in range(0, len(flat), max(1, done.shape[1]))]
+    return out
+
+
 class Told(NamedTuple):
     """Moves in full: arrays with an entry a tile or a word, and where each move's begin (one entry more than moves)."""
 

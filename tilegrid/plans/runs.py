@@ -65,7 +65,7 @@ SUMMARY = f"WITH {a.ROLLED} SELECT count(*) AS runs, count(*) FILTER (status = '
 
 def run_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position_id"), F.col("p_size").alias("band_ply"), F.col("p_brand").alias("rack"))
-    rows = results.run_detail(a.results(spark, sf_dir), positions)
+    rows = results.run_detail(a.results(spark, sf_dir), positions, "band_ply")
     return rows.select("run_id", "position_id", "attempt_index", "band_ply", "rack", F.round("move_score", 6).alias("move_score"), "is_optimal")
 
 
