@@ -13,7 +13,8 @@ def database(sf_dir: str):
     db = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+        if os.path.exists(path):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return db
 
 
