@@ -12,7 +12,7 @@ more than ``GROUP`` fingerprints is cut into parts, and every two of its parts m
 that its pairs connect, at most one for each of its members, and components join them.
 
 Each document is also compared with an edited copy: its last third is replaced by as much of the beginning of the next document, in
-descending order of doc_id. For that, texts move once, to ranges of ids whose bounds are ids of a sample (20 a task); the first of a
+descending order of doc_id. For that, texts move once, to ranges of ids whose bounds are ids of a sample (8 a range); the first of a
 range goes to the one before too. So no task holds more than a batch of texts and one more.
 
 Defined cases: null texts are empty; texts without words have a fingerprint of zeros and lie within no radius; rows without a doc_id come after all others,
@@ -37,6 +37,8 @@ from tilegrid.llm.shared import bound_batches, small, written
 
 #: Bits of a fingerprint; blocks it is cut into for the search, and the radius.
 BITS, BLOCKS, RADIUS = 256, 8, 7
+#: Text bytes of a range of ids, about, where there is more than a few of them a core.
+RANGE_BYTES = 64 << 20
 #: Fingerprints of a part of a key; classes up to which they are broadcast (40 bytes each).
 GROUP, MOST_BROADCAST = 2048, 500_000
 _SALTS = np.array([mix(np.array([k + 1], U64))[0] for k in range(BITS // 64)], U64)
@@ -100,15 +102,15 @@ def _code_points(data: np.ndarray) -> np.ndarray:
 
 
 def _bounds_of_ranges(docs: DataFrame) -> list[int]:
-    """Ids, the largest first, that begin ranges of about equal numbers of documents, a few for each task."""
-    n, largest = docs.agg(F.count("doc_id"), F.max("doc_id")).first()
+    """Ids, the largest first, that begin ranges of about equal numbers of documents and ``RANGE_BYTES`` of text: every eighth id of a sample, 64 bytes a range on the driver."""
+    n, largest, size = docs.agg(F.count("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
     if not n:
         return []
-    ranges = 4 * max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
-    every = max(1, n // (20 * ranges))
+    ranges = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // RANGE_BYTES)
+    every = max(1, n // (8 * ranges))
     sample = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).distinct()
-    found = sorted({largest} | {r.doc_id for r in sample.collect()}, reverse=True)
-    return found[:: max(1, len(found) // ranges)]
+    found = np.union1d(sample.toArrow()["doc_id"].to_numpy(), [largest])[::-1]
+    return found[:: max(1, len(found) // ranges)].tolist()
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
