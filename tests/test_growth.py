@@ -1,6 +1,11 @@
 """Queries over large tables: what they deal to other tasks, and what one task holds."""
 
-from tilegrid.operators import board
+import random
+
+from pyspark.sql import functions as F
+
+from tilegrid.operators import automaton, board, movegen
+from tilegrid.operators.automaton import Graph, broadcast_graph
 
 BOARD = "array<struct<row:int,col:int,letter:string,is_blank:boolean>>"
 
@@ -18,3 +23,30 @@ def test_squares_of_overlays_stay_where_they_are(spark):
     got = {(r.id, r.row, r.col): r.text for r in shown.collect()}
     assert shown.count() == len(got) == 450
     assert (got["a", 7, 7], got["a", 7, 8], got["a", 0, 0], got["b", 0, 0], got["b", 7, 7], got["b", 1, 2]) == ("H", "##", "TW", "m", "DW", "")
+
+
+def test_word_graph_of_millions_of_words(spark):
+    """Cross-checks need no bound on the lexicon: a graph is made in parts. Words of up to two letters are cut between the parts."""
+    digit = lambda k: F.char((65 + F.floor(F.col("id") / 26**k) % 26).cast("long"))
+    words = spark.range(2_100_000).select(F.concat(*(digit(k) for k in (4, 3, 2, 1, 0))).alias("word")).union(spark.createDataFrame([("A",), ("AB",), ("B",), ("QX",)], "word string"))
+    positions = spark.createDataFrame([("b", [(7, 7, "B", False)]), ("aaaa", [(7, 4 + i, x, False) for i, x in enumerate("EODK")])], f"id string, board {BOARD}")
+    got = {(r.id, r.row, r.col, r.across): r.letters for r in movegen.cross_checks(positions, words).collect()}
+    assert got["b", 6, 7, True] == "A" and got["b", 8, 7, True] == "" and got["aaaa", 7, 8, False] == "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert sum(1 for _ in Graph(broadcast_graph(words.where("length(word) < 3 OR word LIKE 'AA%'")).value).words()) == 4 + 26**3
+
+
+def test_best_of_all_moves_is_told_without_the_others(spark, monkeypatch):
+    """One row a board leaves the kernel, and it is what all moves come to."""
+    rng = random.Random(5)
+    words = spark.createDataFrame([(w,) for w in {"".join(rng.choices("AEIRST", k=rng.choice((1, 2, 2, 3, 3, 4, 5)))) for _ in range(300)}], "word string")
+    boards = [(i, rack, [(7, 4 + k, x, rng.random() < 0.2) for k, x in enumerate(run)]) for i, (rack, run) in enumerate((("AE?", "RAT"), ("STAR", ""), ("", "A"), ("??", "TEA"), ("ZZ", "QQQ"), ("TIRES", "SEA")))]
+    positions = spark.createDataFrame(boards, f"id int, rack string, board {BOARD}")
+    want = {}
+    for m in movegen.generate_moves(positions, words).collect():
+        want.setdefault(m.id, []).append((-m.score, len(m.placements), [tuple(p) for p in m.placements], m.words))
+    want = {k: (len(v), sum(x[0] == min(v)[0] for x in v), min(v)) for k, v in want.items()}
+    told = movegen.best_totals(positions, words)
+    got = lambda table: {r.id: (r.n, r.tied, (-r.score, len(r.placements), [tuple(p) for p in r.placements], r.words)) for r in table.collect()}
+    assert "Aggregate" not in plan(told) and got(told) == want and len(want) == 4
+    monkeypatch.setattr(automaton, "MOST_WORDS", 5)
+    assert got(movegen.best_totals(positions, words)) == want
