@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tilegrid.operators import automaton, board, movegen
+from tilegrid.operators import automaton, board, lexicon, movegen, score
 from tilegrid.operators.automaton import Graph, broadcast_graph
+from tilegrid.plans import catalogue, stores
 
 BOARD = "array<struct<row:int,col:int,letter:string,is_blank:boolean>>"
 
@@ -50,3 +52,62 @@ def test_best_of_all_moves_is_told_without_the_others(spark, monkeypatch):
     assert "Aggregate" not in plan(told) and got(told) == want and len(want) == 4
     monkeypatch.setattr(automaton, "MOST_WORDS", 5)
     assert got(movegen.best_totals(positions, words)) == want
+
+
+def test_halves_of_labels_are_those_of_the_sql(spark, tmp_path):
+    """Exact halves: 1250 and 198500 to the even digit."""
+    orders = [(1, 10_000, 198_500.0), (2, 10_000, 1_250.0), (3, 30_000, 1_350.0), (4, 225, 7919 * 0.25), (5, 7, 7919 * 2.75)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    made = catalogue.queries()["number_labels"](spark, str(tmp_path))
+    assert {tuple(r) for r in made.collect()} == {*db.execute(f"SELECT {', '.join(made.columns)} FROM ({catalogue.oracle_sql()['number_labels']})").fetchall()}
+
+
+def test_tiles_and_anchors_are_found_in_their_own_rows(spark):
+    cells = [(7, 7, "a", False), (7, 8, "B", True), (7, 7, "C", False), (0, 0, "D", None), (14, 14, "E", False)]
+    positions = spark.createDataFrame([(1, cells), (2, []), (3, None), (4, [(7, 7, None, False)])], f"id int, board {BOARD}")
+    tiles, near = board.cell_rows(positions), board.anchors(positions)
+    assert "Exchange" not in plan(tiles) + plan(near)
+    assert {tuple(r) for r in tiles.collect()} == {(1, 7, 7, "C", False), (1, 7, 8, "B", True), (1, 0, 0, "D", False), (1, 14, 14, "E", False)}
+    around = {(6, 7), (6, 8), (8, 7), (8, 8), (7, 6), (7, 9), (0, 1), (1, 0), (14, 13), (13, 14)}
+    assert sorted(tuple(r) for r in near.collect()) == sorted([*((1, *x) for x in around), (2, 7, 7), (3, 7, 7), (4, 7, 7)])
+
+
+def test_moves_without_words_are_dealt_evenly(spark, monkeypatch):
+    """With a lexicon that isn't broadcast, moves that form no word don't meet in the task of null."""
+    moves = [(i, "A", [(7, 7, "B", False)], [("7", "8", "A")] if i % 10 == 0 else [("0", "0", "A")]) for i in range(200)]
+    moves = spark.createDataFrame(moves, f"move_id int, rack string, board {BOARD}, raw array<struct<row:string,col:string,letter:string>>")
+    words = spark.createDataFrame([("BA",)], "word string")
+    want = {tuple(map(str, r)) for r in score.score_moves(moves, words).collect()}
+    monkeypatch.setattr(score, "MOST_WORDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scored = score.score_moves(moves, words)
+        assert "hashpartitioning(key" in plan(scored) and "hashpartitioning(text" not in plan(scored).split("Join")[-1].split("HashAggregate")[0]
+        assert {tuple(map(str, r)) for r in scored.collect()} == want and len(want) == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_frequent_words_are_looked_up_in_many_tasks(spark, monkeypatch):
+    words = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, "rare").when(F.col("id") % 7 == 0, None).otherwise("the").alias("word"))
+    held = spark.createDataFrame([("THE",), ("OTHER",)], "word string")
+    want = {way: sorted(r.doc_id for r in way(words, held).collect()) for way in (lexicon.valid, lexicon.invalid)}
+    monkeypatch.setattr(lexicon, "MOST_HELD", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for way, ids in want.items():
+            assert "_slice" in plan(way(words, held)) and sorted(r.doc_id for r in way(words, held).collect()) == ids and len(ids) > 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_of_roll_ups_grow_in_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(stores, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        assert stores.incremental_rollup(spark, "/root/testdata/sf0.01").count() == 14_743
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len([*(tmp_path / "results").glob("part-*")]) > 8 and len([*(tmp_path / "rollups" / "parts").iterdir()]) == 4

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,25 +121,26 @@ def iso_time(seconds: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def fixed(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A number with so many digits after the point, rounding the exact binary value half up, which no built-in format does."""
-    for numbers, digits in values:
-        yield pd.Series([None if pd.isna(x) else str(Decimal(float(x)).quantize(Decimal(1).scaleb(-int(d)), ROUND_HALF_UP)) for x, d in zip(numbers, digits, strict=True)], dtype=object)
+def fixed(values: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A number with so many digits after the point, rounding the exact binary value, which no built-in format does; exact halves go up, or to the even digit."""
+    for numbers, digits, even in values:
+        rounds = [ROUND_HALF_EVEN if e else ROUND_HALF_UP for e in even]
+        yield pd.Series([None if pd.isna(x) else str(Decimal(float(x)).quantize(Decimal(1).scaleb(-int(d)), r)) for x, d, r in zip(numbers, digits, rounds, strict=True)], dtype=object)
 
 
-def percent_label(value: Column) -> Column:
-    return F.concat(fixed(value, F.lit(1)), F.lit("%"))
+def percent_label(value: Column, even: bool = False) -> Column:
+    return F.concat(fixed(value, F.lit(1), F.lit(even)), F.lit("%"))
 
 
-def compact(value: Column) -> Column:
-    """Thousands as ``1.2 K`` or ``12 K``, smaller numbers with grouping and at most three digits."""
+def compact(value: Column, even: bool = False) -> Column:
+    """Thousands as ``1.2 K`` or ``12 K``, smaller numbers with grouping and at most three digits. ``even``: exact halves go to the even digit, as in C and SQL, not up, as in the browser."""
     thousands = value / 1000
     digits = F.when(F.abs(thousands) >= 10, 0).otherwise(1)
-    return F.when(F.abs(value) >= 1000, F.concat(fixed(thousands, digits), F.lit(" K"))).otherwise(F.call_function("format_number", value, F.lit("#,##0.###")))
+    return F.when(F.abs(value) >= 1000, F.concat(fixed(thousands, digits, F.lit(even)), F.lit(" K"))).otherwise(F.call_function("format_number", value, F.lit("#,##0.###")))
 
 
-def milliseconds(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").when(value >= 1000, F.concat(fixed(value / 1000, F.lit(1)), F.lit("s"))).otherwise(F.concat(value.cast("string"), F.lit("ms")))
+def milliseconds(value: Column, even: bool = False) -> Column:
+    return F.when(value.isNull(), "n/a").when(value >= 1000, F.concat(fixed(value / 1000, F.lit(1), F.lit(even)), F.lit("s"))).otherwise(F.concat(value.cast("string"), F.lit("ms")))
 
 
 def trace_line(summary: Column, requested: Column) -> Column:
