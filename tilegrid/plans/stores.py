@@ -295,8 +295,9 @@ def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roll-ups of all runs, kept up to date while their results arrive in files of a few batches."""
     folder = _folder(spark, "results")
     rows = a.results(spark, sf_dir).select("run_id", "move_score", "optimal_score", F.col("total_tokens").cast("long").alias("total_tokens"))
-    rows.repartition(4).write.parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files_of_batch = -(-rows.rdd.getNumPartitions() // 4)  # files grow in number with the table, not in size; by hash, since dealing in turn would sort each task's rows
+    rows.repartition(4 * files_of_batch, *rows.columns).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_of_batch).parquet(folder)
     held = rollups.followed(stream, _folder(spark, "rollups"), _folder(spark, "rollups-state")).current()
     rounded = [F.round(c, 6).alias(c) for c in ("raw_points", "optimal_raw_points", "avg_total_tokens", "score_pct")]
     return held.select(F.col("run_id").cast("long").alias("run_id"), "boards", *rounded, "min_total_tokens", "max_total_tokens")
