@@ -1,5 +1,6 @@
 """Queries over large tables: what they deal to other tasks, and what one task holds."""
 
+import json
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tilegrid.operators import automaton, board, lexicon, movegen, score
 from tilegrid.operators.automaton import Graph, broadcast_graph
 from tilegrid.plans import catalogue, stores
+from tilegrid.streaming import live
 
 BOARD = "array<struct<row:int,col:int,letter:string,is_blank:boolean>>"
 
@@ -111,3 +113,32 @@ def test_batches_of_roll_ups_grow_in_files(spark, monkeypatch, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len([*(tmp_path / "results").glob("part-*")]) > 8 and len([*(tmp_path / "rollups" / "parts").iterdir()]) == 4
+
+
+def test_positions_in_order_take_no_python(spark, tmp_path):
+    """Spark aggregates the states of ordered lines: as a fold of all lines in order, though each batch of files has lines of all times."""
+    rng, folder = random.Random(8), tmp_path / "log"
+    folder.mkdir()
+    kinds = ["attempt_started", *["output_delta"] * 5, "board_result", "attempt_invalid", "run_started"]
+    log = [{"type": rng.choice(kinds), "run_id": rng.choice(["r", "s", None]), "position_id": rng.choice("pqt"), "elapsed_ms": i, "attempt_index": rng.choice([None, i]), "move_score": i, "optimal_score": 2 * i,
+            "channel": rng.choice(["content", "reasoning", None]), "text": rng.choice([f"{i} ", None])} for i in range(150)]
+    want = {}
+    for e in log:
+        own = want.setdefault((e["run_id"], e["position_id"]), {"status": "streaming", "attempt": 0, "score": 0, "optimum": 0, "content": "", "reasoning": ""})
+        if e["type"] == "attempt_started":
+            own.update(status="streaming", attempt=e["attempt_index"] or 0, content="", reasoning="")
+        elif e["type"] == "output_delta":
+            own["content" if e["channel"] == "content" else "reasoning"] += e["text"] or ""
+        elif e["type"] in ("board_result", "attempt_invalid"):
+            own.update({"status": "done", "score": e["move_score"], "optimum": e["optimal_score"]} if e["type"] == "board_result" else {"status": "invalid"})
+    # A line of the same moment as an attempt's start comes after it.
+    log += [{"type": kind, "run_id": "z", "position_id": "p", "elapsed_ms": 5, "attempt_index": 4, "channel": "content", "text": "said", "move_score": 1, "optimal_score": 3} for kind in ("output_delta", "board_result", "attempt_started")]
+    want["z", "p"] = {"status": "done", "attempt": 4, "score": 1, "optimum": 3, "content": "said", "reasoning": ""}
+    rng.shuffle(log)
+    for n in range(3):
+        (folder / f"{n}.jsonl").write_text("\n".join(map(json.dumps, log[n::3])))
+    states = live.positions(live.events(live.tail(spark, str(folder), 1)), order="elapsed_ms")
+    assert "Pandas" not in states._jdf.queryExecution().analyzed().toString()
+    rows = live.landed(states, f"file://{tmp_path}/out", f"file://{tmp_path}/state", "update").orderBy("batch").collect()
+    assert {r.batch for r in rows} == {0, 1, 2}
+    assert {(r.run_id, r.position_id): (r.status, r.attempt_index, r.move_score, r.optimal_score, r.content, r.reasoning) for r in rows} == {k: tuple(v.values()) for k, v in want.items()}

@@ -279,7 +279,8 @@ FINISHED = f"WITH {_LOGGED} SELECT run_id, type FROM l WHERE type = 'run_complet
 
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each position of the followed log, whose lines of all kinds are folded in order."""
-    states = _landed(spark, live.positions(live.events(_log(spark, sf_dir)), order="elapsed_ms"), "update")
+    with stalls.rocksdb(spark):  # states of all positions needn't fit into memory
+        states = _landed(spark, live.positions(live.events(_log(spark, sf_dir)), order="elapsed_ms"), "update")
     last = states.groupBy("run_id", "position_id").agg(F.max_by(F.struct("status", "attempt_index", "move_score", "optimal_score", F.length("content").alias("chars")), "batch").alias("s"))
     return last.select("run_id", "position_id", "s.*")
 

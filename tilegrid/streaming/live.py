@@ -85,15 +85,40 @@ def finished(stream: DataFrame) -> DataFrame:
 
 
 _STATE = "run_id string, position_id string, status string, attempt_index int, move_score int, optimal_score int, content string, reasoning string"
+_PLACE = ["run_id", "position_id"]
 
 
 def positions(stream: DataFrame, idle: str | None = None, order: str | None = None) -> DataFrame:
     """The state of each position as it changes: status, attempt, scores, and the texts of the current attempt.
 
     An attempt's start clears the texts, each delta adds to its channel's, and a result or an invalid attempt sets the status; other events change nothing.
-    ``order``: the column that puts a position's lines of a batch in order, which they lose on their way; without it they must come one file at a time.
-    ``idle``: forget positions that saw nothing for so long (in milliseconds), by processing time.
+    ``order``: the column that puts a position's lines in order, whichever batch they come in; of one moment, later batches come after earlier ones and a start before other lines. Spark
+    aggregates these by itself; its state holds the last lines that count and the deltas of all of a position's attempts.
+    Without ``order`` lines must come one file at a time and are folded as they come. ``idle``: forget positions that saw nothing for so long (in milliseconds), by processing time; ``order``
+    then holds within a batch. Both take a call of Python for each position of a batch.
     """
+    own = stream.where(F.col("position_id").isNotNull()).fillna(0, ["attempt_index", "move_score", "optimal_score"])
+    return _aggregated(own, order) if order and not idle else _folded(own, idle, order)
+
+
+def _aggregated(own: DataFrame, order: str) -> DataFrame:
+    """``positions`` as an aggregation; lines without ``order`` come last."""
+    kind = F.col("type")
+    placed = own.withColumn("_at", F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("by"), F.current_timestamp().alias("batch")))
+    last = lambda of, *columns: F.max(F.when(of, F.struct("_at", *columns)))
+    said = F.struct("_at", F.coalesce(F.col("channel") == "content", F.lit(False)).alias("answer"), "text")
+    state = placed.groupBy(*_PLACE).agg(
+        last(kind == "attempt_started", "attempt_index").alias("start"), last(kind == "board_result", "move_score", "optimal_score").alias("result"),
+        last(kind.isin(*MOVES), (kind != "attempt_started").alias("after"), "type").alias("move"), F.collect_list(F.when(kind == "output_delta", said)).alias("said"))
+    status = F.when(F.col("move.type") == "board_result", "done").when(F.col("move.type") == "attempt_invalid", "invalid").otherwise("streaming")
+    current = F.sort_array(F.filter("said", lambda x: F.col("start").isNull() | (x["_at"] >= F.col("start._at"))))
+    text = lambda answer: F.array_join(F.transform(F.filter("current", lambda x: x["answer"] == F.lit(answer)), lambda x: x["text"]), "")
+    whole = lambda c: F.coalesce(c, F.lit(0)).alias(c.rsplit(".")[-1])
+    return state.withColumn("current", current).select(*_PLACE, status.alias("status"), whole("start.attempt_index"), whole("result.move_score"), whole("result.optimal_score"), text(True).alias("content"), text(False).alias("reasoning"))
+
+
+def _folded(own: DataFrame, idle: str | None, order: str | None) -> DataFrame:
+    """``positions`` by a fold of Python for each."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -118,10 +143,9 @@ def positions(stream: DataFrame, idle: str | None = None, order: str | None = No
             state.setTimeoutDuration(int(idle))
         yield pd.DataFrame([(*key, status, attempt, score, optimum, content, reasoning)], columns=["run_id", "position_id", "status", "attempt_index", "move_score", "optimal_score", "content", "reasoning"])
 
-    own = stream.where(F.col("position_id").isNotNull()).fillna(0, ["attempt_index", "move_score", "optimal_score"])
     kept = "status string, attempt_index int, move_score int, optimal_score int, content string, reasoning string"
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return own.groupBy("run_id", "position_id").applyInPandasWithState(fold, _STATE, kept, "update", timeout)
+    return own.groupBy(*_PLACE).applyInPandasWithState(fold, _STATE, kept, "update", timeout)
 
 
 def progress(log: DataFrame) -> DataFrame:
