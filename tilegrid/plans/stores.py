@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilegrid.functions import texts
@@ -309,15 +309,21 @@ round(100 * sum(move_score) / sum(optimal_score), 6) AS score_pct, CAST(min(tota
 
 
 def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silences of all runs as a stream tells them that reads the log in four parts, by the log's own clock: how often each began, and each that ended with its gap."""
-    log, folder = a.log(spark, sf_dir).select("run_id", "seq", "at"), _folder(spark, "log")
-    bounds = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    step = (bounds.high - bounds.low) // 4 + 1 if bounds.low is not None else 1
-    for part in range(4 if bounds.low is not None else 0):
-        log.where((F.col("seq") - bounds.low) / step >= part).where((F.col("seq") - bounds.low) / step < part + 1).coalesce(1).write.mode("append").parquet(folder)
-    lines = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    with stalls.rocksdb(spark):
-        told = _landed(spark, stalls.silences(lines, ["run_id"], "seq", "at"), "append")
+    """Silences of all runs as a stream tells them that reads the log in four parts, by the log's own clock: how often each began, and each that ended with its gap.
+
+    A line comes when all of its run's lines before it have, and not before its own time. So no part has lines that are late, whatever the order of the log's numbers.
+    """
+    log, (aside, folder, out, state) = a.log(spark, sf_dir).select("run_id", "seq", "at"), (_folder(spark, n) for n in ("clocked", "log", "stream", "stream-state"))
+    span = log.agg(F.min(F.unix_micros("at")).alias("low"), F.max(F.unix_micros("at")).alias("high")).first()
+    low, step = (span.low, (span.high - span.low) // 4 + 1) if span.low is not None else (0, 1)
+    lines = log.withColumn("came", F.max("at").over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = lines.withColumn("part", F.floor((F.unix_micros("came") - low) / step).cast("int"))
+    parts.write.partitionBy("part").parquet(aside)
+    for part in range(4):
+        spark.read.schema(parts.schema).parquet(aside).where(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(lines.schema).parquet(folder)
+        with stalls.rocksdb(spark):
+            told = live.landed(stalls.silences(stream, ["run_id"], "seq", "at", came="came"), out, state, "append")
     return told.groupBy("run_id", "kind", "seq", "gap_seconds").agg(F.count("*").alias("n"))
 
 
